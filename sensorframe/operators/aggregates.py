@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import scalars as S
 from ..plans.ordered import Scan, ordered_scan
@@ -338,6 +338,12 @@ def fleet_rollup(df: DataFrame, host: str = "host") -> DataFrame:
     )
 
 
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """Path, size and time of the files below ``root``; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return files.select("path", "length", "modificationTime")
+
+
 def backlog(files: DataFrame) -> DataFrame:
     """Waiting log files per instance and group (1 to 9), and size and time of the error log.
 

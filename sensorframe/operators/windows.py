@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions.scalars import floor_div
+from ..functions.scalars import floor_div, lenient
 from ..plans.ordered import Scan, fold_series, full_frame, ordered_scan, rolling
 
 
@@ -98,9 +98,13 @@ def rolling_bands(df, keys, order, col, n, cell_rows=None) -> DataFrame:
 
 
 def rolling_corr(df, keys, order, a, b, n, name="corr", cell_rows=None) -> DataFrame:
-    """Rolling correlation of two columns, smoothed by a rolling mean of the same width."""
+    """Rolling correlation of two columns, smoothed by a rolling mean of the same width.
+
+    A frame in which a column is constant has no correlation.
+    """
     corr = lambda w: full_frame(w, n, F.corr(a, b).over(w))
-    first = rolling(df, keys, order, n, [("_corr", corr)], cell_rows)
+    with lenient(df.sparkSession):
+        first = rolling(df, keys, order, n, [("_corr", corr)], cell_rows)
 
     def smooth(w):
         complete = F.count("_corr").over(w) == n
@@ -220,58 +224,61 @@ def zscore_anomaly(
     return fold_series(rows, keys, order, step, schema)
 
 
-def pair_calls(lines: DataFrame, max_depth: int | None = None, cell_rows=None) -> DataFrame:
+def pair_calls(
+    lines: DataFrame, max_depth: int | None = None, with_buckets: bool = False, cell_rows=None
+) -> DataFrame:
     """Calls from the start and finish rows of traces.
 
-    ``lines`` comes from ``read_call_trace``. A finish row closes the newest open start row, so start and
-    finish rows of one nesting depth alternate. ``records`` includes those of nested calls.
+    ``lines`` comes from ``read_call_trace``. A finish row closes the newest start row of its nesting depth. ``records``
+    includes those of nested calls, without bucket rows unless ``with_buckets``. All windows share one
+    partitioning and order. ``max_depth`` saves the pass that finds the deepest nesting.
     """
     keys, order = ["file"], ["block", "pos"]
     is_start = F.col("kind") == "S"
     step = F.when(is_start, 1).otherwise(-1).cast("long")
-    own_records = F.when(is_start, F.lit(0).cast("long")).otherwise(F.col("records"))
-    depth = ordered_scan(
-        lines, keys, order, [Scan("_after", "sum", step), Scan("_records", "sum", own_records)], cell_rows
-    ).withColumn("_depth", F.col("_after") + F.when(is_start, 0).otherwise(1))
+    nested = ordered_scan(lines, keys, order, [Scan("_after", "sum", step)], cell_rows).withColumn(
+        "_depth", (F.col("_after") + F.when(is_start, 0).otherwise(1)).cast("int")
+    )
     if max_depth is None:
-        max_depth = lines.agg(F.max("level")).first()[0] or 0
-    levels = [
-        Scan(
-            f"_l{j}",
-            "last",
-            F.when(is_start & (F.col("level") == j), F.struct("name", "block", "pos")),
-        )
-        for j in range(1, max_depth + 1)
-    ]
-    named = ordered_scan(depth, keys, order, levels, cell_rows) if levels else depth
-    stack = F.array(*[F.col(s.name) for s in levels]) if levels else F.array()
-    opened = named.withColumn("_stack", F.slice(stack, 1, F.greatest(F.coalesce(F.col("level"), F.lit(0)), F.lit(0))))
-    start = F.struct(
-        "kind", "level", "opid", "opcode", "flags", "name", "time", "program", "bucket", "objtype", "_records",
-        F.struct("block", "pos").alias("id"), "_stack",
+        max_depth = nested.agg(F.max("_depth")).first()[0] or 1
+
+    def per_depth(prefix: str, value: Column) -> list[Scan]:
+        return [
+            Scan(f"{prefix}{j}", "last", F.when(is_start & (F.col("_depth") == j), value))
+            for j in range(1, max_depth + 1)
+        ]
+
+    opened = F.struct(
+        "level", "opid", "opcode", "name", "time", "program", "bucket", "objtype", F.struct("block", "pos").alias("id")
+    )
+    open_calls = per_depth("_o", opened)
+    stack = F.slice(F.array(*[F.col(s.name) for s in open_calls]), 1, F.greatest(F.col("_depth"), F.lit(0)))
+    known = ordered_scan(nested, keys, order, open_calls, cell_rows)
+    known = known.select(*nested.columns, stack.alias("_stack")).withColumn("_start", F.try_element_at("_stack", F.lit(-1)))
+
+    counts = ~is_start if with_buckets else ~is_start & (F.col("_start.bucket") == 0)
+    summed = ordered_scan(
+        known, keys, order, [Scan("_sum", "sum", F.when(counts, F.col("records")).otherwise(F.lit(0).cast("long")))], cell_rows
     )
-    paired = ordered_scan(
-        opened.drop(*[s.name for s in levels]), ["file", "_depth"], order, [Scan("_s", "prev", start)], cell_rows
-    ).filter(~is_start)
-    unmatched = F.col("_s").isNull() | (F.col("_s.kind") != "S")
-    checked = F.when(unmatched, F.raise_error(F.lit("finish row without a start row"))).otherwise(F.col("_s.level"))
-    s = F.col("_s")
-    return paired.select(
+    at_start = per_depth("_r", F.col("_sum"))
+    full = ordered_scan(summed, keys, order, at_start, cell_rows).filter(~is_start)
+    sum_before = F.try_element_at(F.array(*[F.col(s.name) for s in at_start]), F.greatest(F.col("_depth"), F.lit(1)))
+    own = F.when(counts, F.lit(0).cast("long")).otherwise(F.col("records"))
+
+    s = F.col("_start")
+    level = F.when(s.isNull(), F.raise_error(F.lit("finish row without a start row"))).otherwise(s["level"])
+    callers = F.filter("_stack", lambda c: c["level"] >= 1)
+    parent = F.try_element_at("_stack", F.lit(-2))
+    return full.select(
         "file", "process", "chain", "ended",
-        checked.alias("level"),
-        s["opid"].alias("opid"), s["opcode"].alias("opcode"), s["name"].alias("name"),
-        s["program"].alias("program"), s["bucket"].alias("bucket"), s["objtype"].alias("objtype"),
-        F.transform(s["_stack"], lambda x: x["name"]).alias("path"),
+        level.cast("long").alias("level"),
+        *[s[c].alias(c) for c in ("opid", "opcode", "name", "program", "bucket", "objtype")],
+        F.transform(callers, lambda c: c["name"]).alias("path"),
         s["id"].alias("call_id"),
-        F.when(
-            s["level"] > 1,
-            F.struct(
-                F.element_at(s["_stack"], (s["level"] - 1).cast("int"))["block"].alias("block"),
-                F.element_at(s["_stack"], (s["level"] - 1).cast("int"))["pos"].alias("pos"),
-            ),
-        ).alias("parent_id"),
-        s["time"].alias("started"), F.col("time").alias("finished"),
+        F.when(parent["level"] >= 1, parent["id"]).alias("parent_id"),
+        s["time"].alias("started"),
+        F.col("time").alias("finished"),
         F.round(F.col("time") - s["time"], 6).alias("duration"),
-        (F.col("_records") - s["_records"]).alias("records"),
+        (F.col("_sum") - sum_before + own).alias("records"),
         "calls", "min_time", "max_time", "range_from", "range_to", "cache_calls", "cache_time", "errors",
     )

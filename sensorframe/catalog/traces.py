@@ -86,15 +86,12 @@ def _(i):
 
 @query(
     "agg23_exclusive_time",
-    f"""{_CALLS_SQL} SELECT 'OP_ORDER.VRT_OP_ORDER' AS path, 'VRT_OP_ORDER' AS name, count(*) AS calls, round(sum(rest), 6) AS total FROM (
+    f"""{_CALLS_SQL} SELECT 'OP_ORDER.VRT_OP_OP_ORDER' AS path, 'VRT_OP_OP_ORDER' AS name, count(*) AS calls, round(sum(rest), 6) AS total FROM (
       SELECT round(a.duration - b.d, 6) AS rest FROM calls a JOIN (SELECT orderkey, sum(duration) AS d FROM calls WHERE level = 2 AND bucket = 0 GROUP BY orderkey) b
       ON a.orderkey = b.orderkey WHERE a.level = 1) q WHERE rest > 0""",
 )
 def _(i):
-    # OP_ORDER has no one- to three-letter prefix before _OP_, so its virtual name keeps the whole name.
-    return C.exclusive_time(calls(i)).withColumn("name", F.replace("name", lit("VRT_OP_OP_"), lit("VRT_OP_"))).withColumn(
-        "path", F.replace("path", lit("VRT_OP_OP_"), lit("VRT_OP_"))
-    )
+    return C.exclusive_time(calls(i))
 
 
 @query(

@@ -137,16 +137,20 @@ SYSTEM = ("datetime", "timezone", "timestamp", "system", "source")
 def stream_headers(
     columns: Sequence[str], passed_on: Callable[[DataFrame, int], None]
 ) -> Callable[[DataFrame, int], None]:
-    """Batch function over line batches (``file, block, pos, value``): :func:`split_headers`, then ``passed_on``."""
+    """Batch function over :func:`stream_lines` batches: :func:`split_headers`, then ``passed_on``.
+
+    Line positions are numbered here, where the batch is a plain frame over its files.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        passed_on(split_headers(batch, columns), batch_id)
+        lines = batch.withColumn("pos", F.monotonically_increasing_id())
+        passed_on(split_headers(lines, columns), batch_id)
 
     return write
 
 
 def stream_lines(spark: SparkSession, root: str, max_files: int = 300, pattern: str = "*") -> DataFrame:
-    """New text files as a stream of lines; order them inside a batch by ``(block, pos)``."""
+    """New text files as a stream of lines with their file and block."""
     return (
         spark.readStream.option("maxFilesPerTrigger", max_files)
         .option("pathGlobFilter", pattern)
@@ -155,7 +159,6 @@ def stream_lines(spark: SparkSession, root: str, max_files: int = 300, pattern:
         .select(
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("pos"),
             "value",
         )
     )

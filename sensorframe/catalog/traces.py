@@ -19,12 +19,14 @@ _LINE_CALLS = """SELECT l_orderkey AS orderkey, concat('PCM_OP_', l_returnflag)
   CASE WHEN l_suppkey % 10 = 0 THEN l_suppkey % 3 + 1 ELSE 0 END AS bucket, l_suppkey % 3 AS cache_calls, l_linenumber % 2 AS errors,
   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS n FROM {lineitem}"""
 
-_TRACE_ROWS = """SELECT orderkey, 2 * n AS line_no, concat_ws(',', 'S', 2, orderkey * 100 + n, 101, 0, name, orderkey * 1000 + 10 * n, 'f.c', 2, 11, 21, 'prog', bucket, 'obj') AS value
-FROM {calls}
-UNION ALL SELECT orderkey, 2 * n + 1, concat_ws(',', 'F', orderkey * 1000 + 10 * n + duration, records, 1, duration, duration, bucket, bucket + 1, cache_calls, 0.5, errors, 0, 0) FROM {calls}
-UNION ALL SELECT o_orderkey, 0, concat_ws(',', 'S', 1, o_orderkey * 100, 100, 0, 'OP_ORDER', o_orderkey * 1000, 'f.c', 1, 11, 21, 'prog', 0, 'obj') FROM {orders}
-UNION ALL SELECT o_orderkey, 1000000, concat_ws(',', 'F', o_orderkey * 1000 + 10 * (coalesce(n, 0) + 1), 0, 1, 10 * (coalesce(n, 0) + 1), 10 * (coalesce(n, 0) + 1), 0, 0, 0, 0, 0, 0, 0)
-  FROM {orders} LEFT JOIN (SELECT orderkey, max(n) AS n FROM {calls} GROUP BY orderkey) m ON orderkey = o_orderkey"""
+_NESTED_ROWS = """SELECT orderkey, stack(2,
+  2 * n, concat_ws(',', 'S', 2, orderkey * 100 + n, 101, 0, name, orderkey * 1000 + 10 * n, 'f.c', 2, 11, 21, 'prog', bucket, 'obj'),
+  2 * n + 1, concat_ws(',', 'F', orderkey * 1000 + 10 * n + duration, records, 1, duration, duration, bucket, bucket + 1, cache_calls, 0.5, errors, 0, 0)) AS (line_no, value)
+FROM {calls}"""
+_ORDER_ROWS = """SELECT o_orderkey AS orderkey, stack(2,
+  0, concat_ws(',', 'S', 1, o_orderkey * 100, 100, 0, 'OP_ORDER', o_orderkey * 1000, 'f.c', 1, 11, 21, 'prog', 0, 'obj'),
+  1000000, concat_ws(',', 'F', o_orderkey * 1000 + 10 * (n + 1), 0, 1, 10 * (n + 1), 10 * (n + 1), 0, 0, 0, 0, 0, 0, 0)) AS (line_no, value)
+FROM (SELECT o_orderkey, coalesce(n, 0) AS n FROM {orders} LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM {lineitem} GROUP BY l_orderkey) m ON l_orderkey = o_orderkey) o"""
 
 _CALLS_SQL = f"""WITH lines AS ({_LINE_CALLS.format(lineitem='lineitem')}),
 calls AS (SELECT 'PCM' AS kind, orderkey * 100 + n AS opid, 2 AS level, name, 'OP_ORDER.' || name AS path, round(duration, 6) AS duration, cast(records AS bigint) AS records,
@@ -39,12 +41,13 @@ PROFILE_COLUMNS = """round(sum(duration), 6) AS total, count(*) AS calls, cast(s
 def trace_path(i: Inputs) -> str:
     """Trace logs of four processes, one directory per log."""
     calls = i.spark.sql(_LINE_CALLS, lineitem=i.table("lineitem"))
-    rows = i.spark.sql(_TRACE_ROWS, calls=calls, orders=i.table("orders"))
+    nested = i.spark.sql(_NESTED_ROWS, calls=calls)
+    rows = nested.unionAll(i.spark.sql(_ORDER_ROWS, orders=i.table("orders"), lineitem=i.table("lineitem")))
     name = F.concat(lit("cm."), (col("orderkey") % 4).cast("string"), lit(".20240101_000000.plog.txt"))
     path = i.scratch("trace")
     rows = rows.withColumn("trace", name)
-    # Range partitions end between orders: each file holds whole calls.
-    rows.repartitionByRange("trace", "orderkey").sortWithinPartitions("trace", "orderkey", "line_no").select(
+    # Partitioned by order: each file holds whole calls.
+    rows.repartition("orderkey").sortWithinPartitions("trace", "orderkey", "line_no").select(
         "trace", "value"
     ).write.partitionBy("trace").text(path)
     return path

@@ -39,11 +39,11 @@ def listagg(
     df: DataFrame, keys: Sequence[str], item: str, order: Sequence[str], name: str = "items", sep: str = ", "
 ) -> DataFrame:
     """Ordered string list per key; null items are left out."""
-    ordered = F.array_sort(F.collect_list(F.when(F.col(item).isNotNull(), F.struct(*order, F.col(item).alias("_i")))))
-    return df.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda x: x["_i"]), sep).alias(name))
+    ordered = F.sort_array(F.collect_list(F.when(F.col(item).isNotNull(), F.struct(*order, F.col(item).alias("_i")))))
+    return df.groupBy(*keys).agg(F.array_join(ordered["_i"], sep).alias(name))
 
 
-def flow_chain_stats(steps: DataFrame) -> DataFrame:
+def flow_chain_stats(steps: DataFrame, cell_rows=None) -> DataFrame:
     """Whole-flow statistics per chain of components.
 
     ``steps`` has ``ecid, instance_id, cdn, created, end_time, faulted_time`` and one row per step.
@@ -53,30 +53,18 @@ def flow_chain_stats(steps: DataFrame) -> DataFrame:
         S.seconds_between(F.min("created"), F.max("end_time")).alias("duration"),
         F.min("faulted_time").alias("faulted_time"),
         F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("created", "instance_id", "cdn"))), lambda x: x["cdn"]
-            ),
-            ", ",
+            F.sort_array(F.collect_list(F.struct("created", "instance_id", "cdn")))["cdn"], ", "
         ).alias("cdns"),
     )
-    stats = first.groupBy("cdns").agg(
+    stats = P.with_rank(first, ["cdns"], ["duration", "ecid"], cell_rows).groupBy("cdns").agg(
         F.count(F.lit(1)).alias("count"),
         F.count("faulted_time").alias("count_faulted"),
         F.round(F.min("duration"), 3).alias("min_time"),
         F.round(F.max("duration"), 3).alias("max_time"),
         F.round(F.avg("duration"), 3).alias("avg_time"),
         F.min("instance_id").alias("sample_cid"),
-        *(
-            []
-            if is_large(steps)
-            else [
-                F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY duration)").alias(n)
-                for n, p in FLOW_PERCENTILES.items()
-            ]
-        ),
+        *[P.pick_disc(F.col("duration"), p).alias(n) for n, p in FLOW_PERCENTILES.items()],
     )
-    if is_large(steps):
-        stats = stats.join(P.pctl_disc(first, ["cdns"], "duration", FLOW_PERCENTILES), "cdns")
     return stats.withColumn("entry_point", S.before_first(F.col("cdns"), ","))
 
 

@@ -45,9 +45,7 @@ def pair_flows(
             for end, pattern in zip((False, True), pair)
         ]
     )
-    tagged = df.withColumn("_role", F.explode(F.filter(roles, lambda r: r.isNotNull()))).select(
-        *df.columns, "_role.*"
-    )
+    tagged = df.withColumn("_role", F.explode(roles)).filter("_role IS NOT NULL").select(*df.columns, "_role.*")
     return pair_stages(tagged, ["flow", key], ~F.col("end"), F.col("end"), ts).drop("end")
 
 

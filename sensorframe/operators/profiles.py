@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 ELAPSED = "VRT_OP_ELAPSED"  # fixed value: marks the whole-trace elapsed time, level 0
 
@@ -28,27 +28,30 @@ def _measures() -> list[Column]:
     ]
 
 
-def _profile(rows: DataFrame, keys: Sequence, level1: DataFrame) -> DataFrame:
-    elapsed = level1.filter(F.col("level") == 1).agg(F.sum("duration")).scalar()
-    sums = rows.groupBy(*keys).agg(*_measures())
-    share = F.when(F.coalesce(elapsed, F.lit(0.0)) == 0, F.lit(100.0)).otherwise(100 * F.col("total") / elapsed)
+def _profile(rows: DataFrame, keys: Sequence) -> DataFrame:
+    """Sums per key. The level-1 total comes from the grouped rows, so calls are paired once."""
+    level1 = F.sum(F.when(F.col("level") == 1, F.col("duration"))).alias("_level1")
+    sums = rows.groupBy(*keys).agg(*_measures(), level1)
+    elapsed = F.coalesce(F.sum("_level1").over(Window.partitionBy(F.lit(0))), F.lit(0.0))
+    sums = sums.withColumn("_elapsed", elapsed)
+    share = F.when(F.col("_elapsed") == 0, F.lit(100.0)).otherwise(100 * F.col("total") / F.col("_elapsed"))
     average = F.when(F.col("calls") > 0, F.col("total") / F.col("calls")).otherwise(F.col("total"))
     return sums.withColumn("percentage", F.round(share, 2)).withColumn("average", F.round(average, 6)).withColumn(
         "total", F.round("total", 6)
-    )
+    ).drop("_level1", "_elapsed")
 
 
 def call_profile(calls: DataFrame) -> DataFrame:
     """Totals by operation name; the percentage is of the level-1 elapsed time."""
     rows = counted_calls(calls)
-    return _profile(rows, ["name"], rows)
+    return _profile(rows, ["name"])
 
 
 def call_path_profile(calls: DataFrame, depth: int | None = None) -> DataFrame:
     """Totals by full call path; calls nested deeper than ``depth`` are left out."""
     rows = counted_calls(calls)
     shown = rows if depth is None else rows.filter(F.col("level") <= depth)
-    return _profile(shown.withColumn("path", F.array_join("path", ".")), ["path"], rows)
+    return _profile(shown.withColumn("path", F.array_join("path", ".")), ["path"])
 
 
 def virtual_name(name: Column) -> Column:
@@ -62,13 +65,27 @@ def exclusive_time(calls: DataFrame, base_ops: Sequence[str] = ()) -> DataFrame:
     Only calls whose nested calls took time and left a positive rest count; ``base_ops`` are skipped.
     """
     rows = counted_calls(calls)
-    nested = (
-        rows.filter(F.col("parent_id").isNotNull())
-        .groupBy("file", F.col("parent_id").alias("call_id"))
-        .agg(F.sum("duration").alias("_nested"))
+    # Each call counts for itself and for its caller: one shuffle instead of a self-join.
+    zero, none = F.lit(0.0), F.lit(None)
+    parts = F.array(
+        F.struct(
+            F.col("call_id").alias("id"), F.col("name"), F.col("path"), F.col("calls"),
+            F.col("duration").alias("own"), zero.alias("nested"),
+        ),
+        F.when(
+            F.col("parent_id").isNotNull(),
+            F.struct(
+                F.col("parent_id").alias("id"), none.cast("string").alias("name"), none.cast("array<string>").alias("path"),
+                F.lit(0).cast("long").alias("calls"), zero.alias("own"), F.col("duration").alias("nested"),
+            ),
+        ),
     )
-    own = rows.join(nested, ["file", "call_id"]).withColumn("duration", F.round(F.col("duration") - F.col("_nested"), 6))
-    own = own.filter((F.col("_nested") > 0) & (F.col("duration") > 0))
+    both = rows.select("file", F.explode(parts).alias("_p")).filter("_p IS NOT NULL").select("file", "_p.*")
+    own = both.groupBy("file", "id").agg(
+        F.max("name").alias("name"), F.max("path").alias("path"), F.sum("calls").alias("calls"),
+        F.sum("own").alias("_own"), F.sum("nested").alias("_nested"),
+    ).withColumn("duration", F.round(F.col("_own") - F.col("_nested"), 6))
+    own = own.filter(F.col("name").isNotNull() & (F.col("_nested") > 0) & (F.col("duration") > 0))
     if base_ops:
         own = own.filter(~F.col("name").isin(list(base_ops)))
     return own.select(
@@ -84,9 +101,9 @@ def call_buckets(calls: DataFrame) -> DataFrame:
     rows = counted_calls(calls, buckets=True).groupBy("name", "bucket").agg(
         F.sum("calls").alias("calls"), F.max("range_from").alias("range_from"), F.max("range_to").alias("range_to")
     )
-    every = rows.filter("bucket = 0").select("name", F.col("calls").alias("_all"))
+    every = F.max(F.when(F.col("bucket") == 0, F.col("calls"))).over(Window.partitionBy("name"))
     share = F.when(F.col("_all") > 0, 100.0 * F.col("calls") / F.col("_all")).otherwise(F.lit(0.0))
-    return rows.filter("bucket > 0").join(every, "name", "left").select(
+    return rows.withColumn("_all", every).filter("bucket > 0").select(
         "name", "bucket", "range_from", "range_to", "calls", F.round(share, 2).alias("share")
     )
 
@@ -94,13 +111,19 @@ def call_buckets(calls: DataFrame) -> DataFrame:
 def cache_profile(calls: DataFrame) -> DataFrame:
     """Cached calls as an entry of their own below the operation, next to the plain profile."""
     rows = counted_calls(calls)
-    plain = rows.select("name", "calls", "duration")
-    cached = rows.filter("cache_calls > 0").select(
-        F.concat("name", F.lit("*TXN*")).alias("name"),
-        F.col("cache_calls").alias("calls"),
-        F.col("cache_time").alias("duration"),
+    entries = F.array(
+        F.struct("name", "calls", "duration"),
+        F.when(
+            F.col("cache_calls") > 0,
+            F.struct(
+                F.concat("name", F.lit("*TXN*")).alias("name"),
+                F.col("cache_calls").alias("calls"),
+                F.col("cache_time").alias("duration"),
+            ),
+        ),
     )
-    return plain.unionByName(cached).groupBy("name").agg(
+    both = rows.select(F.explode(entries).alias("_e")).filter("_e IS NOT NULL").select("_e.*")
+    return both.groupBy("name").agg(
         F.sum("calls").alias("calls"), F.round(F.sum("duration"), 6).alias("total")
     )
 

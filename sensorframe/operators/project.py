@@ -234,12 +234,7 @@ def route_entities(
             F.array(*[F.expr(pairs.get(n, common.get(n))).cast("string") for n in names]),
         )
 
-    candidates = F.array(
-        *[
-            F.struct(F.coalesce(F.expr(pred), F.lit(False)).alias("hit"), props(pairs).alias("props"))
-            for pred, pairs in entities
-        ]
-    )
+    candidates = F.array(*[F.when(F.expr(pred), F.struct(props(pairs).alias("props"))) for pred, pairs in entities])
     present = F.filter(
         F.array(
             *[F.struct(F.lit(m).alias("n"), F.col(m).cast("string").alias("v")) for m in metrics]
@@ -247,13 +242,14 @@ def route_entities(
         lambda x: x["v"].isNotNull(),
     )
     return (
-        df.withColumn("_entity", F.explode(F.filter(candidates, lambda e: e["hit"])))
+        df.withColumn("_entity", F.explode(candidates))
+        .filter("_entity IS NOT NULL")
         .withColumn("_present", present)
         .select(
             *keep,
             F.col("_entity.props").alias("properties"),
-            F.transform("_present", lambda x: x["n"]).alias("metricNames"),
-            F.array(F.transform("_present", lambda x: x["v"])).alias("metricValues"),
+            F.col("_present")["n"].alias("metricNames"),
+            F.array(F.col("_present")["v"]).alias("metricValues"),
         )
     )
 

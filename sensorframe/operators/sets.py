@@ -18,7 +18,7 @@ def union_flows(df: DataFrame, rules: Mapping[str, str], column: str = "flow") -
     ``rules`` maps a flow to its predicate. A row matching several flows appears once for each.
     """
     tags = F.array(*[F.when(F.coalesce(F.expr(p), F.lit(False)), F.lit(n)) for n, p in rules.items()])
-    return df.select("*", F.explode(F.filter(tags, lambda t: t.isNotNull())).alias(column))
+    return df.select("*", F.explode(tags).alias(column)).filter(F.col(column).isNotNull())
 
 
 def union_distinct(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -152,14 +152,14 @@ def join_lines(
     scanned = ordered_scan(
         df, keys, order, [Scan("_island", "sum", is_stop.cast("long"), before=True)], cell_rows
     ).withColumn("_island", F.coalesce(F.col("_island"), F.lit(0).cast("long")))
-    pieces = F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("_text"))))
+    pieces = F.sort_array(F.collect_list(F.struct(*order, F.col(text).alias("_text"))))
     grouped = scanned.groupBy(*keys, "_island").agg(
         pieces.alias("_pieces"), F.bool_or(is_stop).alias("_closed")
     )
     return grouped.filter("_closed").select(
         *keys,
         (F.col("_island") + 1).alias("record"),
-        F.array_join(F.transform("_pieces", lambda p: p["_text"]), sep).alias(text),
+        F.array_join(F.col("_pieces")["_text"], sep).alias(text),
     )
 
 
@@ -185,15 +185,36 @@ def zscore_signals(
     start = len(history)
     filtered = np.concatenate([history, y]).astype("float64")
     signals = np.zeros(len(y), dtype="int32")
-    for i in range(start, len(filtered)):
-        if i < lag:
-            continue
-        # The first judged point uses the first lag values; later ones the window ending two back.
-        base = filtered[0:lag] if i == lag and start <= lag else filtered[i - 1 - lag : i - 1]
-        mean, std = base.mean(), base.std()
-        if abs(filtered[i] - mean) > threshold * std:
-            signals[i - start] = 1 if filtered[i] > mean else -1
-            filtered[i] = influence * filtered[i] + (1 - influence) * filtered[i - 1]
+    first, total = max(start, lag), len(filtered)
+    if first >= total:
+        return signals, filtered
+    # The first judged point uses the first lag values; later ones the window ending two back.
+    at = np.arange(first, total)
+    base = np.maximum(at - 1 - lag, 0)
+    windows = np.lib.stride_tricks.sliding_window_view(filtered, lag)
+    mean, std = windows.mean(axis=1)[base], windows.std(axis=1)[base]
+    # Points beyond the limit as long as no value in their window has been replaced.
+    beyond = at[np.abs(filtered[first:] - mean) > threshold * std]
+    i, touched_until = first, -1
+    while i < total:
+        if i > touched_until:
+            ahead = np.searchsorted(beyond, i)
+            if ahead == len(beyond):
+                break
+            i = int(beyond[ahead])
+            centre = mean[i - first]
+        else:
+            window = filtered[max(i - 1 - lag, 0) :][:lag]
+            centre = window.mean()
+            if not abs(filtered[i] - centre) > threshold * window.std():
+                i += 1
+                continue
+        signals[i - start] = 1 if filtered[i] > centre else -1
+        smoothed = influence * filtered[i] + (1 - influence) * filtered[i - 1]
+        if smoothed != filtered[i]:
+            filtered[i] = smoothed
+            touched_until = i + 1 + lag
+        i += 1
     return signals, filtered
 
 

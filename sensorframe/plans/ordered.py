@@ -184,15 +184,19 @@ def fold_series(
             pdf = pdf.reset_index(drop=True)
             changed = (pdf[key_cols] != pdf[key_cols].shift()).any(axis=1).to_numpy()
             starts = [*np.flatnonzero(changed), len(pdf)]
-            for at, end in zip(starts, starts[1:]):
-                key = tuple(pdf.loc[at, key_cols])
+            key_values = list(zip(*[pdf[k].to_numpy()[starts[:-1]] for k in key_cols]))
+            outs = []
+            for at, end, key in zip(starts, starts[1:], key_values):
                 if key != current:
                     if finish is not None and current is not None:
-                        yield finish(state)
+                        outs.append(finish(state))
                     current, state = key, None
                 state, out = step(state, pdf.iloc[at:end])
-                if len(out):
-                    yield out
+                outs.append(out)
+            # One output batch per input batch, however many series it holds.
+            outs = [out for out in outs if len(out)]
+            if outs:
+                yield pd.concat(outs, ignore_index=True)
         if finish is not None and current is not None:
             yield finish(state)
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 CELL_ROWS = 5_000_000
 # Heavy cells are broadcast and collected: the limit grows with the data so that they stay few.
 MAX_HEAVY = 20_000
-# Inputs estimated below this size fit one task anyway; the counting pass is skipped.
+# Inputs below this size fit one task anyway; the counting pass is skipped.
 PROBE_BYTES = 512 << 20
 MAX_LEVELS = 8
 PIECES_LIMIT = 1 << 20
@@ -39,8 +39,14 @@ class Cells:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Optimizer's size estimate, available without running a job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Size estimate available without running a job.
+
+    The optimizer multiplies sizes at joins, so its figure is capped by the bytes of the inputs.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    read = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    return min(int(plan.stats().sizeInBytes()), read)
 
 
 def is_large(df: DataFrame) -> bool:

@@ -25,13 +25,13 @@ class AccessLogConfig:
 
 def parse_access_log(lines: DataFrame, cfg: AccessLogConfig, file: str = "file") -> DataFrame:
     """``server, minute, second, method, url, status, bytes, seconds`` of matching requests."""
-    parts = F.split(F.trim("value"), r"\s+")
+    parts = F.col("_parts")
 
     def field(position: int):
         return F.try_element_at(parts, F.lit(position)) if position else F.lit(None).cast("string")
 
     server = F.nullif(F.regexp_extract(file, cfg.server_pattern, 0), F.lit("")) if cfg.server_pattern else F.lit(None)
-    rows = lines.select(
+    rows = lines.withColumn("_parts", F.split(F.trim("value"), r"\s+")).select(
         F.coalesce(server, F.lit("n/a")).alias("server"),
         F.concat_ws(" ", field(cfg.date_field), field(cfg.time_field)).alias("second"),
         field(cfg.method_field).alias("method"),

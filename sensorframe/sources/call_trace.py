@@ -20,19 +20,24 @@ FINISH_FIELDS = {
 
 def parse_call_trace(lines: DataFrame) -> DataFrame:
     """Typed start and finish rows; process, chain and end time come from the file name."""
-    parts = F.split("value", ",")
+    # A column of its own: inlined, the split would run once per field.
+    parts = F.col("_parts")
     start = parts[0] == "S"
 
     def field(position: int, kind: str, when: Column) -> Column:
         value = F.get(parts, F.lit(position))
         return F.when(when, value if kind == "string" else value.try_cast(kind))
 
-    name = r"([^/.=]+)\.(\d+)\.(?:[\d_]+\.)?(\d{8}_\d{6})\.plog\.txt"
-    return lines.filter(F.trim("value") != "").select(
+    # <chain>.<process>[.<start>].<end>.plog.txt, as a file or directory name.
+    title = F.substring_index(F.substring_index(F.substring_index("file", ".plog.txt", 1), "/", -1), "=", -1)
+    rows = lines.filter(F.trim("value") != "").select(
+        "file", "block", "pos", F.split("value", ",").alias("_parts"), F.split(title, r"\.").alias("_title")
+    )
+    return rows.select(
         "file", "block", "pos",
-        F.nullif(F.regexp_extract("file", name, 2), F.lit("")).alias("process"),
-        F.nullif(F.regexp_extract("file", name, 1), F.lit("")).alias("chain"),
-        F.try_to_timestamp(F.regexp_extract("file", name, 3), F.lit("yyyyMMdd_HHmmss")).alias("ended"),
+        F.get("_title", F.lit(1)).alias("process"),
+        F.get("_title", F.lit(0)).alias("chain"),
+        F.try_to_timestamp(F.try_element_at("_title", F.lit(-1)), F.lit("yyyyMMdd_HHmmss")).alias("ended"),
         F.when(start, "S").otherwise("F").alias("kind"),
         F.coalesce(F.when(start, F.get(parts, F.lit(6))).otherwise(F.get(parts, F.lit(1))).try_cast("double"), F.lit(0.0)).alias("time"),
         *[field(p, k, start).alias(n) for n, (p, k) in START_FIELDS.items()],

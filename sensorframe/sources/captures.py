@@ -19,15 +19,17 @@ def _cells(text: Column) -> Column:
     return F.split(F.trim(text), r"\s+")
 
 
-def _by_position(parts: Column, columns: Sequence[str]) -> list[Column]:
-    return [F.get(parts, F.lit(i)).alias(c) for i, c in enumerate(columns)]
+def _by_position(df: DataFrame, parts: Column, columns: Sequence[str], keep: Sequence[str] = ("file",)) -> DataFrame:
+    """Cells by position. They are split in a step of their own; inlined, the split would run once per column."""
+    cells = df.select(*keep, parts.alias("_parts"))
+    return cells.select(*keep, *[F.get("_parts", F.lit(i)).alias(c) for i, c in enumerate(columns)])
 
 
 def parse_table_capture(lines: DataFrame, columns: Sequence[str], skip: int = 1, cell_rows=None) -> DataFrame:
     """Whitespace table: the first ``skip`` lines of a capture (headers, first sample) are left out."""
     numbered = ordered_scan(lines, FILE, ORDER, [Scan("_rn", "count")], cell_rows)
     rows = numbered.filter((F.col("_rn") > skip) & (F.trim("value") != ""))
-    return rows.select("file", *_by_position(_cells(F.regexp_replace("value", "%", "")), columns))
+    return _by_position(rows, _cells(F.regexp_replace("value", "%", "")), columns)
 
 
 def parse_summary_line(lines: DataFrame, pattern: str, columns: Sequence[str], failed: str = "-1") -> DataFrame:
@@ -49,10 +51,8 @@ def parse_section_capture(
     marker = F.when(opens, True).when(blank, False)
     inside = ordered_scan(lines, FILE, ORDER, [Scan("_inside", "last", marker)], cell_rows)
     rows = inside.filter(F.coalesce(F.col("_inside"), F.lit(False)) & ~opens & ~blank)
-    out = rows.select("file", *ORDER, *_by_position(_cells(F.col("value")), columns))
-    if exclude:
-        out = out.filter(~F.col(columns[0]).rlike(exclude))
-    return out.drop(*ORDER)
+    out = _by_position(rows, _cells(F.col("value")), columns)
+    return out.filter(~F.col(columns[0]).rlike(exclude)) if exclude else out
 
 
 def parse_kv_capture(
@@ -145,17 +145,18 @@ def demux_subsystems(lines: DataFrame, subsystem: str, header: Sequence[str] | N
     body = F.regexp_extract("value", _TAGGED, 3)
     rows = lines.filter(F.col("value").rlike(f"^>>>{subsystem}:DATA:"))
     parts = F.split(F.trim(body), r"\s*,\s*")
-    return rows.select("file", *_by_position(parts, columns))
+    return _by_position(rows, parts, columns)
 
 
 def parse_sockets(lines: DataFrame) -> DataFrame:
     """Connection rows: ports are what follows the last colon of an address."""
-    parts = _cells(F.col("value"))
+    parts = F.col("_parts")
 
     def port(i: int) -> Column:
         return F.regexp_extract(F.get(parts, F.lit(i)), r".+:([0-9]+|\*)$", 1)
 
-    return lines.filter(F.col("value").startswith("tcp")).select(
+    rows = lines.filter(F.col("value").startswith("tcp")).withColumn("_parts", _cells(F.col("value")))
+    return rows.select(
         F.get(parts, F.lit(1)).try_cast("long").alias("recv_q"),
         F.get(parts, F.lit(2)).try_cast("long").alias("send_q"),
         port(3).alias("local_port"),

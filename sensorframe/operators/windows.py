@@ -226,23 +226,23 @@ def zscore_anomaly(
     lag: int,
     threshold: float,
     influence: float,
+    cell_rows: int | None = None,
 ) -> DataFrame:
     """Smoothed z-score signal (-1, 0, 1) per row of each series.
 
-    Every point depends on the filtered values before it, so a series is walked in order. Rows are
-    sorted by Spark and streamed through in Arrow batches; only ``lag + 1`` values per series are held.
+    Every point depends on the filtered values before it, so a series is walked in order; only
+    ``lag + 1`` values per series are held.
     """
     rows = df.select(*keys, *order, y)
     schema = T.StructType([*rows.schema.fields, T.StructField("signal", T.IntegerType())])
 
     def step(state, pdf: pd.DataFrame):
-        history, seen = state or (np.empty(0), 0)
+        history = np.array(state or (), dtype="float64")
         signal, filtered = zscore_signals(pdf[y].to_numpy(dtype="float64"), history, lag, threshold, influence)
-        seen += len(pdf)
-        # While at most lag values were seen the start rule still applies: keep them all.
-        return (filtered if seen <= lag else filtered[-(lag + 1) :], seen), pdf.assign(signal=signal)
+        # While at most lag values were seen the start rule still applies; that is what a short state means.
+        return tuple(filtered[-(lag + 1) :].tolist()), pdf.assign(signal=signal)
 
-    return fold_series(rows, keys, order, step, schema)
+    return fold_series(rows, keys, order, step, schema, cell_rows=cell_rows)
 
 
 def pair_calls(

@@ -8,6 +8,7 @@ are combined.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -160,6 +161,46 @@ def full_frame(frame, n: int, value: Column) -> Column:
     return F.when(F.count(F.lit(1)).over(frame) == n, value)
 
 
+def _walk(
+    batches: Iterator[pd.DataFrame],
+    by: list[str],
+    columns: list[str],
+    step: Callable,
+    finish: Callable | None,
+    starts_with: Callable,
+    ends: Callable,
+) -> Iterator[tuple[tuple, object, list[pd.DataFrame], bool]]:
+    """Run ``step`` over sorted batches; yields ``(series, state, outputs, closed)`` per stretch of rows."""
+    current, state = None, None
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        pdf = pdf.reset_index(drop=True)
+        changed = (pdf[by] != pdf[by].shift()).any(axis=1).to_numpy()
+        starts = [*np.flatnonzero(changed), len(pdf)]
+        names = list(zip(*[pdf[k].to_numpy()[starts[:-1]] for k in by]))
+        body, outs = pdf[columns], []
+        for at, end, name in zip(starts, starts[1:], names):
+            if name != current:
+                if current is not None:
+                    if finish is not None and ends(current):
+                        outs.append(finish(state))
+                    yield current, state, outs, True
+                    outs = []
+                current, state = name, starts_with(name)
+            state, out = step(state, body.iloc[at:end])
+            outs.append(out)
+        yield current, state, outs, False
+    if current is not None:
+        yield current, state, [finish(state)] if finish is not None and ends(current) else [], True
+
+
+def _concat(pieces: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    pieces = [p for p in pieces if len(p)]
+    if pieces:
+        yield pd.concat(pieces, ignore_index=True)
+
+
 def fold_series(
     df: DataFrame,
     keys: Sequence[str],
@@ -167,38 +208,86 @@ def fold_series(
     step: Callable,
     schema: T.StructType,
     finish: Callable | None = None,
+    cell_rows: int | None = None,
 ) -> DataFrame:
     """Walk each series in order, for rules where every row depends on the outcome of earlier ones.
 
     ``step(state, rows) -> (state, out)`` gets consecutive rows of one series as a pandas frame
     (``state`` is None at its start); ``finish(state) -> out`` runs at its end. Spark sorts, and the
     rows stream through in Arrow batches, so only ``state`` is held in memory whatever the length.
+
+    A heavy series is cut into cells walked in parallel. Each cell first starts without a state; then
+    cells start again with the state their predecessor ended with until no end state changes. That is the
+    sequential answer, reached after few rounds because such rules forget old rows. States
+    must be plain values (numbers, text, tuples), equal exactly when the rule goes on equally.
     """
-    key_cols, order_cols = list(keys), list(order)
+    key_cols, order_cols, columns = list(keys), list(order), df.columns
+    cells = split_cells(df, key_cols, order_cols, cell_rows)
+    by = [*key_cols, *cells.columns]
+    initial, last_of = (_cell_states(cells, key_cols, order_cols, columns, step) if cells.columns else ({}, None))
+    known = df.sparkSession.sparkContext.broadcast((initial, last_of)) if cells.columns else None
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, None
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            pdf = pdf.reset_index(drop=True)
-            changed = (pdf[key_cols] != pdf[key_cols].shift()).any(axis=1).to_numpy()
-            starts = [*np.flatnonzero(changed), len(pdf)]
-            key_values = list(zip(*[pdf[k].to_numpy()[starts[:-1]] for k in key_cols]))
-            outs = []
-            for at, end, key in zip(starts, starts[1:], key_values):
-                if key != current:
-                    if finish is not None and current is not None:
-                        outs.append(finish(state))
-                    current, state = key, None
-                state, out = step(state, pdf.iloc[at:end])
-                outs.append(out)
-            # One output batch per input batch, however many series it holds.
-            outs = [out for out in outs if len(out)]
-            if outs:
-                yield pd.concat(outs, ignore_index=True)
-        if finish is not None and current is not None:
-            yield finish(state)
-
-    ordered = df.repartition(*key_cols).sortWithinPartitions(*key_cols, *order_cols)
+        states, last = known.value if known is not None else ({}, None)
+        n = len(key_cols)
+
+        def ends(name: tuple) -> bool:
+            return last is None or last.get(name[:n], name[n:]) == name[n:]
+
+        pieces: list[pd.DataFrame] = []
+        for _, _, outs, closed in _walk(batches, by, columns, step, finish, lambda name: states.get(name), ends):
+            pieces += outs
+            if not closed:
+                # One output batch per input batch, however many series it holds.
+                yield from _concat(pieces)
+                pieces = []
+        yield from _concat(pieces)
+
+    ordered = cells.df.repartition(*by).sortWithinPartitions(*by, *order_cols)
     return ordered.mapInPandas(walk, schema)
+
+
+def _cell_states(
+    cells: Cells, keys: list[str], order: list[str], columns: list[str], step: Callable
+) -> tuple[dict[tuple, object], dict[tuple, tuple]]:
+    """State at the start of every heavy cell, and the last cell of every heavy key.
+
+    Only end states reach the driver, one small value per heavy cell.
+    """
+    by = [*keys, *cells.columns]
+    heavy = cells.df.filter(cells.heavy)
+    spark = heavy.sparkSession
+    schema = T.StructType([*[heavy.schema[c] for c in by], T.StructField("_state", T.BinaryType())])
+
+    def end_states(rows: DataFrame, start: dict[tuple, bytes]) -> dict[tuple, bytes]:
+        shared = spark.sparkContext.broadcast(start)
+
+        def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            def begin(name: tuple):
+                raw = shared.value.get(name)
+                return None if raw is None else pickle.loads(raw)
+
+            for name, state, _, closed in _walk(batches, by, columns, step, None, begin, lambda _: False):
+                if closed:
+                    yield pd.DataFrame([(*name, pickle.dumps(state))], columns=[*by, "_state"])
+
+        ordered = rows.repartition(*by).sortWithinPartitions(*by, *order)
+        found = ordered.mapInPandas(walk, schema).collect()
+        return {tuple(r)[:-1]: bytes(r["_state"]) for r in found}
+
+    ended = end_states(heavy, {})
+    names = sorted(ended, key=lambda name: (repr(name[: len(keys)]), name[len(keys) :]))
+    before = {b: a for a, b in zip(names, names[1:]) if a[: len(keys)] == b[: len(keys)]}
+    started: dict[tuple, bytes] = {}
+    while True:
+        wanted = {name: ended[previous] for name, previous in before.items()}
+        stale = [name for name, state in wanted.items() if started.get(name) != state]
+        if not stale:
+            break
+        some = F.broadcast(spark.createDataFrame(stale, T.StructType([heavy.schema[c] for c in by])).toDF(*[f"_s_{c}" for c in by]))
+        rows = heavy.join(some, same_keys([F.col(c) for c in by], [F.col(f"_s_{c}") for c in by]), "left_semi")
+        start = {name: wanted[name] for name in stale}
+        ended.update(end_states(rows, start))
+        started.update(start)
+    last = {name[: len(keys)]: name[len(keys) :] for name in names}
+    return {name: pickle.loads(state) for name, state in started.items()}, last

@@ -67,7 +67,7 @@ def hysteresis_alert(
 
 
 def suppress(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str, hold: float
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str, hold: float, cell_rows=None
 ) -> DataFrame:
     """Actions that run: one is skipped while an earlier one of its key is active for ``hold`` seconds.
 
@@ -92,13 +92,13 @@ def suppress(
             keep.append(at)
             until = times[at] + hold
             at += 1
-        return until, pdf.iloc[keep]
+        return float(until), pdf.iloc[keep]
 
-    return fold_series(df, keys, order, step, schema)
+    return fold_series(df, keys, order, step, schema, cell_rows=cell_rows)
 
 
 def fan_in_batch(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str, n: int, timeout: float
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str, n: int, timeout: float, cell_rows=None
 ) -> DataFrame:
     """Groups of events: complete at the ``n``-th, or cut off ``timeout`` seconds after their first event.
 
@@ -131,10 +131,10 @@ def fan_in_batch(
             if count == n:
                 out.append((*key, first, t, count, True))
                 first, count = None, 0
-        return (key, first, count), frame(out)
+        return (key, None if first is None else float(first), count), frame(out)
 
     def finish(state):
         key, first, count = state
         return frame([] if first is None else [(*key, first, first + timeout, count, False)])
 
-    return fold_series(df, keys, order, step, schema, finish)
+    return fold_series(df, keys, order, step, schema, finish, cell_rows)

@@ -97,6 +97,9 @@ CASES = {
     "resample": lambda d, c: A.resample(d.withColumn("at", F.timestamp_seconds("ts")), ["device"], "at", 7, ["x"], cell_rows=c).select(
         "device", "bucket", F.round("x", 9)
     ),
+    "zscore": lambda d, c: W.zscore_anomaly(d.na.fill(0), ["device"], ["ts", "seq"], "x", 6, 1.5, 0.3, c),
+    "suppress": lambda d, c: E.suppress(d, ["device"], ["ts", "seq"], "ts", 40, c),
+    "fan_in": lambda d, c: E.fan_in_batch(d, ["device"], ["ts", "seq"], "ts", 3, 25, c),
     "pool": lambda d, c: A.pool_usage(d, ["device"], "ts", "v", 10, c),
 }
 

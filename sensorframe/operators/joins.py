@@ -36,17 +36,20 @@ def pair_flows(
 ) -> DataFrame:
     """All flows in one pass: ``flows`` maps a name to the LIKE patterns of its start and end stage.
 
-    Each row is tagged with the stages it plays, then one self-join on (flow, key) replaces a branch per flow.
+    Rows are tagged with the flows they start or end, then one join on (flow, key) replaces a branch per flow.
     """
-    roles = F.array(
-        *[
-            F.when(F.col(dn).like(pattern), F.struct(F.lit(name).alias("flow"), F.lit(end).alias("end")))
-            for name, pair in flows.items()
-            for end, pattern in zip((False, True), pair)
-        ]
+
+    def tagged(rows: DataFrame, stage: int) -> DataFrame:
+        names = F.array(*[F.when(F.col(dn).like(pair[stage]), F.lit(name)) for name, pair in flows.items()])
+        return rows.select("*", F.explode(names).alias("flow")).filter("flow IS NOT NULL")
+
+    started = tagged(df.select(key, dn, F.col(ts).alias("_started")), 0).drop(dn)
+    return (
+        tagged(df, 1)
+        .join(started, ["flow", key])
+        .withColumn("duration", S.seconds_between(F.col("_started"), F.col(ts)))
+        .drop("_started")
     )
-    tagged = df.withColumn("_role", F.explode(roles)).filter("_role IS NOT NULL").select(*df.columns, "_role.*")
-    return pair_stages(tagged, ["flow", key], ~F.col("end"), F.col("end"), ts).drop("end")
 
 
 def fault_rows(instances: DataFrame, faults: DataFrame, id_col: str = "id", fault_id: str = "composite_instance_id") -> DataFrame:

@@ -118,8 +118,15 @@ def split_cells(
         rows = heavy.collect()  # at most rows / limit, see MAX_HEAVY
         if not rows:
             break
-        table = F.broadcast(spark.createDataFrame(rows, heavy.schema))
         name = f"_cell{level}"
+        if not by:
+            # One series only: its bounds become literals, there is nothing to join on.
+            i, lo_0, width_0 = rows[0]["_cut"], rows[0]["_from"], rows[0]["_width"]
+            number = F.floor((ordinals[i][1] - F.lit(lo_0)) / F.lit(width_0)).cast("long")
+            df = df.select("*", F.lit(True).alias("_heavy"), F.coalesce(number, F.lit(0)).alias(name))
+            cells.append(name)
+            continue
+        table = F.broadcast(spark.createDataFrame(rows, heavy.schema))
         value = reduce(
             lambda acc, pair: F.when(F.col("_cut") == pair[0], pair[1]).otherwise(acc),
             [(i, o) for i, (_, o) in enumerate(ordinals)],

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import scalars as S
 from ..operators import project as R, windows as W
 from ..sinks.delivery import default_writers
+from ..sinks.state import StateTable
 from ..streaming import alerts as E, jobs as B, stateful as Z
 from .base import Catalog, Inputs, common_tables
 from .batch import RATES_SQL, rates
@@ -37,6 +38,17 @@ class Feed:
 
 @query("str01_stream_dvdt", RATES_SQL, ["metrics", "counters"])
 def _(i: Inputs) -> DataFrame:
+    rows = i.counters.select("seq", "device", "timestamp", "counter", "k", "ts")
+    feed = Feed(i, "rates")
+    state = StateTable(i.spark, i.scratch("previous"), ["device"], ["seq"])
+    write = B.rate_batches(state, ["device"], "timestamp", ["counter", "k"], ["seq"], B.to_parquet(feed.out))
+    for half in (f"ts < {HALF}", f"ts >= {HALF}"):
+        feed.push(rows.filter(half).drop("ts"), lambda s: s, write)
+    return feed.result()
+
+
+@query("str01_keyed_state", RATES_SQL, ["metrics", "counters"])
+def _(i):
     rows = i.counters.select("seq", "device", "timestamp", "counter", "k", "ts")
     feed = Feed(i, "dvdt")
     for half in (f"ts < {HALF}", f"ts >= {HALF}"):

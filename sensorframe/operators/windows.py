@@ -12,6 +12,19 @@ from ..functions.scalars import floor_div, lenient
 from ..plans.ordered import Scan, fold_series, full_frame, ordered_scan, rolling
 
 
+def counter_rows(df: DataFrame, data_cols: Sequence[str]) -> DataFrame:
+    """Counters as integers, 0 when not an integer; rows whose counters sum to 0 are left out."""
+
+    def whole(name: str) -> Column:
+        value = F.col(name)
+        if not isinstance(df.schema[name].dataType, T.IntegralType):
+            value = value.cast("string").try_cast("long")
+        return F.coalesce(value.cast("long"), F.lit(0)).alias(name)
+
+    rows = df.select(*[whole(c) if c in data_cols else F.col(c) for c in df.columns])
+    return rows.filter(sum((F.col(c) for c in data_cols), F.lit(0)) != 0)
+
+
 def dvdt(
     df: DataFrame,
     resource: Sequence[str],
@@ -26,11 +39,8 @@ def dvdt(
     Non-integers count as 0, rows whose values sum to 0 are skipped, a time step of 0 counts as 1
     and division rounds down. The first row of a resource gives no result.
     """
-    values = [F.coalesce(F.col(c).cast("string").try_cast("long"), F.lit(0)).alias(c) for c in data_cols]
     others = [c for c in df.columns if c not in data_cols]
-    rows = df.select(*others, *values)
-    total = sum((F.col(c) for c in data_cols), F.lit(0))
-    rows = rows.filter(total != 0)
+    rows = counter_rows(df, data_cols)
     before = F.struct(F.col(time_col), *data_cols)
     scanned = ordered_scan(rows, resource, order, [Scan("_prev", "prev", before)], cell_rows)
     step = F.col(time_col) - F.col(f"_prev.{time_col}")

@@ -10,6 +10,12 @@ from pyspark.sql import SparkSession
 _local: tempfile.TemporaryDirectory | None = None
 
 
+def drop_dir(spark: SparkSession, path: str) -> None:
+    """Delete a directory on whatever file system holds it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh directory in the cluster's shared folder.
 

@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.aggregates import latest
 from ..operators.windows import sliding_log
+from ..plans.storage import drop_dir
 
 
 class StateTable:
     """Newest rows per resource in versioned directories ``<path>/version=<batch id>``.
 
     A batch reads the version before its own and writes its own, so a repeated batch gives the same
-    table and a lost executor costs a task retry only. ``depth`` rows are kept per resource.
+    table and a lost executor costs a task retry only. The last two versions are kept, and ``depth``
+    rows per resource.
     """
 
     def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[str], depth: int = 1):
@@ -33,9 +35,16 @@ class StateTable:
         # The batch shrinks to its newest rows before it meets the stored state.
         rows = self._newest(batch)
         if batch_id > 0:
-            stored = self.spark.read.schema(batch.schema).parquet(self._at(batch_id - 1))
-            rows = self._newest(stored.unionByName(rows))
+            rows = self._newest(self.before(batch_id, batch).unionByName(rows))
         rows.write.mode("overwrite").parquet(self._at(batch_id))
+        if batch_id > 1:
+            drop_dir(self.spark, self._at(batch_id - 2))
+
+    def before(self, batch_id: int, like: DataFrame) -> DataFrame:
+        """Rows kept by the batch before ``batch_id``; none for the first batch."""
+        if batch_id == 0:
+            return like.limit(0)
+        return self.spark.read.schema(like.schema).parquet(self._at(batch_id - 1))
 
     def read(self) -> DataFrame:
         """Rows of the newest version."""

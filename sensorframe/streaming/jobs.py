@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..operators.filters import filter_expr, require_any_field
 from ..operators.project import apply_transforms, split_tags_fields
+from ..operators.windows import counter_rows, dvdt
 from ..plans.ordered import Scan, ordered_scan
 from ..sinks.state import StateTable
 from ..sources.metric_csv import TIME, stream_metric_files, text_schema
@@ -68,6 +69,32 @@ def stream_state(
     return write, state, log
 
 
+def rate_batches(
+    state: StateTable,
+    resource: Sequence[str],
+    time_col: str,
+    data_cols: Sequence[str],
+    order: Sequence[str],
+    passed_on: Callable[[DataFrame, int], None],
+) -> Callable[[DataFrame, int], None]:
+    """Batch function for rates of change: ``dvdt`` over each batch plus the stored previous rows.
+
+    All work stays in generated code and a resource that fills a batch is split like in the batch
+    operator; ``stateful.stream_dvdt`` keeps the previous row in the state store instead.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = counter_rows(batch, data_cols)
+        stored = state.before(batch_id, rows)
+        # Stored rows sort first; as first row of their resource they give no output themselves.
+        both = stored.withColumn("_new", F.lit(0)).unionByName(rows.withColumn("_new", F.lit(1)))
+        rates = dvdt(both, resource, time_col, data_cols, ["_new", *order])
+        passed_on(rates.drop("_new"), batch_id)
+        state.upsert(rows, batch_id)
+
+    return write
+
+
 def for_each(
     action: Callable, mode: str = "row", silent: bool = False, passed_on: Callable[[DataFrame, int], None] | None = None
 ) -> Callable[[DataFrame, int], None]:
@@ -105,30 +132,28 @@ def split_headers(
     is_header = F.ltrim("value").startswith(TIME)
     ordered = ordered_scan(
         lines, ["file"], ["block", "pos"],
-        [
-            Scan("_seen", "sum", is_header.cast("long")),
-            Scan("_rows", "count"),
-        ],
+        [Scan("_seen", "sum", is_header.cast("long")), Scan("_rows", "count")],
         cell_rows,
     )
-    first = (
-        ordered.filter(is_header & (F.col("_seen") == 1))
-        .select(F.col("file").alias("_of"), F.col("value").alias("_header"), (F.col("_rows") - 1).alias("_held"))
+    # One header per file; positions of the requested columns are found once per file, not per row.
+    headers = lines.filter(is_header).groupBy(F.col("file").alias("_of")).agg(
+        F.min_by("value", F.struct("block", "pos")).alias("_header")
     )
-    rows = ordered.filter(~is_header & (F.trim("value") != "")).join(first, F.col("file") == F.col("_of"), "left")
-    held = F.coalesce(F.col("_held"), F.lit(HELD_ROWS + 1)) > HELD_ROWS
-    names = F.when(
-        held, F.raise_error(F.lit(f"no header within {HELD_ROWS} rows"))
-    ).otherwise(F.transform(F.split("_header", ","), lambda c: F.trim(c)))
-    cells = F.split("value", ",")
-    position = names
-
-    def pick(name: str) -> Column:
-        at = F.array_position(position, name)
-        return F.when(at > 0, F.get(cells, (at - 1).cast("int"))).otherwise(F.lit(null_mark))
-
-    fixed = [F.get(cells, F.lit(i)).alias(n) for i, n in enumerate(SYSTEM[:system_n])]
-    return rows.select("file", *fixed, *[pick(c).alias(c) for c in columns])
+    names = F.transform(F.split("_header", ","), lambda c: F.trim(c))
+    places = headers.withColumn("_names", names).select(
+        "_of", *[F.array_position("_names", c).alias(f"_at{i}") for i, c in enumerate(columns)]
+    )
+    rows = ordered.filter(~is_header & (F.trim("value") != "")).join(places, F.col("file") == F.col("_of"), "left")
+    lost = F.col("_of").isNull() | ((F.col("_seen") == 0) & (F.col("_rows") > HELD_ROWS))
+    checked = F.when(lost, F.raise_error(F.lit(f"no header within {HELD_ROWS} rows"))).otherwise(F.split("value", ","))
+    rows = rows.withColumn("_cells", checked)
+
+    def pick(i: int) -> Column:
+        at = F.col(f"_at{i}")
+        return F.when(at > 0, F.get("_cells", (at - 1).cast("int"))).otherwise(F.lit(null_mark))
+
+    fixed = [F.get("_cells", F.lit(i)).alias(n) for i, n in enumerate(SYSTEM[:system_n])]
+    return rows.select("file", *fixed, *[pick(i).alias(c) for i, c in enumerate(columns)])
 
 
 SYSTEM = ("datetime", "timezone", "timestamp", "system", "source")

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.scalars import floor_div, lenient
-from ..plans.ordered import Scan, fold_series, full_frame, ordered_scan, rolling
+from ..plans.ordered import Scan, fold_series, full_frame, ordered_scan, rolling, scan_cells
+from ..plans.skew import split_cells
 
 
 def counter_rows(df: DataFrame, data_cols: Sequence[str]) -> DataFrame:
@@ -83,12 +84,11 @@ def difference_positive(
     cell_rows: int | None = None,
 ) -> DataFrame:
     """Counter increase since the last accepted row; 0 for resets, late rows and the first row."""
-    seen = ordered_scan(df, key, order, [Scan("_newest", "max", F.col(ts), before=True)], cell_rows)
-    accepted = F.col("_newest").isNull() | (F.col(ts) >= F.col("_newest"))
-    marked = seen.withColumn("_ok", accepted)
-    last = ordered_scan(
-        marked, key, order, [Scan("_last", "last", F.when(F.col("_ok"), F.col(value)), before=True)], cell_rows
-    )
+    cells = split_cells(df, key, order, cell_rows)
+    seen = scan_cells(cells, key, order, [Scan("_newest", "max", F.col(ts), before=True)])
+    marked = seen.with_columns(_ok=F.col("_newest").isNull() | (F.col(ts) >= F.col("_newest")))
+    accepted = F.when(F.col("_ok"), F.col(value))
+    last = scan_cells(marked, key, order, [Scan("_last", "last", accepted, before=True)]).df
     diff = F.when(F.col("_ok") & F.col("_last").isNotNull(), F.greatest(F.col(value) - F.col("_last"), F.lit(0)))
     return last.select(*df.columns, F.coalesce(diff, F.lit(0)).cast("double").alias(name))
 
@@ -175,10 +175,10 @@ def join_lines(
 
 def collapse_repeats(df: DataFrame, keys, order, message: str, cell_rows=None) -> DataFrame:
     """One row per run of equal messages: the first position, the message and the run length."""
-    scanned = ordered_scan(df, keys, order, [Scan("_prev", "prev", F.struct(F.col(message).alias("m")))], cell_rows)
+    cells = split_cells(df.select(*dict.fromkeys([*keys, *order, message])), keys, order, cell_rows)
+    scanned = scan_cells(cells, keys, order, [Scan("_prev", "prev", F.struct(F.col(message).alias("m")))])
     changed = F.col("_prev").isNull() | ~F.col("_prev.m").eqNullSafe(F.col(message))
-    marked = scanned.select(*keys, *order, message, changed.cast("long").alias("_new"))
-    runs = ordered_scan(marked, keys, order, [Scan("_run", "sum", F.col("_new"))], cell_rows)
+    runs = scan_cells(scanned.with_columns(_new=changed.cast("long")), keys, order, [Scan("_run", "sum", F.col("_new"))]).df
     grouped = runs.groupBy(*keys, "_run").agg(
         F.min(F.struct(*order, message)).alias("_first"), F.count(F.lit(1)).alias("repeats")
     )
@@ -267,11 +267,10 @@ def pair_calls(
     keys, order = ["file"], ["block", "pos"]
     is_start = F.col("kind") == "S"
     step = F.when(is_start, 1).otherwise(-1).cast("long")
-    nested = ordered_scan(lines, keys, order, [Scan("_after", "sum", step)], cell_rows).withColumn(
-        "_depth", (F.col("_after") + F.when(is_start, 0).otherwise(1)).cast("int")
-    )
+    nested = scan_cells(split_cells(lines, keys, order, cell_rows), keys, order, [Scan("_after", "sum", step)])
+    nested = nested.with_columns(_depth=(F.col("_after") + F.when(is_start, 0).otherwise(1)).cast("int"))
     if max_depth is None:
-        max_depth = nested.agg(F.max("_depth")).first()[0] or 1
+        max_depth = nested.df.agg(F.max("_depth")).first()[0] or 1
 
     def per_depth(prefix: str, value: Column) -> list[Scan]:
         return [
@@ -284,15 +283,14 @@ def pair_calls(
     )
     open_calls = per_depth("_o", opened)
     stack = F.slice(F.array(*[F.col(s.name) for s in open_calls]), 1, F.greatest(F.col("_depth"), F.lit(0)))
-    known = ordered_scan(nested, keys, order, open_calls, cell_rows)
-    known = known.select(*nested.columns, stack.alias("_stack")).withColumn("_start", F.try_element_at("_stack", F.lit(-1)))
+    known = scan_cells(nested, keys, order, open_calls).with_columns(_stack=stack)
+    known = known.with_columns(_start=F.try_element_at("_stack", F.lit(-1)))
 
     counts = ~is_start if with_buckets else ~is_start & (F.col("_start.bucket") == 0)
-    summed = ordered_scan(
-        known, keys, order, [Scan("_sum", "sum", F.when(counts, F.col("records")).otherwise(F.lit(0).cast("long")))], cell_rows
-    )
+    counted = F.when(counts, F.col("records")).otherwise(F.lit(0).cast("long"))
+    summed = scan_cells(known, keys, order, [Scan("_sum", "sum", counted)])
     at_start = per_depth("_r", F.col("_sum"))
-    full = ordered_scan(summed, keys, order, at_start, cell_rows).filter(~is_start)
+    full = scan_cells(summed, keys, order, at_start).df.filter(~is_start)
     sum_before = F.try_element_at(F.array(*[F.col(s.name) for s in at_start]), F.greatest(F.col("_depth"), F.lit(1)))
     own = F.when(counts, F.lit(0).cast("long")).otherwise(F.col("records"))
 

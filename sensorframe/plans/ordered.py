@@ -84,12 +84,17 @@ def ordered_scan(
     cell_rows: int | None = None,
 ) -> DataFrame:
     """Add the running values of ``scans``; ``order`` must be a total order per key."""
-    cells = split_cells(df, keys, order, cell_rows)
-    window = Window.partitionBy(*keys, *cells.columns).orderBy(*order) if (keys or cells.columns) else (
-        Window.partitionBy(F.lit(0)).orderBy(*order)
+    return scan_cells(split_cells(df, keys, order, cell_rows), keys, order, scans).plain()
+
+
+def scan_cells(cells: Cells, keys: Sequence[str], order: Sequence[str], scans: Sequence[Scan]) -> Cells:
+    """:func:`ordered_scan` on a frame already cut, so that several scans share the cut and its shuffle."""
+    window = (Window.partitionBy(*keys, *cells.columns) if keys or cells.columns else Window.partitionBy(F.lit(0))).orderBy(
+        *order
     )
     if not cells.columns:
-        return df.select("*", *[_unwrap(s, _in_cell(s, window)).alias(s.name) for s in scans])
+        out = cells.df.select("*", *[_unwrap(s, _in_cell(s, window)).alias(s.name) for s in scans])
+        return Cells(out, (), None)
 
     at = [*keys, *cells.columns]
     summary = (
@@ -110,13 +115,11 @@ def ordered_scan(
     joined = inner.join(
         F.broadcast(carry), same_keys([F.col(c) for c in at], [F.col(f"_c_{c}") for c in at]), "left"
     )
-    return joined.select(
-        *df.columns,
-        *[
-            _unwrap(s, _combine(s, F.col(f"_w_{s.name}"), F.col(f"_p_{s.name}"))).alias(s.name)
-            for s in scans
-        ],
+    out = joined.select(
+        *cells.df.columns,
+        *[_unwrap(s, _combine(s, F.col(f"_w_{s.name}"), F.col(f"_p_{s.name}"))).alias(s.name) for s in scans],
     )
+    return Cells(out, cells.columns, cells.heavy)
 
 
 def rolling(
@@ -139,7 +142,7 @@ def rolling(
         frame = window.orderBy(*order).rowsBetween(back, 0)
         return df.select("*", *[fn(frame).alias(name) for name, fn in values])
     block_rows = max(cell_rows or 1_000_000, n)
-    numbered = ordered_scan(df, keys, order, [Scan("_rn", "count")], cell_rows)
+    numbered = scan_cells(cells, keys, order, [Scan("_rn", "count")]).plain()
     block = F.floor((F.col("_rn") - 1) / block_rows)
     position = (F.col("_rn") - 1) % block_rows
     spread = numbered.withColumn("_own", block).withColumn(

@@ -37,6 +37,13 @@ class Cells:
     columns: tuple[str, ...]
     heavy: str | None  # boolean column: the row's key was split
 
+    def with_columns(self, **columns: Column) -> Cells:
+        return Cells(self.df.withColumns(columns), self.columns, self.heavy)
+
+    def plain(self) -> DataFrame:
+        """The frame without cell columns."""
+        return self.df.drop(*self.columns, self.heavy) if self.heavy else self.df
+
 
 def plan_bytes(df: DataFrame) -> int:
     """Size estimate available without running a job.

@@ -8,7 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..plans.ordered import Scan, fold_series, ordered_scan
+from ..plans.ordered import Scan, fold_series, scan_cells
+from ..plans.skew import split_cells
 
 OPERATORS = {
     "gt": lambda a, b: a > b,
@@ -45,11 +46,10 @@ def flag_counts(
     """Counter after each row: a raise adds one, a clear resets it."""
     up = F.coalesce(raised, F.lit(False)).cast("long")
     down = F.coalesce(cleared, F.lit(False))
-    total = ordered_scan(df, resource, order, [Scan("_raised", "sum", up)], cell_rows)
-    base = ordered_scan(
-        total, resource, order, [Scan("_base", "last", F.when(down, F.col("_raised")))], cell_rows
-    )
-    return base.select(*df.columns, (F.col("_raised") - F.coalesce(F.col("_base"), F.lit(0))).alias(name))
+    cells = split_cells(df, resource, order, cell_rows)
+    total = scan_cells(cells, resource, order, [Scan("_raised", "sum", up)])
+    base = scan_cells(total, resource, order, [Scan("_base", "last", F.when(down, F.col("_raised")))])
+    return base.df.select(*df.columns, (F.col("_raised") - F.coalesce(F.col("_base"), F.lit(0))).alias(name))
 
 
 def clear_by_prefix(name: Column, flag: str, prefix: bool = False) -> Column:

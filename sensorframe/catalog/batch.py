@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import scalars as S
 from ..functions.transforms import TransformRegistry
 from ..operators import aggregates as A, filters as L, percentiles as P, project as R, sets as U, sorts as O, windows as W
-from .base import Catalog, Inputs
+from .base import Catalog, Inputs, common_tables
 
 catalog = Catalog()
 query = catalog.query
@@ -414,7 +414,23 @@ def _(i):
     return W.sliding_log(i.metrics, ["device"], ["seq"], 20).select("seq", "device", "value")
 
 
-@query("win09_zscore_anomaly")
+def zscore_sql(lag: int, threshold: float, influence: float) -> str:
+    """The smoothed z-score as recursion over rows; ``f`` holds the last ``lag + 1`` filtered values."""
+    window = f"list_slice(s.f, 1, {lag})"
+    far = f"s.n >= {lag} AND abs(r.value - list_aggregate({window}, 'avg')) > {threshold} * list_aggregate({window}, 'stddev_pop')"
+    return (
+        "WITH RECURSIVE "
+        + common_tables("metrics")[len("WITH ") :]
+        + f""", rows AS (SELECT device, seq, value, row_number() OVER (PARTITION BY device ORDER BY seq) AS n FROM metrics),
+    s AS (SELECT device, seq, value, n, [value] AS f, 0 AS signal FROM rows WHERE n = 1
+      UNION ALL SELECT r.device, r.seq, r.value, r.n,
+        list_slice(list_append(s.f, CASE WHEN {far} THEN {influence} * r.value + (1 - {influence}) * s.f[-1] ELSE r.value END), -{lag + 1}, -1),
+        CASE WHEN {far} THEN CASE WHEN r.value > list_aggregate({window}, 'avg') THEN 1 ELSE -1 END ELSE 0 END
+      FROM s JOIN rows r ON r.device = s.device AND r.n = s.n + 1) """
+    )
+
+
+@query("win09_zscore_anomaly", zscore_sql(10, 2.0, 0.5) + "SELECT device, seq, value, cast(signal AS int) AS signal FROM s")
 def _(i):
     return W.zscore_anomaly(i.metrics, ["device"], ["seq"], "value", 10, 2.0, 0.5)
 
@@ -715,6 +731,7 @@ def _(i):
 
 @query(
     "udf03_series_aggregate",
+    zscore_sql(5, 3.0, 0.0) + "SELECT device, count(*) FILTER (signal = 1) AS high, count(*) FILTER (signal = -1) AS low FROM s GROUP BY device",
 )
 def _(i):
     signals = W.zscore_anomaly(i.metrics, ["device"], ["seq"], "value", 5, 3.0, 0.0)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import scalars as S
-from ..operators import project as R, windows as W
 from ..sinks.delivery import default_writers
 from ..sinks.state import StateTable
 from ..streaming import alerts as E, jobs as B, stateful as Z

@@ -21,10 +21,11 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # Rows one task should sort. The number of heavy cells is at most rows / CELL_ROWS.
 CELL_ROWS = 5_000_000
-# Heavy cells are broadcast and collected: the limit grows with the data so that they stay few.
+# Heavy cells are collected and broadcast. Should there be more than this, the row limit is raised
+# to a share of the data that keeps them below it.
 MAX_HEAVY = 20_000
 # Inputs below this size fit one task anyway; the counting pass is skipped.
-PROBE_BYTES = 512 << 20
+PROBE_BYTES = 128 << 20
 MAX_LEVELS = 8
 PIECES_LIMIT = 1 << 20
 
@@ -78,6 +79,27 @@ def _ordinal(df: DataFrame, name: str) -> Column | None:
     return None
 
 
+def _heavy_groups(df: DataFrame, by: Sequence[str], ordinals: Sequence[Column], limit: int) -> DataFrame:
+    """Groups above ``limit`` rows with the sort column to cut along, its lower bound and the cell width.
+
+    One pass; partial aggregation keeps the shuffle to one row per group and map task.
+    """
+    stats = [F.count(F.lit(1)).alias("_n")]
+    for i, ordinal in enumerate(ordinals):
+        stats += [F.min(ordinal).alias(f"_lo{i}"), F.max(ordinal).alias(f"_hi{i}")]
+    groups = df.groupBy(*by).agg(*stats).filter(F.col("_n") > limit)
+    cut, lo, width = F.lit(None).cast("int"), F.lit(None).cast("double"), F.lit(None).cast("double")
+    pieces = F.least(F.ceil(F.col("_n") * 2 / limit), F.lit(PIECES_LIMIT)).cast("double")
+    for i in reversed(range(len(ordinals))):
+        splits = F.col(f"_lo{i}") < F.col(f"_hi{i}")
+        cut = F.when(splits, F.lit(i)).otherwise(cut)
+        lo = F.when(splits, F.col(f"_lo{i}")).otherwise(lo)
+        width = F.when(splits, (F.col(f"_hi{i}") - F.col(f"_lo{i}")) / pieces).otherwise(width)
+    return groups.select(
+        *[F.col(k).alias(f"_k_{k}") for k in by], cut.alias("_cut"), lo.alias("_from"), width.alias("_width")
+    ).filter("_cut IS NOT NULL AND _width > 0")
+
+
 def split_cells(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], cell_rows: int | None = None
 ) -> Cells:
@@ -97,32 +119,18 @@ def split_cells(
     if not ordinals:
         return Cells(df, (), None)
 
-    limit = cell_rows
-    if limit is None:
-        limit = max(CELL_ROWS, df.count() // MAX_HEAVY)
-
+    limit = cell_rows or CELL_ROWS
     spark = df.sparkSession
     cells: list[str] = []
     for level in range(MAX_LEVELS):
         by = [*keys, *cells]
-        # One pass: size and bounds per group, heavy groups only. Partial aggregation keeps
-        # the shuffle to one row per group and map task.
-        stats = [F.count(F.lit(1)).alias("_n")]
-        for i, (_, ordinal) in enumerate(ordinals):
-            stats += [F.min(ordinal).alias(f"_lo{i}"), F.max(ordinal).alias(f"_hi{i}")]
         source = df if not cells else df.filter("_heavy")
-        heavy = source.groupBy(*by).agg(*stats).filter(F.col("_n") > limit)
-        cut, lo, width = F.lit(None).cast("int"), F.lit(None).cast("double"), F.lit(None).cast("double")
-        pieces = F.least(F.ceil(F.col("_n") * 2 / limit), F.lit(PIECES_LIMIT)).cast("double")
-        for i in reversed(range(len(ordinals))):
-            splits = F.col(f"_lo{i}") < F.col(f"_hi{i}")
-            cut = F.when(splits, F.lit(i)).otherwise(cut)
-            lo = F.when(splits, F.col(f"_lo{i}")).otherwise(lo)
-            width = F.when(splits, (F.col(f"_hi{i}") - F.col(f"_lo{i}")) / pieces).otherwise(width)
-        heavy = heavy.select(
-            *[F.col(k).alias(f"_k_{k}") for k in by], cut.alias("_cut"), lo.alias("_from"), width.alias("_width")
-        ).filter("_cut IS NOT NULL AND _width > 0")
-        rows = heavy.collect()  # at most rows / limit, see MAX_HEAVY
+        heavy = _heavy_groups(source, by, [o for _, o in ordinals], limit)
+        rows = heavy.limit(MAX_HEAVY + 1).collect()
+        if len(rows) > MAX_HEAVY:
+            limit = max(limit, source.count() // MAX_HEAVY)
+            heavy = _heavy_groups(source, by, [o for _, o in ordinals], limit)
+            rows = heavy.collect()  # at most rows / limit groups are larger than limit
         if not rows:
             break
         name = f"_cell{level}"

@@ -121,3 +121,15 @@ def test_constant_order_columns_cannot_be_cut(spark):
     cells = split_cells(df, ["k"], ["t"], 100)
     assert cells.columns == ()
     assert split_cells(df, ["k"], ["t", "id"], 100).columns
+
+
+def test_many_heavy_keys_raise_the_limit(spark, monkeypatch):
+    from sensorframe.plans import skew
+
+    monkeypatch.setattr(skew, "MAX_HEAVY", 10)
+    df = spark.range(3000).select((F.col("id") % 40).alias("k"), F.col("id").alias("t"), F.lit(1).alias("v"))
+    assert split_cells(df, ["k"], ["t"], 20).columns == ()
+    hot = df.withColumn("k", F.when(F.col("t") % 3 == 0, F.lit(0).cast("long")).otherwise(F.col("k")))
+    assert split_cells(hot, ["k"], ["t"], 20).columns
+    cut = ordered_scan(hot, ["k"], ["t"], [Scan("n", "count")], 20)
+    assert rows_of(cut) == rows_of(ordered_scan(hot, ["k"], ["t"], [Scan("n", "count")]))

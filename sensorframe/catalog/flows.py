@@ -175,8 +175,8 @@ def _(i):
     failed = U.union_flows(J.fault_rows(rows, i.faults), starts).select(
         "flow", "created", lit(None).cast("double").alias("duration"), "err"
     )
-    every = done.unionByName(failed).withColumn("minute", S.minute_text(col("created")))
-    return A.flow_stats(every, ["flow", "minute"])
+    every = done.unionByName(failed).withColumn("minute", S.minute_of(col("created")))
+    return A.flow_stats(every, ["flow", "minute"]).withColumn("minute", S.minute_text(col("minute")))
 
 
 _STEPS = f"""SELECT i.ecid, i.id AS instance_id, {_ITEM} || ' (' || cast(i.quantity % 3 AS string) || ')' AS cdn, i.created,
@@ -273,7 +273,7 @@ _RESULT_SQL = """CASE WHEN state <> 32 AND error_message IS NULL THEN 'JTA Timeo
 )
 def _(i):
     faults = i.faults.select(col("composite_instance_id").alias("id"), "error_message")
-    rows = J.enrich(i.instances, [(faults, ["id"])]).withColumn("minute", S.minute_text(col("created")))
+    rows = J.enrich(i.instances, [(faults, ["id"])]).withColumn("minute", S.minute_of(col("created")))
     text = col("error_message")
     results = [
         ((col("state") != 32) & text.isNull(), "JTA Timeout"),
@@ -282,7 +282,7 @@ def _(i):
         (text.isNull(), "OK"),
     ]
     flows = [(F.instr("composite_dn", "Consumer") > 0, "IN"), (F.instr("composite_dn", "Producer") > 0, "OUT")]
-    return A.classify_count(rows, ["minute"], results, flows)
+    return A.classify_count(rows, ["minute"], results, flows).withColumn("minute", S.minute_text(col("minute")))
 
 
 @query(

@@ -62,8 +62,13 @@ def epoch_seconds(ts: Column) -> Column:
     return F.unix_seconds(ts.cast("timestamp"))
 
 
+def minute_of(ts: Column) -> Column:
+    """Minute as a timestamp: group by this, and format the few results afterwards."""
+    return F.date_trunc("minute", ts.cast("timestamp"))
+
+
 def minute_text(ts: Column, pattern: str = "yy-MM-dd HH:mm") -> Column:
-    return F.date_format(F.date_trunc("minute", ts.cast("timestamp")), pattern)
+    return F.date_format(minute_of(ts), pattern)
 
 
 def offset_seconds(offset: Column) -> Column:

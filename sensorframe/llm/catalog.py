@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op8_byte_bpe
+from .fingerprints import op1_lz_fingerprints
 from .mixing import op4_mix_sources
+from .quality import op10_quality
 from .sharding import op6_ring_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lz_fingerprints": op1_lz_fingerprints,
     "op4_mix_sources": op4_mix_sources,
     "op6_ring_shards": op6_ring_shards,
     "op8_byte_bpe": op8_byte_bpe,
+    "op10_quality": op10_quality,
 }
 SQL: dict[str, str] = {}

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op8_byte_bpe
+from .embeddings import op3_pca_tiles
 from .fingerprints import op1_lz_fingerprints
 from .mixing import op4_mix_sources
 from .quality import op10_quality
@@ -14,6 +15,7 @@ from .sharding import op6_ring_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lz_fingerprints": op1_lz_fingerprints,
+    "op3_pca_tiles": op3_pca_tiles,
     "op4_mix_sources": op4_mix_sources,
     "op6_ring_shards": op6_ring_shards,
     "op8_byte_bpe": op8_byte_bpe,

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op8_byte_bpe
 from .embeddings import op3_pca_tiles
 from .fingerprints import op1_lz_fingerprints
+from .jaccard_join import op7_prefix_jaccard
 from .mixing import op4_mix_sources
 from .quality import op10_quality
 from .sharding import op6_ring_shards
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pca_tiles": op3_pca_tiles,
     "op4_mix_sources": op4_mix_sources,
     "op6_ring_shards": op6_ring_shards,
+    "op7_prefix_jaccard": op7_prefix_jaccard,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_quality": op10_quality,
 }

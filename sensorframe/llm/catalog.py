@@ -10,6 +10,7 @@ from .bpe import op8_byte_bpe
 from .embeddings import op3_pca_tiles
 from .fingerprints import op1_lz_fingerprints
 from .jaccard_join import op7_prefix_jaccard
+from .line_dedup import op9_edit_lines
 from .mixing import op4_mix_sources
 from .quality import op10_quality
 from .sharding import op6_ring_shards
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_ring_shards": op6_ring_shards,
     "op7_prefix_jaccard": op7_prefix_jaccard,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_edit_lines": op9_edit_lines,
     "op10_quality": op10_quality,
 }
 SQL: dict[str, str] = {}

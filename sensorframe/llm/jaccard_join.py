@@ -27,10 +27,12 @@ from .components import connected_components
 from .shingles import Shingler, band_keys, set_key
 
 BANDS, BAND_ROWS = 8, 3
-MAX_COST = 24  # documents with a shingle from which it counts as common
+MAX_COST = 3  # components with a shingle from which passing it over, at one more posting, is cheaper than its candidates
 MAX_COMMON = 1 << 20  # bounds the set of common shingles that every task holds (4 bytes each)
 FILTER_BITS = 1 << 23  # of the filter that keeps texts without candidates from being cut again
+EXTRA = 20  # a lengthened prefix asks for one in so many of a set's shingles
 STARS = 2
+BLOCK = 128  # documents of a block of candidates
 
 
 def _base(n: np.ndarray | int, percent: int):
@@ -67,34 +69,38 @@ def profiles(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, common: np.ndarray, width: int, percent: int) -> DataFrame:
-    """``doc_id, n, passed, tokens``: the adaptive prefix without its ``passed`` common shingles.
+    """``doc_id, n, passed, extra, tokens``: the adaptive prefix without its ``passed`` common shingles.
 
-    A set with too few others ends its prefix with common ones, which then meet only those of such sets.
+    It holds enough others for a partner to share ``1 + extra`` of them. A set with too few others ends its prefix with common ones, which then meet only those of such sets.
     """
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, often = Shingler(width), shared.value
         for batch in batches:
-            n, passed, tokens = [], [], []
+            n, passed, extra, tokens = [], [], [], []
             for text in batch.column("text").to_pylist():
                 s = cut(text)
                 size = _base(len(s), percent) + 1 if len(s) else 0
                 at = np.searchsorted(often, buckets := _bucket(s))
                 known = np.zeros(len(s), bool) if not len(often) else often[np.minimum(at, len(often) - 1)] == buckets
+                # A document that passes over common shingles is lengthened once more, to ask for several others in common.
+                more = len(s) // EXTRA if known[:size].any() else 0
+                size += more
                 rare = np.flatnonzero(~known)[:size]
                 last = rare[-1] + 1 if len(rare) == size and size else len(s)
                 over = np.flatnonzero(known[:last])
-                take = np.concatenate([rare, over[: size - len(rare)]])
+                take = np.concatenate([rare, over[: size - more - len(rare)]]) if len(rare) < size - more else rare
                 n.append(len(s))
                 passed.append(len(over))
+                extra.append(more if len(rare) == size else 0)
                 tokens.append(s[take].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(passed, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "passed", "tokens"],
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(passed, pa.int64()), pa.array(extra, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))],
+                names=["doc_id", "n", "passed", "extra", "tokens"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, passed long, tokens array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, passed long, extra long, tokens array<long>")
 
 
 def _slot(column: str) -> Column:
@@ -126,26 +132,62 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text", _slot("doc_id").alias("p")).mapInArrow(run, "doc long, s array<long>")
 
 
+def _count(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return 0
+    at = np.searchsorted(y, x)
+    return int((y[np.minimum(at, len(y) - 1)] == x).sum())
+
+
+def _verify(percent: int):
+    """Links among the pairs of one block, from the sets of the block."""
+
+    def run(sets: pa.Table, pairs: pa.Table) -> pa.Table:
+        of: dict[int, list[np.ndarray]] = {}
+        for doc, s in zip(sets.column("doc").to_pylist(), sets.column("s"), strict=True):
+            of.setdefault(doc, []).append(s.values.to_numpy().view(np.uint64))
+        hit = []
+        for k, (a, b, least) in enumerate(zip(*(pairs.column(c).to_pylist() for c in ("a", "b", "l")), strict=True)):
+            for x in of.get(a, ()):
+                for y in of.get(b, ()):
+                    if _count(x[: _base(len(x), percent) + least], y[: _base(len(y), percent) + least]) >= least:
+                        near = _count(x, y)
+                        if 100 * near >= percent * (len(x) + len(y) - near):
+                            hit.append(k)
+        return pairs.select(["a", "b"]).take(pa.array(sorted(set(hit)), pa.int64()))
+
+    return run
+
+
 def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of ``pairs(a, b, l)`` that reach the threshold.
 
-    First ``l`` shingles must be common to the ``l``-prefixes, then the whole sets are intersected.
+    First ``l`` shingles must be common to the ``l``-prefixes, then the whole sets are intersected. Pairs are gathered in blocks of
+    about ``BLOCK`` documents that meet each other, so that a set travels once per block and not once per pair: components
+    of the candidates that are small share blocks, large ones are dealt over blocks that meet two by two.
     """
     pairs = save(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    sets = sets_of(docs, wanted, width)
-    with_a = pairs.join(sets.select(F.col("doc").alias("a"), F.col("s").alias("sa")), "a")
-    both = with_a.join(sets.select(F.col("doc").alias("b"), F.col("s").alias("sb")), "b")
-
-    def head(s: str) -> Column:
-        n = F.size(s).cast("long")
-        return F.slice(s, F.lit(1), (n - F.floor((n * percent + 99) / 100) + F.col("l")).cast("int"))
-
-    near = F.size(F.array_intersect("sa", "sb")).cast("long")
-    enough = near * 100 >= (F.size("sa") + F.size("sb") - near) * percent
-    prefix = F.size(F.array_intersect(head("sa"), head("sb"))) >= F.col("l")
-    links = save(both.filter(F.when(prefix, enough).otherwise(F.lit(False))).select("a", "b"), "links")
-    drop_saved(pairs)
+    parts = save(connected_components(pairs, "a", "b"), "pair-components")
+    blocks = max(1, -(-parts.count() // BLOCK))
+    sizes = parts.groupBy("component_id").agg(F.count(F.lit(1)).alias("size"))
+    large = F.col("size") > BLOCK
+    placed = parts.join(sizes, "component_id").select(
+        "node", large.alias("large"), F.when(large, F.col("component_id")).otherwise(F.pmod(F.xxhash64("component_id"), F.lit(blocks))).alias("g"),
+        F.when(large, F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK))).otherwise(F.lit(0)).cast("long").alias("part"),
+    )
+    other = placed.select(F.col("node").alias("b"), F.col("part").alias("pb"))
+    keys = ["large", "g", "i", "j"]
+    dealt = pairs.join(placed.withColumnRenamed("node", "a"), "a").join(other, "b")
+    dealt = save(dealt.select("large", "g", F.least("part", "pb").alias("i"), F.greatest("part", "pb").alias("j"), "a", "b", "l"), "dealt")
+    own = [f"_{k}" for k in keys]
+    needed = dealt.select(*[F.col(k).alias(f"_{k}") for k in keys], F.explode(F.array("a", "b")).alias("doc")).distinct()
+    sets = needed.join(sets_of(docs, parts.select(F.col("node").alias("doc")), width), "doc")
+    links = save(sets.groupBy(*own).cogroup(dealt.groupBy(*keys)).applyInArrow(_verify(percent), "a long, b long"), "links")
+    for done in (dealt, parts, pairs):
+        drop_saved(done)
     return links
 
 
@@ -189,10 +231,12 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, max_c
     often = placed.filter("doc = comp").select(F.explode("buckets").alias("t")).groupBy("t").count().filter(F.col("count") > max_cost)
     common = np.sort(often.orderBy(F.desc("count"), "t").limit(MAX_COMMON).select("t").toPandas()["t"].to_numpy(np.int32))
     long = prefixes(docs, common, width, percent).filter("n > 0").join(placed.select(F.col("doc").alias("doc_id"), "comp"), "doc_id")
-    postings = save(long.select(F.explode("tokens").alias("t"), F.col("doc_id").alias("doc"), "n", "passed", "comp"), "postings")
+    postings = save(long.select(F.explode("tokens").alias("t"), F.col("doc_id").alias("doc"), "n", "passed", "extra", "comp"), "postings")
     x, y = postings.alias("x"), postings.alias("y")
     met = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.doc") > F.col("y.doc")) & (F.col("x.comp") != F.col("y.comp")) & _alike("x.n", "y.n", percent))
-    candidates = met.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), (F.least("x.passed", "y.passed") + 1).alias("l")).distinct()
+    extra = F.least("x.extra", "y.extra")
+    met = met.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), extra.alias("e"), (F.least("x.passed", "y.passed") + extra + 1).alias("l"))
+    candidates = met.groupBy("a", "b", "e", "l").count().filter("count > e").select("a", "b", "l")
     links = links.unionByName(verified(docs, candidates, width, percent))
     final = connected_components(links, "a", "b")
     known = save(classes.join(final, F.col("doc") == F.col("node"), "left").select(

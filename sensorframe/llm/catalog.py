@@ -14,9 +14,11 @@ from .line_dedup import op9_edit_lines
 from .mixing import op4_mix_sources
 from .quality import op10_quality
 from .sharding import op6_ring_shards
+from .url_lists import OP2_SQL, op2_temporal_lists
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lz_fingerprints": op1_lz_fingerprints,
+    "op2_temporal_lists": op2_temporal_lists,
     "op3_pca_tiles": op3_pca_tiles,
     "op4_mix_sources": op4_mix_sources,
     "op6_ring_shards": op6_ring_shards,
@@ -25,4 +27,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_edit_lines": op9_edit_lines,
     "op10_quality": op10_quality,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_temporal_lists": OP2_SQL}

@@ -55,3 +55,13 @@ def ranked(df: DataFrame, order: list[Column], rank: str, name: str) -> DataFram
     inside = parts.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     joined = inside.join(offsets, F.col("_part") == F.col("_pno"))
     return joined.withColumn(rank, (F.col("_before") + F.col("_row") - 1).cast("long")).drop("_part", "_pno", "_row", "_before")
+
+
+BROADCAST_IDS = 500_000  # ids (8 bytes each) up to which they are sent to every task
+
+
+def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose ``doc_id`` is in ``gone(doc_id)``; many ids are joined by a shuffle instead of a broadcast."""
+    gone = save(gone.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("_gone"), "left_anti")

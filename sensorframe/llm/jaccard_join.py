@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import drop_saved, read_table, save, seeded, text_of
+from .common import drop_saved, read_table, save, seeded, text_of, without_ids
 from .components import connected_components
 from .shingles import Shingler, band_keys, set_key
 
@@ -248,6 +248,21 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, max_c
     return linked.select(*fields).unionByName(alone.select(*fields))
 
 
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each component: the one with the smallest id. Of rows that repeat an id one stays.
+
+    Rows without an id stay as they are.
+    """
+    found = save(jaccard_components(docs, width, percent), "near")
+    others = found.filter("doc_id <> component_id").select("doc_id")
+    again = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    kept = without_ids(docs, others)
+    if again.isEmpty():
+        return kept
+    single = without_ids(kept, again)
+    return single.unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+
+
 def _with_component(reps: DataFrame, comps: DataFrame | None) -> DataFrame:
     if comps is None:
         return reps.withColumn("comp", F.col("doc"))

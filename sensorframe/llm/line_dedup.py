@@ -172,6 +172,24 @@ def line_report(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     )
 
 
+def without_repeats(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, copy_share: float = 0.5) -> DataFrame:
+    """``docs`` with repeated lines taken out of the texts; ``n_chars`` follows where the frame has it.
+
+    A document of which ``copy_share`` of the characters or more are repeated lines is a copy, not a text with boilerplate in it: it stays
+    whole, for a comparison of documents to decide on. Other columns, null texts and rows without repeats are unchanged.
+    """
+    found = repeated_lines(docs.filter("doc_id is not null"), edits, min_chars).distinct()
+    found = save(found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("pos").alias("_gone")), "repeated")
+    joined = docs.join(found, F.col("doc_id") == F.col("_id"), "left")
+    lines = F.split("text", "\n", -1)
+    kept = F.filter(lines, lambda _, i: ~F.array_contains("_gone", i))
+    text = F.array_join(kept, "\n")
+    copy = F.length(text) <= F.length("text") * (1 - copy_share)
+    out = joined.withColumn("_kept", F.when(F.col("_gone").isNotNull(), text))
+    out = out.withColumn("text", F.when(F.col("_kept").isNotNull() & ~copy, F.col("_kept")).otherwise(F.col("text"))).drop("_kept", "_gone", "_id")
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
 def op9_edit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lines of ``documents`` of 24 characters or more, at two edits."""
     return line_report(read_table(spark, sf_dir, "documents").select("doc_id", "text"))

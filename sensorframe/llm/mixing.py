@@ -108,12 +108,25 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(sizes, (5.0, 2.0, 1.0), 1.5, 2.0)
 
 
-def mix_documents(sizes: DataFrame, weights: tuple[float, ...], share: float, max_epochs: float, seed: int = 17) -> DataFrame:
-    """Mix ``sizes(doc_id, source, size)`` to ``share`` times its words; weights repeat over sources by code point, null last."""
+def targets_of(sizes: DataFrame, weights: tuple[float, ...], share: float, max_epochs: float) -> DataFrame:
+    """Targets of the sources of ``sizes(source, size)`` for ``share`` times all words; weights repeat over sources by code point, null last."""
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     placed = ranked(by_source, [F.col("source").asc_nulls_last()], "_at", "sources")
     cycle = F.array(*[F.lit(float(w)) for w in weights])
     sources = save(placed.withColumn("weight", F.get(cycle, F.pmod("_at", F.lit(len(weights))).cast("int"))).drop("_at"), "sources")
     total = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("n")).first()["n"] * share
-    targets = water_fill(sources, total, max_epochs)
-    return mix(sizes, targets, seed).select("doc_id", "source", "size", "source_size", "target", "taken")
+    return water_fill(sources, total, max_epochs)
+
+
+def mix_documents(sizes: DataFrame, weights: tuple[float, ...], share: float, max_epochs: float, seed: int = 17) -> DataFrame:
+    """``sizes(doc_id, source, size)`` with what the mix takes of each row, in words."""
+    mixed = mix(sizes, targets_of(sizes, weights, share, max_epochs), seed)
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def mixed_texts(docs: DataFrame, weights: tuple[float, ...], share: float, max_epochs: float, seed: int = 17) -> DataFrame:
+    """The mix of ``docs`` as documents with the same columns, whole and fractional repetitions as rows of their own."""
+    sizes = save(docs.select("source", n_words(text_of("text")).alias("size")), "sizes")
+    targets = targets_of(sizes, weights, share, max_epochs)
+    rows = docs.withColumn("size", n_words(text_of("text")))
+    return repeated(mix(rows, targets, seed), "taken").select(*docs.columns)

@@ -3,7 +3,7 @@
 Two lines within ``edits`` edits share one of ``edits + 1`` segments of the shorter line: that many edits cannot touch them all. Equal
 lines are one class first. Every class is indexed by its segments, keyed by length, number and hash, and probes for the segments of
 classes up to ``edits`` shorter. Where a segment may start in the longer line follows from the edits that can lie left and right of it,
-which leaves few starts. Classes that meet are verified by edit distance: a bit-parallel column of the ``2 edits + 1`` rows around
+which leaves few starts. Classes that meet, and whose letter counts allow so few edits, are verified by edit distance: a bit-parallel column of the ``2 edits + 1`` rows around
 the diagonal is carried over the characters, as two integers of vertical differences, so that a pair costs one step a character.
 Linked classes form components; the first line of a component by ``doc_id`` and position stays and its other occurrences are repeats.
 
@@ -103,23 +103,45 @@ def within_edits(a: str, b: str, edits: int) -> Column:
     return F.when(F.abs(F.length(a) - F.length(b)) <= edits, found <= edits).otherwise(F.lit(False))
 
 
+LETTERS = "etaniosrlu"  # counted modulo 8 in the marks of a line
+
+
+def letter_marks(line: Column) -> Column:
+    """Counts of frequent letters modulo 8, three bits each: an edit moves at most two of them, by one."""
+    marks = F.lit(0)
+    for k, letter in enumerate(LETTERS):
+        count = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
+        marks = marks + F.shiftleft(F.pmod(count, F.lit(8)), 3 * k)
+    return marks
+
+
+def marks_within(a: str, b: str, edits: int) -> Column:
+    """Whether the marks of two lines allow that few edits."""
+    apart = F.lit(0)
+    for k in range(len(LETTERS)):
+        d = (F.shiftright(a, 3 * k) - F.shiftright(b, 3 * k)).bitwiseAND(F.lit(7))
+        apart = apart + F.least(d, F.lit(8) - d)
+    return apart <= 2 * edits
+
+
 def line_classes(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """One row per distinct compared line: ``h1, h2, length, first, n, probes``."""
+    """One row per distinct compared line: ``h1, h2, first, n, marks, probes``."""
     rows = lines_of(docs).withColumn("length", F.length("line")).filter(F.col("length") >= min_chars)
     probes = F.array(*segment_hashes(F.col("line"), F.col("length"), edits)).alias("probes")
-    rows = rows.select(*_keys("line"), "length", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "pos").alias("at"), probes)
+    rows = rows.select(*_keys("line"), letter_marks(F.col("line")).alias("marks"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "pos").alias("at"), probes)
     return rows.groupBy("h1", "h2").agg(
-        F.min("at").alias("first"), F.count(F.lit(1)).alias("n"), F.first("length").alias("length"), F.first("probes").alias("probes")
+        F.min("at").alias("first"), F.count(F.lit(1)).alias("n"), F.first("marks").alias("marks"), F.first("probes").alias("probes")
     )
 
 
 def candidate_pairs(classes: DataFrame, edits: int) -> DataFrame:
-    """``a, b``: hashes of classes that share a segment, the longer line first."""
-    index = classes.select(F.col("h1").alias("b"), F.explode(F.slice("probes", 1, edits + 1)).alias("s"))
-    probe = classes.select(F.col("h1").alias("a"), F.posexplode("probes").alias("k", "t"))
-    probe = probe.select("a", "t", (F.col("k") < edits + 1 + _moved(edits)).alias("level"))
+    """``a, b``: hashes of classes that share a segment and whose letters allow so few edits, the longer line first."""
+    index = classes.select(F.col("h1").alias("b"), F.col("marks").alias("mb"), F.explode(F.slice("probes", 1, edits + 1)).alias("s"))
+    probe = classes.select(F.col("h1").alias("a"), F.col("marks").alias("ma"), F.posexplode("probes").alias("k", "t"))
+    probe = probe.select("a", "ma", "t", (F.col("k") < edits + 1 + _moved(edits)).alias("level"))
     # Lines of one length meet both ways; one way is enough.
-    return index.join(probe, F.col("s") == F.col("t")).filter("a <> b and (not level or a > b)").select("a", "b").distinct()
+    met = index.join(probe, F.col("s") == F.col("t")).filter("a <> b and (not level or a > b)")
+    return met.filter(marks_within("ma", "mb", edits)).select("a", "b").distinct()
 
 
 def _moved(edits: int) -> int:
@@ -137,6 +159,8 @@ def near_links(docs: DataFrame, classes: DataFrame, edits: int, min_chars: int)
     texts = save(texts.select("h1", "line"), "line-texts")
     left = pairs.join(texts.select(F.col("h1").alias("a"), F.col("line").alias("la")), "a")
     both = left.join(texts.select(F.col("h1").alias("b"), F.col("line").alias("lb")), "b")
+    # Few bytes but long work: not to be put together into few tasks again.
+    both = both.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
     return save(both.filter(within_edits("la", "lb", edits)).select("a", "b").distinct(), "line-links")
 
 

@@ -11,6 +11,7 @@ from .embeddings import op3_pca_tiles
 from .fingerprints import op1_lz_fingerprints
 from .jaccard_join import op7_prefix_jaccard
 from .line_dedup import op9_edit_lines
+from .passages import op5_paragraph_minhash
 from .mixing import op4_mix_sources
 from .quality import op10_quality
 from .sharding import op6_ring_shards
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_temporal_lists": op2_temporal_lists,
     "op3_pca_tiles": op3_pca_tiles,
     "op4_mix_sources": op4_mix_sources,
+    "op5_paragraph_minhash": op5_paragraph_minhash,
     "op6_ring_shards": op6_ring_shards,
     "op7_prefix_jaccard": op7_prefix_jaccard,
     "op8_byte_bpe": op8_byte_bpe,

@@ -16,7 +16,7 @@ Texts are read three times (sets and bands, prefixes, sets of candidates); the s
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -107,22 +107,28 @@ def _slot(column: str) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``doc, s``: whole sets of the documents in ``wanted(doc)`` and of a few others.
-
-    The filter has a fixed size; where it is full it lets all texts pass and only costs time.
-    """
-    words = wanted.select(_slot("doc").alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 AS int)))").alias("b"))
+def bit_filter(slots: DataFrame) -> np.ndarray:
+    """Bits of ``slots(p)``, numbers below ``FILTER_BITS``. It has a fixed size; where it is full it lets everything pass and only costs time."""
+    words = slots.groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 AS int)))").alias("b"))
     found = words.toPandas()
     bits = np.zeros(FILTER_BITS // 64, np.uint64)
     bits[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64).view(np.uint64)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    return bits
+
+
+def passes(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    p = slots.astype(np.uint64)
+    return ((bits[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """``doc, s``: whole sets of the documents in ``wanted(doc)`` and of a few others."""
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted.select(_slot("doc").alias("p"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, bits = Shingler(width), shared.value
         for batch in batches:
-            p = batch.column("p").to_numpy().astype(np.uint64)
-            hit = np.flatnonzero((bits[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1))
+            hit = np.flatnonzero(passes(bits, batch.column("p").to_numpy()))
             texts = batch.column("text")
             for k in range(0, len(hit), 200):
                 some = hit[k : k + 200]
@@ -162,8 +168,8 @@ def _verify(percent: int):
     return run
 
 
-def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b, l)`` that reach the threshold.
+def verified(pairs: DataFrame, sets_for: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Those of ``pairs(a, b, l)`` that reach the threshold; ``sets_for`` finds the sets ``(doc, s)`` for a frame of ids ``(doc)``.
 
     First ``l`` shingles must be common to the ``l``-prefixes, then the whole sets are intersected. Pairs are gathered in blocks of
     about ``BLOCK`` documents that meet each other, so that a set travels once per block and not once per pair: components
@@ -184,7 +190,7 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Dat
     dealt = save(dealt.select("large", "g", F.least("part", "pb").alias("i"), F.greatest("part", "pb").alias("j"), "a", "b", "l"), "dealt")
     own = [f"_{k}" for k in keys]
     needed = dealt.select(*[F.col(k).alias(f"_{k}") for k in keys], F.explode(F.array("a", "b")).alias("doc")).distinct()
-    sets = needed.join(sets_of(docs, parts.select(F.col("node").alias("doc")), width), "doc")
+    sets = needed.join(sets_for(parts.select(F.col("node").alias("doc"))), "doc")
     links = save(sets.groupBy(*own).cogroup(dealt.groupBy(*keys)).applyInArrow(_verify(percent), "a long, b long"), "links")
     for done in (dealt, parts, pairs):
         drop_saved(done)
@@ -222,9 +228,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, max_c
     of_class = (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")) & (F.col("doc_id") == F.col("doc"))
     names = classes.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "doc")
     reps = save(whole.join(names, of_class).select("doc", "n", "bands", "buckets"), "classes")
+    sets_for = lambda wanted: sets_of(docs, wanted, width)
     comps, links = None, None
     for seed in range(STARS):
-        found = verified(docs, _stars(_with_component(reps, comps), seed, percent), width, percent)
+        found = verified(_stars(_with_component(reps, comps), seed, percent), sets_for, percent)
         links = found if links is None else links.unionByName(found)
         comps = save(connected_components(links, "a", "b"), "components")
     placed = _with_component(reps, comps)
@@ -237,7 +244,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, max_c
     extra = F.least("x.extra", "y.extra")
     met = met.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), extra.alias("e"), (F.least("x.passed", "y.passed") + extra + 1).alias("l"))
     candidates = met.groupBy("a", "b", "e", "l").count().filter("count > e").select("a", "b", "l")
-    links = links.unionByName(verified(docs, candidates, width, percent))
+    links = links.unionByName(verified(candidates, sets_for, percent))
     final = connected_components(links, "a", "b")
     known = save(classes.join(final, F.col("doc") == F.col("node"), "left").select(
         F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.coalesce("component_id", "doc").alias("component_id")

@@ -5,7 +5,8 @@ word follows a lower-case one (unless that leaves only pieces too short to compa
 more are compared. Equal pieces are one class; classes of ``NEAR_WORDS`` words or more, where a changed word can leave a Jaccard similarity of 0.8, also
 meet through the bands of a MinHash: 10 bands of 3 rows find 0.8 with a probability of 0.999. What collides is verified by the exact
 Jaccard similarity of five-word shingles and clustered by components; the first occurrence of a cluster stays, the others are
-removals. Neighbouring pieces of a document that repeat are joined into a passage, reported from ``RUN_WORDS`` words on.
+removals. Neighbouring pieces of a document that repeat in
+another one are joined into a passage, reported from ``RUN_WORDS`` words on.
 
 Large groups are not expanded into pairs: all of a band first meet one of its members, and only what is still in different components
 meets in pairs. Null and empty texts have no pieces. Rows that repeat a ``doc_id`` are one document; rows without an id are left out.
@@ -31,18 +32,26 @@ NEAR_WORDS = 25  # of a piece compared by similarity besides equality
 RUN_WORDS = 30  # of a reported passage
 BANDS, ROWS = 10, 3
 
-SENTENCES = re.compile(r"\n+|(?<=[.!?])[ \t]+")
+SENTENCES = re.compile(r"(?<=[.!?])[ \t]+")
 CAPITALS = re.compile(r"(?<=[a-zß-öø-ÿ,;])[ \t]+(?=[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ])")
 
 
 def pieces(text: str) -> list[int]:
-    """Numbers of words of the pieces of a text, in order."""
+    """Numbers of words of the pieces of a text, in order. Inside a line, short pieces are joined until they are long enough."""
     out: list[int] = []
-    for sentence in SENTENCES.split(text):
-        parts = [len(p.encode().split()) for p in CAPITALS.split(sentence)]
-        if len(parts) > 1 and max(parts) < MIN_WORDS:
-            parts = [sum(parts)]
-        out.extend(parts)
+    for line in text.split("\n"):
+        held = 0
+        for sentence in SENTENCES.split(line):
+            parts = [len(p.encode().split()) for p in CAPITALS.split(sentence)]
+            if len(parts) > 1 and max(parts) < MIN_WORDS:
+                parts = [sum(parts)]
+            for n in parts:
+                held += n
+                if held >= MIN_WORDS:
+                    out.append(held)
+                    held = 0
+        if held:
+            out.append(held)
     return out
 
 
@@ -152,7 +161,7 @@ def near_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
-    """``doc_id, passage, start, n_words, component_id, kept`` of every passage that occurs elsewhere as well.
+    """``doc_id, passage, start, n_words, component_id, kept`` of every passage that occurs in another document as well.
 
     ``start`` and ``n_words`` count words; ``component_id`` is the smallest ``doc_id`` that holds the first occurrence of one of its pieces;
     ``kept`` tells that this occurrence is the one that stays.
@@ -161,10 +170,11 @@ def repeated_passages(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     found = save(piece_rows(docs), "pieces")
     at = F.struct("doc_id", "start")
     classes = found.groupBy("k1", "k2").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.first("bands").alias("bands"))
-    classes = save(classes.withColumn("again", F.col("first") != F.col("last")), "classes")
+    classes = save(classes.withColumn("again", F.col("first.doc_id") != F.col("last.doc_id")), "classes")
     near = save(near_classes(docs, classes), "near")
-    linked = classes.select("k1", "k2", "first").join(near, F.col("k1") == F.col("node"))
-    keepers = linked.groupBy("component_id").agg(F.min("first").alias("keeper"))
+    linked = classes.select("k1", "k2", "first", "last").join(near, F.col("k1") == F.col("node"))
+    keepers = linked.groupBy("component_id").agg(F.min("first").alias("keeper"), F.max("last").alias("last"))
+    keepers = keepers.filter("keeper.doc_id <> last.doc_id").drop("last")
     decided = linked.select("k1", "k2", "component_id").join(keepers, "component_id").select("k1", "k2", "keeper")
     lone = classes.filter("again").join(near.select("node"), F.col("k1") == F.col("node"), "left_anti").select("k1", "k2", F.col("first").alias("keeper"))
     decided = decided.unionByName(lone).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "keeper")

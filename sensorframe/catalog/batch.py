@@ -169,7 +169,7 @@ def _(i):
     ["samples"],
 )
 def _(i):
-    return R.one_hot_value(i.samples, "response_code", "latency", "rc_").select("seq", "rc_200", "rc_404", "rc_500")
+    return R.one_hot_value(i.samples, "response_code", "latency", "rc_", ["200", "404", "500"]).select("seq", "rc_200", "rc_404", "rc_500")
 
 
 @query(

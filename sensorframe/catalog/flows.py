@@ -303,11 +303,11 @@ def _(i):
     "src14_sql_metric",
     """SELECT strftime(created, '%y-%m-%d %H:%M') AS time,
       CASE WHEN substr(title, 1, 3) IN ('SBL', 'IVR', 'WEB', 'PNT', 'TIL') THEN substr(title, 1, 3) ELSE '-OTHER' END AS channel, count(*) AS count
-    FROM instances WHERE created < TIMESTAMP '2001-06-01 11:59:00' GROUP BY 1, 2""",
+    FROM instances WHERE created >= TIMESTAMP '2000-11-27 05:27:00' AND created < TIMESTAMP '2000-11-27 05:28:00' GROUP BY 1, 2""",
     ["instances"],
 )
 def _(i):
-    return run_sql_metric(i.spark, "channels", {"FLOW": ""}, datetime(2001, 6, 1, 12, 0, 30), {"instances": i.instances})
+    return run_sql_metric(i.spark, "channels", {"FLOW": ""}, datetime(2000, 11, 27, 5, 29, 30), {"instances": i.instances})
 
 
 @query("src14_sql_metric_entities", "SELECT '24-02-01 00:00' AS time, source AS entity_type, count(*) AS count FROM metrics GROUP BY source", ["metrics"])

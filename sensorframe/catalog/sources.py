@@ -93,8 +93,9 @@ def _(i):
 def _(i):
     path = i.scratch("load-test")
     i.samples.select(
-        col("time_ms").alias("timeStamp"), "elapsed", col("response_code").alias("responseCode"), "success",
-        col("latency").alias("Latency"), col("all_threads").alias("allThreads"),
+        "elapsed", col("time_ms").alias("timeStamp"), F.lit("home").alias("label"), F.lit("OK, done").alias("responseMessage"),
+        F.lit("Thread 1-1").alias("threadName"), F.lit("text").alias("dataType"), col("response_code").alias("responseCode"),
+        col("all_threads").alias("allThreads"), F.lit(1).alias("grpThreads"), col("latency").alias("Latency"), "success",
     ).write.csv(path, header=True)
     out = read_load_test(i.spark, path, True, datetime(2024, 1, 5), datetime(2024, 1, 15))
     return out.select("second", "elapsed", "response_code", "success", "latency", "all_threads")

@@ -54,7 +54,7 @@ def trace_path(i: Inputs) -> str:
 
 
 def calls(i: Inputs, **options) -> DataFrame:
-    return W.pair_calls(read_call_trace(i.spark, trace_path(i)), max_depth=2, **options)
+    return W.pair_calls(read_call_trace(i.spark, trace_path(i)), **options)
 
 
 @query(

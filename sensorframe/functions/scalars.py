@@ -146,5 +146,4 @@ def safe_name(*parts: Column) -> Column:
 def floor_div(value: Column, by: Column) -> Column:
     """Integer division rounding towards minus infinity."""
     remainder = value % by
-    quotient = (value - remainder) / by
-    return quotient.cast("long") - F.when((remainder != 0) & ((value < 0) != (by < 0)), 1).otherwise(0)
+    return F.call_function("div", value - remainder, by) - F.when((remainder != 0) & ((value < 0) != (by < 0)), 1).otherwise(0)

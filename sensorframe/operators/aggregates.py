@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import scalars as S
 from ..plans.ordered import Scan, ordered_scan
-from ..plans.skew import is_large
+from ..plans.skew import is_large, same_keys
 from . import percentiles as P
 
 DAY = 86_400
@@ -270,7 +270,10 @@ def describe(df: DataFrame, col: str, keys: Sequence[str] = ()) -> DataFrame:
     stats = df.groupBy(*keys).agg(*basics)
     points = P.quantiles(df, keys, col, quartiles)
     if keys:
-        return stats.join(points, list(keys))
+        # Null keys are groups, and groups without a value have no quartiles.
+        points = points.select(*[F.col(k).alias(f"_p_{k}") for k in keys], *quartiles)
+        joined = stats.join(points, same_keys([F.col(k) for k in keys], [F.col(f"_p_{k}") for k in keys]), "left")
+        return joined.drop(*[f"_p_{k}" for k in keys])
     return stats.select("*", *[points.select(n).scalar().alias(n) for n in quartiles])
 
 

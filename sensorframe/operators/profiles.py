@@ -29,10 +29,10 @@ def _measures() -> list[Column]:
 
 
 def _profile(rows: DataFrame, keys: Sequence) -> DataFrame:
-    """Sums per key. The level-1 total comes from the grouped rows, so calls are paired once."""
+    """Sums per key. The level-1 total is a scalar subquery over the grouped rows."""
     level1 = F.sum(F.when(F.col("level") == 1, F.col("duration"))).alias("_level1")
     sums = rows.groupBy(*keys).agg(*_measures(), level1)
-    elapsed = F.coalesce(F.sum("_level1").over(Window.partitionBy(F.lit(0))), F.lit(0.0))
+    elapsed = sums.select(F.coalesce(F.sum("_level1"), F.lit(0.0))).scalar()
     sums = sums.withColumn("_elapsed", elapsed)
     share = F.when(F.col("_elapsed") == 0, F.lit(100.0)).otherwise(100 * F.col("total") / F.col("_elapsed"))
     average = F.when(F.col("calls") > 0, F.col("total") / F.col("calls")).otherwise(F.col("total"))

@@ -12,7 +12,6 @@ from ..functions import scalars as S
 
 SYSTEM_COLUMNS = ("datetime", "timezone", "timestamp", "system", "source")
 NUMBER_PATTERN = r"^[+-]?[0-9]*(\.[0-9]+)?$"
-CODE_LIMIT = 1000
 
 
 def rewrite_columns(
@@ -180,21 +179,13 @@ def pivot_stats(
     return named.groupBy(*keys).pivot("_column", list(columns)).agg(F.max(value))
 
 
-def distinct_codes(df: DataFrame, code: str) -> list:
-    rows = df.select(code).distinct().orderBy(code).limit(CODE_LIMIT + 1).collect()
-    if len(rows) > CODE_LIMIT:
-        raise ValueError(f"{code} has more than {CODE_LIMIT} values; it cannot become columns")
-    return [r[0] for r in rows if r[0] is not None]
-
-
 def one_hot_value(
-    df: DataFrame, code: str, value: str, prefix: str, codes: Sequence | None = None
+    df: DataFrame, code: str, value: str, prefix: str, codes: Sequence
 ) -> DataFrame:
-    """One column per code: the value where the code matches, else 0."""
-    known = list(codes) if codes is not None else distinct_codes(df, code)
+    """One column per code of ``codes``: the value where the code matches, else 0. No pass over the data finds the codes."""
     zero = F.lit(0).cast(df.schema[value].dataType)
     return df.select(
-        "*", *[F.when(F.col(code) == c, F.col(value)).otherwise(zero).alias(f"{prefix}{c}") for c in known]
+        "*", *[F.when(F.col(code) == c, F.col(value)).otherwise(zero).alias(f"{prefix}{c}") for c in codes]
     )
 
 

@@ -256,21 +256,20 @@ def zscore_anomaly(
 
 
 def pair_calls(
-    lines: DataFrame, max_depth: int | None = None, with_buckets: bool = False, cell_rows=None
+    lines: DataFrame, with_buckets: bool = False, cell_rows=None
 ) -> DataFrame:
     """Calls from the start and finish rows of traces.
 
     ``lines`` comes from ``read_call_trace``. A finish row closes the newest start row of its nesting depth. ``records``
     includes those of nested calls, without bucket rows unless ``with_buckets``. All windows share one
-    partitioning and order. ``max_depth`` saves the pass that finds the deepest nesting.
+    partitioning and order. One pass finds the deepest nesting first.
     """
     keys, order = ["file"], ["block", "pos"]
     is_start = F.col("kind") == "S"
     step = F.when(is_start, 1).otherwise(-1).cast("long")
     nested = scan_cells(split_cells(lines, keys, order, cell_rows), keys, order, [Scan("_after", "sum", step)])
     nested = nested.with_columns(_depth=(F.col("_after") + F.when(is_start, 0).otherwise(1)).cast("int"))
-    if max_depth is None:
-        max_depth = nested.df.agg(F.max("_depth")).first()[0] or 1
+    max_depth = nested.df.agg(F.max("_depth")).first()[0] or 1
 
     def per_depth(prefix: str, value: Column) -> list[Scan]:
         return [

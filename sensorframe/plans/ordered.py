@@ -111,9 +111,8 @@ def scan_cells(cells: Cells, keys: Sequence[str], order: Sequence[str], scans: S
         *[F.col(c).alias(f"_c_{c}") for c in at], *[_carry(s, earlier).alias(f"_p_{s.name}") for s in scans]
     )
     inner = cells.df.select("*", *[_in_cell(s, window).alias(f"_w_{s.name}") for s in scans])
-    # Heavy cells only, so the carried side is bounded like the heavy cell table.
     joined = inner.join(
-        F.broadcast(carry), same_keys([F.col(c) for c in at], [F.col(f"_c_{c}") for c in at]), "left"
+        carry, same_keys([F.col(c) for c in at], [F.col(f"_c_{c}") for c in at]), "left"
     )
     out = joined.select(
         *cells.df.columns,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,10 +21,13 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh directory in the cluster's shared folder.
 
     The folder is ``spark.checkpoint.dir``. Only where that is unset (a single-process
-    session, as in tests) is a local temporary folder used, removed at exit.
+    session, as in tests) is a local temporary folder used, removed at exit; other masters are refused, as executors
+    would write to disks of their own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         global _local
         if _local is None:
             _local = tempfile.TemporaryDirectory(prefix="sensorframe-", ignore_cleanup_errors=True)

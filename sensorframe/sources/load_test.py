@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 SCHEMA = "timeStamp STRING, elapsed LONG, responseCode STRING, success BOOLEAN, Latency LONG, allThreads LONG"
 
@@ -17,8 +18,17 @@ def read_load_test(
     t_to: datetime | None = None,
     schema: str = SCHEMA,
 ) -> DataFrame:
-    """Samples with ``time`` and ``second`` (epoch seconds); response codes stay text."""
-    raw = spark.read.schema(schema).csv(path, header=True)
+    """Samples with ``time`` and ``second`` (epoch seconds); response codes stay text.
+
+    Columns are found by the names in the header, in any order and among any others; a file with another header than the
+    first, or a missing column, is an error.
+    """
+    named = spark.read.csv(path, header=True, enforceSchema=False)
+    wanted = StructType.fromDDL(schema)
+    missing = [f.name for f in wanted if f.name not in named.columns]
+    if missing:
+        raise ValueError(f"no column {', '.join(missing)} in {path}")
+    raw = named.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in wanted])
     time = (
         F.timestamp_millis(F.col("timeStamp").try_cast("long"))
         if epoch_ms

@@ -13,9 +13,6 @@ from ..plans.ordered import Scan, ordered_scan
 from ..sinks.state import StateTable
 from ..sources.metric_csv import TIME, stream_metric_files, text_schema
 
-HELD_ROWS = 100  # fixed value: rows held back while no header was seen
-
-
 def minute_stats(
     sdf: DataFrame, ts: str, keys: Sequence[str], aggs: Mapping[str, Column], delay: str = "1 minute"
 ) -> DataFrame:
@@ -127,12 +124,12 @@ def split_headers(
     """Data rows of header-in-stream CSV lines under the requested columns.
 
     Every file's first header names its columns; header rows are dropped, rows before the header are held back and
-    read with it. A file with more than ``HELD_ROWS`` rows before its header is an error.
+    read with it. A file without a header is an error.
     """
     is_header = F.ltrim("value").startswith(TIME)
     ordered = ordered_scan(
         lines, ["file"], ["block", "pos"],
-        [Scan("_seen", "sum", is_header.cast("long")), Scan("_rows", "count")],
+        [Scan("_seen", "sum", is_header.cast("long"))],
         cell_rows,
     )
     # One header per file; positions of the requested columns are found once per file, not per row.
@@ -144,8 +141,7 @@ def split_headers(
         "_of", *[F.array_position("_names", c).alias(f"_at{i}") for i, c in enumerate(columns)]
     )
     rows = ordered.filter(~is_header & (F.trim("value") != "")).join(places, F.col("file") == F.col("_of"), "left")
-    lost = F.col("_of").isNull() | ((F.col("_seen") == 0) & (F.col("_rows") > HELD_ROWS))
-    checked = F.when(lost, F.raise_error(F.lit(f"no header within {HELD_ROWS} rows"))).otherwise(F.split("value", ","))
+    checked = F.when(F.col("_of").isNull(), F.raise_error(F.lit("no header in the file"))).otherwise(F.split("value", ","))
     rows = rows.withColumn("_cells", checked)
 
     def pick(i: int) -> Column:

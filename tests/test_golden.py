@@ -228,9 +228,31 @@ def test_transforms_keep_old_values(spark):
         R.apply_transforms(df, ["v == 1"])
 
 
-def test_one_hot_refuses_unbounded_codes(spark):
+def test_describe_keeps_null_keys_and_empty_groups(spark, tmp_path):
+    rows = [("a", 1.0), ("a", 3.0), ("b", None), (None, 5.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    df.write.parquet(f"{tmp_path}/d")
+    for frame in (df, spark.read.parquet(f"{tmp_path}/d")):
+        got = {r["k"]: (r["count"], r["p50"]) for r in A.describe(frame, "v", ["k"]).collect()}
+        assert got == {"a": (2, 2.0), "b": (0, None), None: (1, 5.0)}
+
+
+def test_integer_division_is_exact(spark):
+    from sensorframe.functions.scalars import floor_div
+
+    df = spark.createDataFrame([(9007199254740993, 1), (-7, 2), (7, -2), (6, 3)], "v long, b long")
+    assert [r[0] for r in df.select(floor_div(F.col("v"), F.col("b"))).collect()] == [9007199254740993, -4, -4, 2]
+
+
+def test_load_test_columns_by_name(spark, tmp_path):
+    from sensorframe.sources.load_test import read_load_test
+
+    (tmp_path / "l.csv").write_text("label,allThreads,Latency,success,responseCode,elapsed,timeStamp\nhome,3,20,true,200,25,1700000000000\n")
+    row = read_load_test(spark, str(tmp_path / "l.csv")).first()
+    assert (row["response_code"], row["all_threads"], row["latency"], row["success"], row["elapsed"]) == ("200", 3, 20, True, 25)
+    (tmp_path / "m.csv").write_text("label,elapsed\nhome,3\n")
     with pytest.raises(ValueError):
-        R.one_hot_value(spark.range(5000).select("id", F.col("id").alias("v")), "id", "v", "c")
+        read_load_test(spark, str(tmp_path / "m.csv"))
 
 
 def test_headers_hold_back_early_rows(spark, tmp_path):

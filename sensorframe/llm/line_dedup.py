@@ -103,15 +103,15 @@ def within_edits(a: str, b: str, edits: int) -> Column:
     return F.when(F.abs(F.length(a) - F.length(b)) <= edits, found <= edits).otherwise(F.lit(False))
 
 
-LETTERS = "etaniosrlu"  # counted modulo 8 in the marks of a line
+LETTERS = "abcdefghijklmnopqrstuvwxyz"  # counted modulo 4 in the marks of a line
 
 
 def letter_marks(line: Column) -> Column:
-    """Counts of frequent letters modulo 8, three bits each: an edit moves at most two of them, by one."""
-    marks = F.lit(0)
+    """Counts of letters modulo 4, two bits each: an edit moves at most two of them, by one."""
+    marks = F.lit(0).cast("long")
     for k, letter in enumerate(LETTERS):
         count = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
-        marks = marks + F.shiftleft(F.pmod(count, F.lit(8)), 3 * k)
+        marks = marks + F.shiftleft(F.pmod(count, F.lit(4)).cast("long"), 2 * k)
     return marks
 
 
@@ -119,8 +119,8 @@ def marks_within(a: str, b: str, edits: int) -> Column:
     """Whether the marks of two lines allow that few edits."""
     apart = F.lit(0)
     for k in range(len(LETTERS)):
-        d = (F.shiftright(a, 3 * k) - F.shiftright(b, 3 * k)).bitwiseAND(F.lit(7))
-        apart = apart + F.least(d, F.lit(8) - d)
+        d = (F.shiftright(a, 2 * k) - F.shiftright(b, 2 * k)).bitwiseAND(F.lit(3))
+        apart = apart + F.least(d, F.lit(4) - d)
     return apart <= 2 * edits
 
 

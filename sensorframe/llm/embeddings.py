@@ -187,8 +187,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     keys = pairs.withColumnRenamed("dim", "_d")
     first = keys.join(here, of("tile")).withColumn("second", F.lit(False))
     second = keys.filter("tile < other").join(here, of("other")).withColumn("second", F.lit(True))
-    work = first.unionByName(second).drop("_t", "_l", "_d")
-    met = work.groupBy("label", "tile", "other").applyInArrow(_compare(rotations, threshold), "rep long, root long, n long")
+    work = first.unionByName(second).drop("_t", "_l")
+    met = work.groupBy("label", "_d", "tile", "other").applyInArrow(_compare(rotations, threshold), "rep long, root long, n long")
     met = save(met, "links")
     counts = met.groupBy("rep").agg(F.sum("n").alias("_n"))
     parts = connected_components(met.filter("rep <> root"), "rep", "root")

@@ -103,7 +103,7 @@ def prefixes(docs: DataFrame, common: np.ndarray, width: int, percent: int) -> D
     return docs.mapInArrow(run, "doc_id long, n long, passed long, extra long, tokens array<long>")
 
 
-def _slot(column: str) -> Column:
+def id_slot(column: str) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
 
 
@@ -123,7 +123,7 @@ def passes(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
 
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """``doc, s``: whole sets of the documents in ``wanted(doc)`` and of a few others."""
-    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted.select(_slot("doc").alias("p"))))
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted.select(id_slot("doc").alias("p"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, bits = Shingler(width), shared.value
@@ -135,7 +135,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 sets = [cut(texts[i].as_py()).view(np.int64) for i in some.tolist()]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(some)), pa.array(sets, pa.list_(pa.int64()))], names=["doc", "s"])
 
-    return docs.select("doc_id", "text", _slot("doc_id").alias("p")).mapInArrow(run, "doc long, s array<long>")
+    return docs.select("doc_id", "text", id_slot("doc_id").alias("p")).mapInArrow(run, "doc long, s array<long>")
 
 
 def _count(x: np.ndarray, y: np.ndarray) -> int:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import read_table, save, seeded, text_of
 from .components import connected_components
-from .jaccard_join import FILTER_BITS, bit_filter, passes, verified
+from .jaccard_join import FILTER_BITS, bit_filter, id_slot, passes, verified
 from .shingles import Shingler, mixed
 
 WIDTH, PERCENT = 5, 80
@@ -126,30 +126,34 @@ def piece_rows(docs: DataFrame) -> DataFrame:
 
 
 def piece_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``doc, s``: sorted shingles of the longer pieces whose key ``k1`` is in ``wanted(doc)``, and of a few others."""
-    slots = wanted.select(F.col("doc").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("p"))
-    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(slots))
+    """``doc, s``: sorted shingles of the longer pieces in ``wanted(doc, home)``, their key and a document that holds them; also of a few others."""
+    context = docs.sparkSession.sparkContext
+    keys = context.broadcast(bit_filter(wanted.select(F.col("doc").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("p"))))
+    homes = context.broadcast(bit_filter(wanted.select(id_slot("home").alias("p"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, bits = Cutter(), shared.value
+        cut = Cutter()
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                found = cut(batch.column("text").slice(at, 64).to_pylist())
-                hit = np.flatnonzero((found["n"] >= NEAR_WORDS) & passes(bits, found["k1"] & (FILTER_BITS - 1)))
+            texts = batch.filter(pa.array(passes(homes.value, batch.column("p").to_numpy()))).column("text")
+            for at in range(0, len(texts), 64):
+                found = cut(texts.slice(at, 64).to_pylist())
+                hit = np.flatnonzero((found["n"] >= NEAR_WORDS) & passes(keys.value, found["k1"] & (FILTER_BITS - 1)))
                 sets = [np.unique(found["shingles"][i:j]).view(np.int64) for i, j in zip(found["first"][hit], found["last"][hit], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(found["k1"][hit]), pa.array(sets, pa.list_(pa.int64()))], names=["doc", "s"])
 
-    return docs.mapInArrow(run, "doc long, s array<long>").dropDuplicates(["doc"])
+    return docs.select("text", id_slot("doc_id").alias("p")).mapInArrow(run, "doc long, s array<long>").dropDuplicates(["doc"])
 
 
 def near_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """``node, component_id`` of the classes ``(k1, bands)`` linked by similarity."""
-    rows = save(classes.filter("bands is not null").select(F.col("k1").alias("doc"), F.explode("bands").alias("band")), "bands")
+    """``node, component_id`` of the classes ``(k1, first, bands)`` linked by similarity."""
+    longer = classes.filter("bands is not null")
+    homes = longer.select(F.col("k1").alias("_k"), F.col("first.doc_id").alias("home"))
+    rows = save(longer.select(F.col("k1").alias("doc"), F.explode("bands").alias("band")), "bands")
     pivots = rows.groupBy("band").agg(F.min(F.struct(seeded(1, "doc").alias("h"), F.col("doc").alias("b"))).alias("p"), F.count(F.lit(1)).alias("c"))
     pivots = save(pivots.filter("c > 1").select(F.col("band").alias("_band"), "p.b"), "pivots")
     shared = save(rows.join(pivots, F.col("band") == F.col("_band")).select("band", "doc", "b"), "shared-bands")
     pair = [F.greatest("doc", "b").alias("a"), F.least("doc", "b").alias("b"), F.lit(1).cast("long").alias("l")]
-    sets_for = lambda wanted: piece_sets(docs, wanted)
+    sets_for = lambda wanted: piece_sets(docs, wanted.join(homes, F.col("doc") == F.col("_k")))
     links = verified(shared.filter("doc <> b").select(*pair).distinct(), sets_for, PERCENT)
     comps = save(connected_components(links, "a", "b"), "components")
     placed = shared.select("band", "doc").join(comps, F.col("doc") == F.col("node"), "left")

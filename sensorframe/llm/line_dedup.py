@@ -10,7 +10,11 @@ Linked classes form components; the first line of a component by ``doc_id`` and
 A hot line is one class before anything is joined, and hot segments are joins that adaptive execution splits. Texts are read
 twice; the second time only the lines of candidates are kept, and shuffled.
 
-Defined results: lines are what ``\\n`` separates; lines of fewer than ``min_chars`` characters are never compared and stay. Null texts have no
+Lines of any length meet in this way: a line of at most ``edits`` characters has an empty segment and meets all lines about as short. Pairs
+with a line of at most ``2 edits`` characters are verified by the plain distance.
+
+Defined results: lines are what ``\\n`` separates; blank lines (white space only) are never compared and stay, and so are lines of fewer than
+``min_chars`` characters where a caller asks for that; ``op9_edit_lines`` and the pipeline compare lines of every length. Null texts have no
 lines, empty texts one. Rows that repeat a ``doc_id`` are one document. The smallest id comes first, null ids after all others.
 """
 
@@ -22,7 +26,8 @@ from .common import read_table, save
 from .components import connected_components
 
 EDITS = 2
-MIN_CHARS = 24
+MIN_CHARS = 24  # of a compared line where a caller sets no other bound
+EVERY = 1  # bound that compares all lines but blank ones
 BROADCAST_LINES = 200_000  # candidate lines up to which their hashes (8 bytes each) are sent to every task
 
 
@@ -31,6 +36,11 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
 
 
+def compared(min_chars: int) -> Column:
+    """Whether ``line`` takes part: it is long enough and not blank."""
+    return (F.length("line") >= min_chars) & F.col("line").rlike(r"\S")
+
+
 def _keys(line: str) -> list[Column]:
     return [F.xxhash64(F.lit(s), line).alias(f"h{s}") for s in (1, 2)]
 
@@ -93,14 +103,16 @@ def edit_distance_step(a: Column, m: Column, b: Column, edits: int):
 
 
 def within_edits(a: str, b: str, edits: int) -> Column:
-    """Whether two text columns of at least ``edits`` characters are within ``edits`` edits."""
+    """Whether two text columns, the longer one first, are within ``edits`` edits."""
     def distance(s: Column) -> Column:
         zero, step = edit_distance_step(s["a"], F.size(s["a"]), s["b"], edits)
         return F.aggregate(F.sequence(F.lit(1), F.size(s["b"])), zero, step, lambda end: end["d"])
 
     chars = F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b"))
     found = F.get(F.transform(F.array(chars), distance), F.lit(0))  # a lambda splits each line once, not once a step
-    return F.when(F.abs(F.length(a) - F.length(b)) <= edits, found <= edits).otherwise(F.lit(False))
+    short = F.least(F.length(a), F.length(b)) <= 2 * edits  # the band would not fit into the line
+    near = F.when(short, F.levenshtein(a, b) <= edits).otherwise(found <= edits)
+    return F.when(F.abs(F.length(a) - F.length(b)) <= edits, near).otherwise(F.lit(False))
 
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"  # counted modulo 4 in the marks of a line
@@ -126,7 +138,7 @@ def marks_within(a: str, b: str, edits: int) -> Column:
 
 def line_classes(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
     """One row per distinct compared line: ``h1, h2, first, n, marks, probes``."""
-    rows = lines_of(docs).withColumn("length", F.length("line")).filter(F.col("length") >= min_chars)
+    rows = lines_of(docs).filter(compared(min_chars)).withColumn("length", F.length("line"))
     probes = F.array(*segment_hashes(F.col("line"), F.col("length"), edits)).alias("probes")
     rows = rows.select(*_keys("line"), letter_marks(F.col("line")).alias("marks"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "pos").alias("at"), probes)
     return rows.groupBy("h1", "h2").agg(
@@ -154,7 +166,7 @@ def near_links(docs: DataFrame, classes: DataFrame, edits: int, min_chars: int)
     pairs = save(candidate_pairs(classes, edits), "line-pairs")
     wanted = save(pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct(), "line-ids")
     few = wanted.count() <= BROADCAST_LINES
-    rows = lines_of(docs).filter(F.length("line") >= min_chars).select(*_keys("line"), "line")
+    rows = lines_of(docs).filter(compared(min_chars)).select(*_keys("line"), "line")
     texts = rows.join(F.broadcast(wanted) if few else wanted, F.col("h1") == F.col("w"), "left_semi").dropDuplicates(["h1", "h2"])
     texts = save(texts.select("h1", "line"), "line-texts")
     left = pairs.join(texts.select(F.col("h1").alias("a"), F.col("line").alias("la")), "a")
@@ -167,8 +179,6 @@ def near_links(docs: DataFrame, classes: DataFrame, edits: int, min_chars: int)
 def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """``doc_id, pos`` of every line of which an equal or near-equal line stands earlier."""
     docs = docs.select("doc_id", "text")
-    if min_chars <= 2 * edits:
-        raise ValueError("compared lines must be longer than twice the edits")
     classes = save(line_classes(docs, edits, min_chars), "lines")
     links = near_links(docs, classes, edits, min_chars)
     comps = save(connected_components(links, "a", "b"), "line-components")
@@ -178,7 +188,7 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
     linked = known.filter("component_id is not null").select("h1", "h2", "component_id").join(keepers, "component_id")
     decided = single.unionByName(linked.select("h1", "h2", "keeper"))
     decided = decided.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("keeper.doc_id").alias("kd"), F.col("keeper.pos").alias("kp"))
-    rows = lines_of(docs).filter(F.length("line") >= min_chars).select("doc_id", "pos", *_keys("line"))
+    rows = lines_of(docs).filter(compared(min_chars)).select("doc_id", "pos", *_keys("line"))
     met = rows.join(decided, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")))
     stays = F.col("doc_id").eqNullSafe(F.col("kd")) & (F.col("pos") == F.col("kp"))
     return met.filter(~stays).select("doc_id", "pos")
@@ -196,7 +206,7 @@ def line_report(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     )
 
 
-def without_repeats(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, copy_share: float = 0.5) -> DataFrame:
+def without_repeats(docs: DataFrame, edits: int = EDITS, min_chars: int = EVERY, copy_share: float = 0.5) -> DataFrame:
     """``docs`` with repeated lines taken out of the texts; ``n_chars`` follows where the frame has it.
 
     A document of which ``copy_share`` of the characters or more are repeated lines is a copy, not a text with boilerplate in it: it stays
@@ -215,5 +225,5 @@ def without_repeats(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CH
 
 
 def op9_edit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All lines of ``documents`` of 24 characters or more, at two edits."""
-    return line_report(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """All lines of ``documents`` but blank ones, at two edits."""
+    return line_report(read_table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=EVERY)

@@ -137,6 +137,28 @@ def test_repeated_lines(spark):
     assert line_dedup.repeated_lines(df.limit(0)).count() == 0
 
 
+def test_repeated_lines_of_every_length(spark, tmp_path):
+    rng = random.Random(9)
+    short = ["".join(rng.choices("abcdefghé😀", k=rng.randint(1, 14))) for _ in range(60)]
+    texts = ["\n".join([*rng.choices(short, k=5), "All rights reserved.", "", "  ", "\t\r"]) for _ in range(25)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["doc_id"], p) for r in line_dedup.op9_edit_lines(spark, str(tmp_path)).collect() for p in r["repeated"]}
+    seen = [(i, p, x) for i, t in enumerate(texts) for p, x in enumerate(t.split("\n")) if x.strip()]
+
+    def near(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1] <= 2
+
+    group = roots({x for _, _, x in seen}, [(a, b) for a, b in itertools.combinations(sorted({x for _, _, x in seen}), 2) if near(a, b)])
+    first = {}
+    want = {(i, p) for i, p, x in seen if first.setdefault(group[x], (i, p)) != (i, p)}
+    assert got == want and {(i, 5) for i in range(1, 25)} <= want and len(set(group.values())) > 3
+
+
 def test_jaccard_components(spark, texts, docs, sf_dir):
     got = by_id(jaccard_join.op7_prefix_jaccard(spark, sf_dir))
 

@@ -92,7 +92,8 @@ def prefixes(docs: DataFrame, common: np.ndarray, width: int, percent: int) -> D
                 over = np.flatnonzero(known[:last])
                 take = np.concatenate([rare, over[: size - more - len(rare)]]) if len(rare) < size - more else rare
                 n.append(len(s))
-                passed.append(len(over))
+                # A set with too few others passes over more than that, but a partner shares only ceil(t n) shingles for sure.
+                passed.append(min(len(over), max(0, len(s) - _base(len(s), percent) - 1)))
                 extra.append(more if len(rare) == size else 0)
                 tokens.append(s[take].view(np.int64))
             yield pa.RecordBatch.from_arrays(

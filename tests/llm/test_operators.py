@@ -179,6 +179,21 @@ def test_jaccard_components(spark, texts, docs, sf_dir):
     assert kept.columns == docs.columns
 
 
+def test_jaccard_of_common_sentences(spark, monkeypatch):
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(40)]
+    base = [" ".join(rng.sample(words, 9)) for _ in range(3)]
+    # The texts of one shingle make every shingle a common one: 6 and 7 are passed over, of which 6 are shared.
+    texts = [x for t in base for x in (t, f"{t} end", *[" ".join(f"{t} end".split()[i : i + 4]) for i in range(7)])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    none = spark.createDataFrame([], "a long, b long, l long")
+    monkeypatch.setattr(jaccard_join, "_stars", lambda *_: none)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(df, 4, 85, max_cost=0).collect()}
+    sets = [{tuple(t.split()[i : i + 4]) for i in range(len(t.split()) - 3)} for t in texts]
+    links = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    assert links and got == roots(range(len(sets)), links)
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(150, 20))

@@ -15,7 +15,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that stand earlier in the corpus, equal or within two edits; copies stay whole."""
+    """Documents without the lines that stand earlier in the corpus, equal or within two edits; copies that the next stage drops stay whole."""
     return line_dedup.without_repeats(docs)
 
 

@@ -178,6 +178,11 @@ def near_links(docs: DataFrame, classes: DataFrame, edits: int, min_chars: int)
 
 def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """``doc_id, pos`` of every line of which an equal or near-equal line stands earlier."""
+    return kept_elsewhere(docs, edits, min_chars).select("doc_id", "pos")
+
+
+def kept_elsewhere(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """``doc_id, pos, length, home`` of every repeated line: its characters and the document where the line that stays stands."""
     docs = docs.select("doc_id", "text")
     classes = save(line_classes(docs, edits, min_chars), "lines")
     links = near_links(docs, classes, edits, min_chars)
@@ -188,10 +193,10 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
     linked = known.filter("component_id is not null").select("h1", "h2", "component_id").join(keepers, "component_id")
     decided = single.unionByName(linked.select("h1", "h2", "keeper"))
     decided = decided.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("keeper.doc_id").alias("kd"), F.col("keeper.pos").alias("kp"))
-    rows = lines_of(docs).filter(compared(min_chars)).select("doc_id", "pos", *_keys("line"))
+    rows = lines_of(docs).filter(compared(min_chars)).select("doc_id", "pos", F.length("line").alias("length"), *_keys("line"))
     met = rows.join(decided, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")))
     stays = F.col("doc_id").eqNullSafe(F.col("kd")) & (F.col("pos") == F.col("kp"))
-    return met.filter(~stays).select("doc_id", "pos")
+    return met.filter(~stays).select("doc_id", "pos", "length", F.col("kd").alias("home"))
 
 
 def line_report(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -206,21 +211,63 @@ def line_report(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     )
 
 
-def without_repeats(docs: DataFrame, edits: int = EDITS, min_chars: int = EVERY, copy_share: float = 0.5) -> DataFrame:
+def _shingles(text: str, width: int) -> Column:
+    """Distinct hashes of ``width`` words in a row; shorter texts have one for all their words."""
+    words = F.split(F.translate(text, LETTERS.upper(), LETTERS), r"[\x20\x09-\x0D]+")
+
+    def hashes(w: Column) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.size(w) - width + 1, F.lit(1)))
+        return F.when(F.size(w) > 0, F.transform(at, lambda i: F.xxhash64(F.slice(w, i, width)))).otherwise(F.array().cast("array<long>"))
+
+    return F.array_distinct(F.get(F.transform(F.array(F.filter(words, lambda w: w != "")), hashes), F.lit(0)))
+
+
+def _cleaned(text: str, gone: str) -> Column:
+    return F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains(gone, i)), "\n")
+
+
+def shown_copies(docs: DataFrame, found: DataFrame, gone: DataFrame, copy_share: float, width: int, percent: int) -> DataFrame:
+    """``copy``: documents that stay whole because the next stage drops them.
+
+    ``copy_share`` or more of the characters are repeated lines, and the whole text has a Jaccard similarity of ``percent`` with what is
+    left of the document in which most of these lines stay; that one is not such a document itself.
+    """
+    sizes = docs.groupBy("doc_id").agg(F.max(F.length("text")).alias("size"))
+    shares = found.groupBy(F.col("doc_id").alias("_id")).agg(F.sum("length").alias("chars"), F.count(F.lit(1)).alias("n"))
+    mostly = shares.join(sizes, F.col("doc_id") == F.col("_id")).filter(F.col("size") - F.col("chars") - F.col("n") <= F.col("size") * (1 - copy_share))
+    mostly = save(mostly.select("_id"), "mostly-repeated")
+    homes = found.join(mostly, F.col("doc_id") == F.col("_id")).groupBy("_id", "home").agg(F.sum("length").alias("chars"))
+    best = homes.groupBy("_id").agg(F.min(F.struct((-F.col("chars")).alias("c"), "home")).alias("p")).select(F.col("_id").alias("copy"), "p.home")
+    pairs = save(best.filter("copy <> home").join(mostly, F.col("home") == F.col("_id"), "left_anti"), "copies-of")
+
+    def sets(ids: str, text: str | Column, rows: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col(ids).alias("_w")).distinct()
+        return rows.join(wanted, F.col("doc_id") == F.col("_w")).select(F.col("_w").alias(ids), text)
+
+    home = sets("home", "text", docs).join(gone, F.col("home") == F.col("_id"), "left")
+    home = home.select("home", F.when(F.col("_gone").isNotNull(), _cleaned("text", "_gone")).otherwise(F.col("text")).alias("text"))
+    x = sets("copy", "text", docs).select("copy", _shingles("text", width).alias("x"))
+    y = home.select("home", _shingles("text", width).alias("y"))
+    both = pairs.join(x, "copy").join(y, "home").withColumn("same", F.size(F.array_intersect("x", "y")))
+    near = (F.col("same") > 0) & (100 * F.col("same") >= percent * (F.size("x") + F.size("y") - F.col("same")))
+    # Of rows that repeat an id, all must be copies.
+    return save(both.groupBy("copy").agg(F.every(near).alias("near")).filter("near").select("copy"), "shown-copies")
+
+
+def without_repeats(docs: DataFrame, edits: int = EDITS, min_chars: int = EVERY, copy_share: float = 0.5, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with repeated lines taken out of the texts; ``n_chars`` follows where the frame has it.
 
-    A document of which ``copy_share`` of the characters or more are repeated lines is a copy, not a text with boilerplate in it: it stays
-    whole, for a comparison of documents to decide on. Other columns, null texts and rows without repeats are unchanged.
+    Only a document that :func:`shown_copies` finds to be a copy stays whole, for a comparison of documents on ``width`` and ``percent`` to
+    drop. Other columns, null texts and rows without repeats are unchanged; rows without an id neither count nor change.
     """
-    found = repeated_lines(docs.filter("doc_id is not null"), edits, min_chars).distinct()
-    found = save(found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("pos").alias("_gone")), "repeated")
-    joined = docs.join(found, F.col("doc_id") == F.col("_id"), "left")
-    lines = F.split("text", "\n", -1)
-    kept = F.filter(lines, lambda _, i: ~F.array_contains("_gone", i))
-    text = F.array_join(kept, "\n")
-    copy = F.length(text) <= F.length("text") * (1 - copy_share)
-    out = joined.withColumn("_kept", F.when(F.col("_gone").isNotNull(), text))
-    out = out.withColumn("text", F.when(F.col("_kept").isNotNull() & ~copy, F.col("_kept")).otherwise(F.col("text"))).drop("_kept", "_gone", "_id")
+    known = docs.filter("doc_id is not null").select("doc_id", "text")
+    found = save(kept_elsewhere(known, edits, min_chars).distinct(), "kept-elsewhere")
+    gone = save(found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("pos").alias("_gone")), "repeated")
+    copies = shown_copies(known, found, gone, copy_share, width, percent)
+    gone = gone.join(copies, F.col("_id") == F.col("copy"), "left_anti")
+    joined = docs.join(gone, F.col("doc_id") == F.col("_id"), "left")
+    text = F.when(F.col("_gone").isNotNull() & F.col("text").isNotNull(), _cleaned("text", "_gone")).otherwise(F.col("text"))
+    out = joined.withColumn("text", text).drop("_gone", "_id")
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 

@@ -159,6 +159,19 @@ def test_repeated_lines_of_every_length(spark, tmp_path):
     assert got == want and {(i, 5) for i in range(1, 25)} <= want and len(set(group.values())) > 3
 
 
+def test_only_shown_copies_stay_whole(spark):
+    rng = random.Random(12)
+    line = lambda: " ".join("".join(rng.choices("abcdefghijkl", k=6)) for _ in range(9))
+    base, other, block = [line() for _ in range(12)], [line() for _ in range(6)], [line(), line()]
+    texts = [base, other, block * 4, [base[0], other[0], base[1], other[1]], base, [*base[:11], line()], [*base[:4], line()]]
+    df = spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"].split("\n") for r in line_dedup.without_repeats(df).collect()}
+    # A block pasted four times, and lines of two documents, are no copies; neither is a text that shares four lines of twelve.
+    assert got == {0: base, 1: other, 2: block, 3: [""], 4: base, 5: texts[5], 6: texts[6][4:]}
+    left = jaccard_join.one_of_each(line_dedup.without_repeats(df.filter("doc_id in (0, 4)")), 5, 80)
+    assert [r["doc_id"] for r in left.collect()] == [0]
+
+
 def test_jaccard_components(spark, texts, docs, sf_dir):
     got = by_id(jaccard_join.op7_prefix_jaccard(spark, sf_dir))
 

@@ -2,8 +2,9 @@
 
 Paragraphs here are pieces that a passage keeps wherever it is pasted: texts are cut at line ends, after sentences, and where a capitalised
 word follows a lower-case one (unless that leaves only pieces too short to compare). Pieces of ``MIN_WORDS`` words or
-more are compared. Equal pieces are one class; classes of ``NEAR_WORDS`` words or more, where a changed word can leave a Jaccard similarity of 0.8, also
-meet through the bands of a MinHash: 10 bands of 3 rows find 0.8 with a probability of 0.999. What collides is verified by the exact
+more are compared. Equal pieces are one class; all classes also meet through the bands of a MinHash: 10 bands of 3 rows find a Jaccard
+similarity of 0.8 with a probability of 0.999. One word more at an end leaves 0.8 between 8 and 9 words already, so there is no shorter
+piece to leave out. What collides is verified by the exact
 Jaccard similarity of five-word shingles and clustered by components; the first occurrence of a cluster stays, the others are
 removals. Neighbouring pieces of a document that repeat in
 another one are joined into a passage, reported from ``RUN_WORDS`` words on.
@@ -28,7 +29,6 @@ from .shingles import Shingler, mixed
 
 WIDTH, PERCENT = 5, 80
 MIN_WORDS = 8  # of a compared piece
-NEAR_WORDS = 25  # of a piece compared by similarity besides equality
 RUN_WORDS = 30  # of a reported passage
 BANDS, ROWS = 10, 3
 
@@ -89,20 +89,16 @@ class Cutter:
         return {"row": rows, "start": starts, "n": sizes, "first": first, "last": last, "k1": sums[0].view(np.int64), "k2": sums[1].view(np.int64), "shingles": h}
 
 
-def _bands(found: dict[str, np.ndarray]) -> list[list[int] | None]:
-    """Band hashes of the longer pieces, null for others."""
-    near = np.flatnonzero(found["n"] >= NEAR_WORDS)
-    out: list[list[int] | None] = [None] * len(found["n"])
-    if not len(near):
-        return out
-    h, ends = found["shingles"], np.stack([found["first"][near], found["last"][near]], axis=1).ravel()
-    keys = np.zeros((len(near), BANDS), np.uint64)
+def _bands(found: dict[str, np.ndarray]) -> list[list[int]]:
+    """Band hashes of the pieces."""
+    if not len(found["n"]):
+        return []
+    h, ends = found["shingles"], np.stack([found["first"], found["last"]], axis=1).ravel()
+    keys = np.zeros((len(found["n"]), BANDS), np.uint64)
     for k, by in enumerate(_MULTIPLIERS):
         least = np.minimum.reduceat(mixed(h * by), ends)[::2]
         keys[:, k // ROWS] = keys[:, k // ROWS] * np.uint64(0x9E3779B97F4A7C15) + least + np.uint64(k)
-    for i, row in zip(near.tolist(), mixed(keys).view(np.int64).tolist(), strict=True):
-        out[i] = row
-    return out
+    return mixed(keys).view(np.int64).tolist()
 
 
 def piece_rows(docs: DataFrame) -> DataFrame:
@@ -126,7 +122,7 @@ def piece_rows(docs: DataFrame) -> DataFrame:
 
 
 def piece_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``doc, s``: sorted shingles of the longer pieces in ``wanted(doc, home)``, their key and a document that holds them; also of a few others."""
+    """``doc, s``: sorted shingles of the pieces in ``wanted(doc, home)``, their key and a document that holds them; also of a few others."""
     context = docs.sparkSession.sparkContext
     keys = context.broadcast(bit_filter(wanted.select(F.col("doc").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("p"))))
     homes = context.broadcast(bit_filter(wanted.select(id_slot("home").alias("p"))))
@@ -137,7 +133,7 @@ def piece_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             texts = batch.filter(pa.array(passes(homes.value, batch.column("p").to_numpy()))).column("text")
             for at in range(0, len(texts), 64):
                 found = cut(texts.slice(at, 64).to_pylist())
-                hit = np.flatnonzero((found["n"] >= NEAR_WORDS) & passes(keys.value, found["k1"] & (FILTER_BITS - 1)))
+                hit = np.flatnonzero(passes(keys.value, found["k1"] & (FILTER_BITS - 1)))
                 sets = [np.unique(found["shingles"][i:j]).view(np.int64) for i, j in zip(found["first"][hit], found["last"][hit], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(found["k1"][hit]), pa.array(sets, pa.list_(pa.int64()))], names=["doc", "s"])
 
@@ -146,9 +142,8 @@ def piece_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def near_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """``node, component_id`` of the classes ``(k1, first, bands)`` linked by similarity."""
-    longer = classes.filter("bands is not null")
-    homes = longer.select(F.col("k1").alias("_k"), F.col("first.doc_id").alias("home"))
-    rows = save(longer.select(F.col("k1").alias("doc"), F.explode("bands").alias("band")), "bands")
+    homes = classes.select(F.col("k1").alias("_k"), F.col("first.doc_id").alias("home"))
+    rows = save(classes.select(F.col("k1").alias("doc"), F.explode("bands").alias("band")), "bands")
     pivots = rows.groupBy("band").agg(F.min(F.struct(seeded(1, "doc").alias("h"), F.col("doc").alias("b"))).alias("p"), F.count(F.lit(1)).alias("c"))
     pivots = save(pivots.filter("c > 1").select(F.col("band").alias("_band"), "p.b"), "pivots")
     shared = save(rows.join(pivots, F.col("band") == F.col("_band")).select("band", "doc", "b"), "shared-bands")

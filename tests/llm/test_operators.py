@@ -323,6 +323,16 @@ def test_passages(spark, texts, docs):
     assert passages.repeated_passages(docs.limit(0)).count() == 0
 
 
+def test_short_pieces_meet_by_similarity(spark):
+    rng = random.Random(3)
+    sentence = lambda n: " ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(n)).capitalize()
+    ones = [sentence(14) for _ in range(4)]
+    other = [" ".join([*x.split()[:-1], "changed"]) for x in ones]
+    df = spark.createDataFrame([(k, ".\n".join(t) + ".") for k, t in enumerate((ones, other))], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in passages.repeated_passages(df).collect())
+    assert got == [(0, 0, True), (1, 0, False)]
+
+
 def test_url_lists(spark):
     at = lambda c: F.col(c).cast("timestamp")
     entries = spark.createDataFrame(

@@ -333,6 +333,20 @@ def test_short_pieces_meet_by_similarity(spark):
     assert got == [(0, 0, True), (1, 0, False)]
 
 
+def test_passages_without_borders(spark):
+    rng = random.Random(5)
+    words = lambda n: ["".join(rng.choices("abcdefgh", k=7)) for _ in range(n)]
+    verse = "\n".join(" ".join(words(5)) for _ in range(10))
+    plain = " ".join(words(120))
+    told = " ".join(" ".join(words(5)).capitalize() + "." for _ in range(24))
+    texts = [verse, f"{' '.join(words(30))}\n{verse}\n{' '.join(words(30))}", *(" ".join([*words(k), plain, *words(20)]) for k in (21, 34)), told, f"{' '.join(words(3)).capitalize()}. {told}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = passages.repeated_passages(df).collect()
+    assert {(r["doc_id"], r["component_id"], r["kept"]) for r in rows} == {(k, k - k % 2, k % 2 == 0) for k in range(6)}
+    for r in rows:
+        assert 30 <= r["n_words"] and r["start"] + r["n_words"] <= len(texts[r["doc_id"]].split())
+
+
 def test_url_lists(spark):
     at = lambda c: F.col(c).cast("timestamp")
     entries = spark.createDataFrame(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op8_byte_bpe
 from .embeddings import op3_pca_tiles
+from .filter_audit import OP12_SQL, op12_filter_audit
 from .fingerprints import op1_lz_fingerprints
 from .jaccard_join import op7_prefix_jaccard
 from .line_dedup import op9_edit_lines
@@ -28,5 +29,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_edit_lines": op9_edit_lines,
     "op10_quality": op10_quality,
+    "op12_filter_audit": op12_filter_audit,
 }
-SQL: dict[str, str] = {"op2_temporal_lists": OP2_SQL}
+SQL: dict[str, str] = {"op2_temporal_lists": OP2_SQL, "op12_filter_audit": OP12_SQL}

@@ -16,6 +16,7 @@ from .passages import op5_paragraph_minhash
 from .mixing import op4_mix_sources
 from .quality import op10_quality
 from .sharding import op6_ring_shards
+from .topk_search import OP11_SQL, op11_max_score
 from .url_lists import OP2_SQL, op2_temporal_lists
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_edit_lines": op9_edit_lines,
     "op10_quality": op10_quality,
+    "op11_max_score": op11_max_score,
     "op12_filter_audit": op12_filter_audit,
 }
-SQL: dict[str, str] = {"op2_temporal_lists": OP2_SQL, "op12_filter_audit": OP12_SQL}
+SQL: dict[str, str] = {"op2_temporal_lists": OP2_SQL, "op11_max_score": OP11_SQL, "op12_filter_audit": OP12_SQL}

@@ -14,6 +14,7 @@ from .jaccard_join import op7_prefix_jaccard
 from .line_dedup import op9_edit_lines
 from .passages import op5_paragraph_minhash
 from .mixing import op4_mix_sources
+from .prefix_trie import OP13_SQL, op13_prefix_trie
 from .quality import op10_quality
 from .sharding import op6_ring_shards
 from .topk_search import OP11_SQL, op11_max_score
@@ -32,5 +33,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
     "op11_max_score": op11_max_score,
     "op12_filter_audit": op12_filter_audit,
+    "op13_prefix_trie": op13_prefix_trie,
+}
+SQL: dict[str, str] = {
+    "op2_temporal_lists": OP2_SQL,
+    "op11_max_score": OP11_SQL,
+    "op12_filter_audit": OP12_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
-SQL: dict[str, str] = {"op2_temporal_lists": OP2_SQL, "op11_max_score": OP11_SQL, "op12_filter_audit": OP12_SQL}

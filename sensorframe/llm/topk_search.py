@@ -139,9 +139,9 @@ def _search(k: int):
         if not asked.num_rows or not held.num_rows:
             return out.empty_table()
         dim = key[2].as_py()
-        queries, candidates = _matrix(asked.column("v"), dim), _matrix(held.column("v"), dim)
+        queries, candidates = _matrix(asked.column("v"), dim), _matrix(held.column("w"), dim)
         names, asks = asked.column("vec_id").to_numpy(), asked.column("row").to_numpy()
-        ids, rows = held.column("vec_id").to_numpy(), held.column("row").to_numpy()
+        ids, rows = held.column("id").to_numpy(), held.column("at").to_numpy()
         # Doubles are exact for products of rows below this size; the few others are multiplied in whole numbers.
         size = int((EXACT / max(dim, 1)) ** 0.5)
         small = lambda x: ((x < size) & (x > -size)).all(axis=1)
@@ -183,11 +183,12 @@ def top_k(vectors: DataFrame, asked: Column, k: int = 5, scale: int = SCALE) ->
     # Rows are dealt by a hash of their place: every shard and block gets its share of hot and of equal vectors.
     shard = F.pmod(F.xxhash64("row"), F.lit(shards))
     block = F.pmod(F.xxhash64("row", F.lit(1)), F.lit(blocks))
-    held = table.select("row", "vec_id", "dim", "v", shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("block"))
-    asks = table.filter("_asked")
-    asks = asks.select("row", "vec_id", "dim", "v", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>")).alias("shard"))
-    by = ["block", "shard", "dim"]
-    found = asks.groupBy(*by).cogroup(held.groupBy(*by)).applyInArrow(_search(k), "row long, query_id long, vec_id long, score long")
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>")).alias(name)
+    asks = table.filter("_asked").select("row", "vec_id", "v", block.alias("block"), every(shards, "shard"), "dim")
+    # New names: Spark prunes the columns of a cogrouped frame that shares them with the other one.
+    held = table.select(F.col("row").alias("at"), F.col("vec_id").alias("id"), F.col("v").alias("w"), every(blocks, "b"), shard.alias("s"), F.col("dim").alias("d"))
+    found = asks.groupBy("block", "shard", "dim").cogroup(held.groupBy("b", "s", "d"))
+    found = found.applyInArrow(_search(k), "row long, query_id long, vec_id long, score long")
     order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

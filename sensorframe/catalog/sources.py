@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..sinks.files import write_rotating_log
 from ..sources import captures as T
 from ..sources.access_log import AccessLogConfig, read_access_log
 from ..sources.lines import read_lines
 from ..sources.load_test import read_load_test
-from ..sources.metric_csv import read_metric_csv, scan_daily_logs, stream_metric_files, text_schema
+from ..sources.metric_csv import in_metric_rows, read_metric_csv, scan_daily_logs, stream_metric_files, typed
 from ..sources.tbml import read_tbml
 from ..streaming.jobs import run_available, to_parquet
 from .base import Catalog, Inputs
@@ -28,47 +28,77 @@ def log_rows(i: Inputs) -> DataFrame:
     return i.metrics.select(*LOG_COLUMNS)
 
 
-@query("src01_metric_csv", "SELECT datetime, timestamp, system, source, device, value FROM metrics", ["metrics"])
+COMMA_DEVICE = "CASE seq % 5 WHEN 1 THEN concat(device, ', x') ELSE device END"
+
+
+def unlike_logs(i: Inputs, root: str, instance: str | None = None) -> None:
+    """Metric logs that differ from file to file, by ``seq % 5``: 0 plain, with repeated headers and broken rows, 1 columns in another order
+    and cells with commas, 2 a column missing, 3 no header at all, 4 rows before the header."""
+    system = LOG_COLUMNS[:5]
+    layouts = [LOG_COLUMNS, [*system, "value", "device"], [c for c in LOG_COLUMNS if c != "device"], LOG_COLUMNS, [*system, "value", "device"]]
+    kind = (col("seq") % 5).cast("int")
+    rows = i.metrics.withColumns({"kind": kind, "device": F.when(kind == 1, F.concat(lit('"'), "device", lit(', x"'))).otherwise(col("device"))})
+    texts = F.array(*[F.concat_ws(",", *names) for names in layouts])
+    heads = F.array(*[lit(",".join(names) if n else ", ".join(names)) for n, names in enumerate(layouts)])
+    line, head = F.get(texts, "kind"), F.get(heads, "kind")
+    folder = [instance] if instance else []
+    rows = rows.select("kind", "seq", "k", col("system").alias(instance or "system"), line.alias("line"), head.alias("head"))
+    # A stretch is what one task writes to one folder; its first row carries the header, before or after itself.
+    rows = rows.repartitionByRange("kind", *folder, "seq").withColumn("stretch", F.spark_partition_id())
+    first = F.row_number().over(Window.partitionBy("kind", *folder, "stretch").orderBy("seq")) == 1
+    broken = F.concat(lit("2024-13-01 xx"), F.substring("line", 20, 1000))
+    value = (
+        F.when(first & (col("kind") == 4), F.concat_ws("\n", "line", "head"))
+        .when(first & (col("kind") != 3), F.concat_ws("\n", "head", "line"))
+        .when((col("kind") == 0) & (col("k") == 0), F.concat_ws("\n", "head", "line"))
+        .when((col("kind") == 0) & (col("k") == 1), F.concat_ws("\n", "line", broken))
+        .otherwise(col("line"))
+    )
+    rows.select("kind", *folder, value.alias("value")).write.partitionBy("kind", *folder).text(root)
+
+
+@query(
+    "src01_metric_csv",
+    f"SELECT datetime, timestamp, system, source, CASE WHEN seq % 5 <> 2 THEN {COMMA_DEVICE} END AS device, value FROM metrics",
+    ["metrics"],
+)
 def _(i: Inputs) -> DataFrame:
     path = i.scratch("metric-csv")
-    rows = i.metrics.select(*[col(c).cast("string") for c in LOG_COLUMNS], "seq")
-    # Repeated headers and rows with a broken time, to be dropped by the reader.
-    headers = i.metrics.filter("k = 0").select(*[lit(c).alias(c) for c in LOG_COLUMNS], "seq")
-    broken = i.metrics.filter("k = 1").select(lit("2024-13-01 xx").alias("datetime"), *[col(c).cast("string") for c in LOG_COLUMNS[1:]], "seq")
-    every = rows.unionByName(headers).unionByName(broken).repartitionByRange("seq").sortWithinPartitions("seq", "datetime")
-    spaced = [col(c).alias(c if c == "datetime" else f" {c}") for c in LOG_COLUMNS]
-    every.select(*spaced).write.option("ignoreLeadingWhiteSpace", "false").csv(path, header=True)
-    return read_metric_csv(i.spark, path).select(
+    unlike_logs(i, path)
+    return read_metric_csv(i.spark, path, header=HEADER).select(
         "datetime", "timestamp", "system", "source", "device", col("value").cast("double").alias("value")
     )
 
 
 @query(
     "src01_metric_csv_columns",
-    "SELECT datetime, timezone, timestamp, system, source, cast(value AS string) AS value, '(!)' AS absent, device FROM metrics",
+    f"""SELECT datetime, timezone, timestamp, system, source, cast(value AS string) AS value, '(!)' AS absent,
+      CASE WHEN seq % 5 <> 2 THEN {COMMA_DEVICE} ELSE '(!)' END AS device FROM metrics""",
     ["metrics"],
 )
 def _(i):
     path = i.scratch("metric-csv")
-    log_rows(i).write.csv(path, header=True)
-    return read_metric_csv(i.spark, path, ["value", "absent", "device"])
+    unlike_logs(i, path)
+    return read_metric_csv(i.spark, path, ["value", "absent", "device"], HEADER)
 
 
 @query(
     "src02_stream_metric_files",
-    "SELECT system AS instance, count(*) AS rows, round(sum(value), 4) AS total FROM metrics GROUP BY system",
+    f"""SELECT concat('instance=', system) AS instance, datetime, cast(timestamp AS string) AS timestamp, value,
+      CASE WHEN seq % 5 <> 2 THEN {COMMA_DEVICE} ELSE '(!)' END AS device FROM metrics""",
     ["metrics"],
 )
 def _(i):
     root, out = i.scratch("stream-logs"), i.scratch("stream-out")
-    rows = i.metrics.withColumn("instance", col("system")).select(*LOG_COLUMNS, "instance", "seq")
-    rows.repartitionByRange("instance", "seq").select(*LOG_COLUMNS, "instance").write.partitionBy("instance").csv(root, header=True)
-    source = stream_metric_files(i.spark, root, text_schema(HEADER), "*.csv", max_files=10)
-    run_available(source, to_parquet(out), i.scratch("checkpoint"))
+    unlike_logs(i, root, "instance")
+    source = stream_metric_files(i.spark, root, "part-*", max_files=40)
+
+    def rows(batch: DataFrame, batch_id: int) -> None:
+        to_parquet(out)(typed(batch), batch_id)
+
+    run_available(source, in_metric_rows(["value", "device"], rows, HEADER), i.scratch("checkpoint"))
     found = i.spark.read.parquet(out)
-    return found.groupBy(F.replace("instance", lit("instance="), lit("")).alias("instance")).agg(
-        F.count(lit(1)).alias("rows"), F.round(F.sum(col("value").cast("double")), 4).alias("total")
-    )
+    return found.select("instance", "datetime", col("timestamp").cast("string").alias("timestamp"), col("value").cast("double").alias("value"), "device")
 
 
 @query(
@@ -80,6 +110,9 @@ def _(i):
 def _(i):
     root = i.scratch("daily-logs")
     write_rotating_log(i.metrics.select(*LOG_COLUMNS, "ts"), root, "vmstat", "ts", 6 * 3600)
+    # Logs of the same probe under another header, to be skipped.
+    other = i.metrics.select(*LOG_COLUMNS[:5], "value", "device", "ts")
+    write_rotating_log(other, root, "vmstat_other", "ts", 6 * 3600)
     out = scan_daily_logs(i.spark, root, "vmstat", datetime(2024, 1, 5), datetime(2024, 1, 10, 12))
     return out.select("datetime", "timestamp", "device", col("value").cast("double").alias("value"), "date")
 

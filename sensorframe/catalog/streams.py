@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import scalars as S
 from ..sinks.delivery import default_writers
 from ..sinks.state import StateTable
+from ..sources.metric_csv import typed
 from ..streaming import alerts as E, jobs as B, stateful as Z
 from .base import Catalog, Inputs, common_tables
 from .batch import RATES_SQL, rates
-from .sources import HEADER, LOG_COLUMNS
+from .sources import COMMA_DEVICE, HEADER, LOG_COLUMNS, unlike_logs
 
 catalog = Catalog()
 query = catalog.query
@@ -216,37 +217,40 @@ def _(i):
 
 @query(
     "str11_push_job",
-    """SELECT device, source, count(*) AS points, round(sum(value), 4) AS total, round(sum(value * 2), 4) AS doubled FROM metrics
-    WHERE value > 1 AND source <> 'view' GROUP BY device, source""",
+    f"""SELECT timestamp * 1000000000 AS time, {COMMA_DEVICE} AS device, source, value, value * 2 AS doubled FROM metrics
+    WHERE value > 1 AND source <> 'view' AND seq % 5 <> 2
+    UNION ALL SELECT timestamp * 1000000000, NULL, source, value, value * 2 FROM metrics WHERE value > 1 AND source <> 'view' AND seq % 5 = 2""",
     ["metrics"],
 )
 def _(i):
     root, out = i.scratch("push-in"), i.scratch("push-out")
-    rows = i.metrics.withColumn("instance", col("system"))
-    rows.repartitionByRange("instance", "seq").select(*LOG_COLUMNS, "instance").write.partitionBy("instance").csv(root, header=True)
+    unlike_logs(i, root, "instance")
 
     def to_points(log: DataFrame) -> DataFrame:
-        return B.push_points(
-            log, ["device", "source"], ["value"], S.to_epoch_nanos(col("timestamp"), "s"), ["doubled = value * 2"], "value > 1 AND source <> 'view'"
-        )
+        at = S.to_epoch_nanos(col("timestamp").cast("long"), "s")
+        return B.push_points(typed(log), ["device", "source"], ["value"], at, ["doubled = value * 2"], "value > 1 AND source <> 'view'")
 
     sink = default_writers().create("points", {"name": "metrics", "path": out})
-    B.push_job(i.spark, root, HEADER, to_points, sink, i.scratch("checkpoint"), "*.csv", max_files=8)
+    B.push_job(i.spark, root, ["device", "value"], to_points, sink, i.scratch("checkpoint"), "part-*", max_files=40, header=HEADER)
     back = i.spark.read.schema("time LONG, tags MAP<STRING, STRING>, fields MAP<STRING, DOUBLE>").json(out)
-    return back.groupBy(col("tags")["device"].alias("device"), col("tags")["source"].alias("source")).agg(
-        F.count(lit(1)).alias("points"), F.round(F.sum(col("fields")["value"]), 4).alias("total"), F.round(F.sum(col("fields")["doubled"]), 4).alias("doubled")
+    return back.select(
+        "time", col("tags")["device"].alias("device"), col("tags")["source"].alias("source"), col("fields")["value"].alias("value"),
+        col("fields")["doubled"].alias("doubled"),
     )
 
 
 @query(
     "str12_stream_headers",
-    "SELECT datetime, timestamp AS timestamp, device, cast(value AS string) AS value, '(!)' AS absent FROM metrics",
+    f"""SELECT datetime, timestamp AS timestamp, {COMMA_DEVICE} AS device,
+      CASE WHEN seq % 2 = 0 THEN cast(value AS string) ELSE '(!)' END AS value, '(!)' AS absent FROM metrics""",
     ["metrics"],
 )
 def _(i):
     root, out = i.scratch("header-in"), i.scratch("header-out")
-    # Device is the first sensor column; every file starts with its header.
-    i.metrics.select(*LOG_COLUMNS).write.csv(root, header=True)
+    # Every file starts with a header, in one of two orders; one of them lacks the value.
+    rows = i.metrics.withColumn("device", F.expr(COMMA_DEVICE))
+    rows.filter("seq % 2 = 0").select(*LOG_COLUMNS).write.csv(root, header=True)
+    rows.filter("seq % 2 <> 0").select(*LOG_COLUMNS[:5], "seq", "device").write.mode("append").csv(root, header=True)
     lines = B.stream_lines(i.spark, root)
     B.run_available(lines, B.stream_headers(["device", "value", "absent"], B.to_parquet(out)), i.scratch("checkpoint"))
     back = i.spark.read.parquet(out)

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local: tempfile.TemporaryDirectory | None = None
 
@@ -33,3 +33,16 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
             _local = tempfile.TemporaryDirectory(prefix="sensorframe-", ignore_cleanup_errors=True)
         root = _local.name
     return f"{root.rstrip('/')}/sensorframe/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: it is computed once, and survives lost executors."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_written(df: DataFrame) -> None:
+    """Delete the files behind a frame made by :func:`written`; it must not be used afterwards."""
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        drop_dir(df.sparkSession, folder)

@@ -7,6 +7,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from .headers import by_header, every_name, file_headers
+from .lines import read_lines
+
 SCHEMA = "timeStamp STRING, elapsed LONG, responseCode STRING, success BOOLEAN, Latency LONG, allThreads LONG"
 
 
@@ -20,14 +23,17 @@ def read_load_test(
 ) -> DataFrame:
     """Samples with ``time`` and ``second`` (epoch seconds); response codes stay text.
 
-    Columns are found by the names in the header, in any order and among any others; a file with another header than the
-    first, or a missing column, is an error.
+    Columns are found by the names in the first line of each file, in any order and among any others; a column that a file lacks is
+    null there, one that all files lack is an error.
     """
-    named = spark.read.csv(path, header=True, enforceSchema=False)
+    lines = read_lines(spark, path)
+    headers = file_headers(lines)
     wanted = StructType.fromDDL(schema)
-    missing = [f.name for f in wanted if f.name not in named.columns]
+    found, widest = every_name(headers)
+    missing = [f.name for f in wanted if f.name not in found]
     if missing:
         raise ValueError(f"no column {', '.join(missing)} in {path}")
+    named = by_header(lines, headers, wanted.names, widest=widest)
     raw = named.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in wanted])
     time = (
         F.timestamp_millis(F.col("timeStamp").try_cast("long"))

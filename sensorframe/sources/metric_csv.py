@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.scalars import to_instant
-from ..operators.project import clean_header, rewrite_columns
+from ..operators.project import SYSTEM_COLUMNS, clean_header
+from ..plans.storage import drop_written
+from .headers import by_header, every_name, file_headers, plain_names
+from .lines import read_lines
 
 TIME = "datetime"
 
@@ -18,17 +21,9 @@ def text_schema(header: str) -> T.StructType:
     return T.StructType([T.StructField(clean_header(n), T.StringType()) for n in header.split(",")])
 
 
-def sniff_header(spark: SparkSession, path: str) -> str:
-    """First header line found; stops at the first file that has one."""
-    found = (
-        spark.read.option("recursiveFileLookup", "true")
-        .text(path)
-        .filter(F.ltrim("value").startswith(TIME))
-        .head(1)
-    )
-    if not found:
-        raise ValueError(f"no header line below {path}")
-    return found[0][0]
+def header_mark() -> Column:
+    """True for a line whose first cell is the name of the time column."""
+    return F.col("value").rlike(rf'^\s*"?{TIME}"?\s*(,|$)')
 
 
 def typed(df: DataFrame) -> DataFrame:
@@ -37,38 +32,55 @@ def typed(df: DataFrame) -> DataFrame:
     return rows.withColumn("timestamp", F.col("timestamp").try_cast("long"))
 
 
+def metric_rows(
+    lines: DataFrame, columns: Sequence[str] | None = None, header: str | None = None, null_mark: str | None = "(!)",
+    keep: Sequence[str] = (), headers: DataFrame | None = None,
+) -> DataFrame:
+    """Text cells of ``lines(file, block, pos, value)`` under the system columns and ``columns``, each file read by its own header.
+
+    The first header of a file names its columns, also for rows that stand before it; later ones are dropped. Without ``columns``
+    all names of all files appear, null where a file lacks them; otherwise a missing column holds ``null_mark``.
+    ``header`` is the layout of files that have none; without it they are an error. ``keep`` names columns of ``lines`` to go along;
+    ``headers`` is the table of :func:`.headers.file_headers` where the caller has it already.
+    """
+    headers = file_headers(lines, header_mark()) if headers is None else headers
+    widest = None
+    if columns is None:
+        (names, widest), null_mark = every_name(headers), None
+        if header is not None:
+            names += [n for n in plain_names(header) if n not in names]
+        if not names:
+            raise ValueError("no header line")
+    else:
+        names = [*SYSTEM_COLUMNS, *columns]
+    return by_header(lines, headers, names, header_mark(), header, null_mark, widest=widest).select(*names, *[c for c in keep if c not in names])
+
+
 def read_metric_csv(
     spark: SparkSession, path: str, columns: Sequence[str] | None = None, header: str | None = None
 ) -> DataFrame:
-    """Rows of one header; ``columns`` picks and orders the sensor columns."""
-    schema = text_schema(header or sniff_header(spark, path))
-    rows = (
-        spark.read.option("recursiveFileLookup", "true")
-        .schema(schema)
-        .csv(path, header=True, mode="PERMISSIVE", enforceSchema=True)
-    )
-    out = typed(rows)
-    return out if columns is None else rewrite_columns(out, columns)
+    """Rows of all files below ``path``, whatever the order of their columns; ``columns`` picks and orders the sensor columns.
+
+    Headers and rows with a malformed time are dropped; see :func:`metric_rows` for files that differ.
+    """
+    return typed(metric_rows(read_lines(spark, path), columns, header))
 
 
 def stream_metric_files(
     spark: SparkSession,
     root: str,
-    schema: T.StructType,
     pattern: str = "*",
     max_files: int = 300,
     clean: str | None = None,
     archive: str | None = None,
 ) -> DataFrame:
-    """New log files in batches of at most ``max_files``, oldest first.
+    """New log files as a stream of lines, in batches of at most ``max_files`` files, oldest first.
 
-    The instance is the file's directory. ``clean`` is ``delete`` or ``archive`` and applies once a batch
-    has been committed.
+    The instance is the file's directory. ``clean`` is ``delete`` or ``archive`` and applies once a batch has been committed.
+    :func:`in_metric_rows` reads a batch by the headers of its files.
     """
     reader = (
-        spark.readStream.schema(schema)
-        .option("header", "true")
-        .option("maxFilesPerTrigger", max_files)
+        spark.readStream.option("maxFilesPerTrigger", max_files)
         .option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", "true")
     )
@@ -76,8 +88,36 @@ def stream_metric_files(
         reader = reader.option("cleanSource", clean)
         if archive:
             reader = reader.option("sourceArchiveDir", archive)
-    instance = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
-    return reader.csv(root).select("*", instance.alias("instance"))
+    path = F.col("_metadata.file_path")
+    return reader.text(root).select(
+        path.alias("file"), F.col("_metadata.file_block_start").alias("block"), "value", F.element_at(F.split(path, "/"), -2).alias("instance")
+    )
+
+
+def in_metric_rows(
+    columns: Sequence[str], passed_on: Callable[[DataFrame, int], None], header: str | None = None, null_mark: str | None = "(!)",
+    keep: Sequence[str] = ("instance",),
+) -> Callable[[DataFrame, int], None]:
+    """Batch function over lines of :func:`stream_metric_files`: rows by the headers of their files, with ``keep``, go to ``passed_on``.
+
+    A batch holds whole files, so a header and its rows meet here. Line positions are numbered here too, where the
+    batch is a plain frame over its files.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        lines = batch.withColumn("pos", F.monotonically_increasing_id())
+        headers = file_headers(lines, header_mark())
+        passed_on(metric_rows(lines, columns, header, null_mark, [c for c in keep if c in batch.columns], headers), batch_id)
+        drop_written(headers)
+
+    return write
+
+
+def read_stream_of_one_header(spark: SparkSession, root: str, schema: T.StructType, pattern: str = "*", max_files: int = 300) -> DataFrame:
+    """A stream of rows, for stateful operators: every file must have the header of ``schema``; any other one stops the stream with an error."""
+    reader = spark.readStream.schema(schema).option("header", "true").option("enforceSchema", "false")
+    reader = reader.option("maxFilesPerTrigger", max_files).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
+    return reader.csv(root).select("*", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("instance"))
 
 
 def _days(t_from: datetime, t_to: datetime) -> list[str]:
@@ -92,38 +132,29 @@ def scan_daily_logs(
     """Rows of a probe in a dated log tree ``<root>/<day>/<start time>_<probe>*.log``.
 
     Pruned in three steps: only directories of the days asked for are listed (plain or ``date=`` names), files by the time
-    in their name, rows by their own time. Files whose header differs from the first are skipped.
+    in their name, rows by their own time. Files whose header differs from the first (or from ``header``) are skipped.
     """
     days = _days(t_from, t_to)
     tree = f"{root.rstrip('/')}/{{{','.join([*days, *[f'date={d}' for d in days]])}}}/*_{probe}*.log"
     file_time = F.try_to_timestamp(
-        F.regexp_extract("_file", r"/(?:\w+=)?(\d{4}-\d{2}-\d{2}-\d{6})_[^/]*\.log(?:/|$)", 1),
+        F.regexp_extract("file", r"/(?:\w+=)?(\d{4}-\d{2}-\d{2}-\d{6})_[^/]*\.log(?:/|$)", 1),
         F.lit("yyyy-MM-dd-HHmmss"),
     )
-    in_time = file_time.between(F.lit(t_from), F.lit(t_to))
-    path = F.col("_metadata.file_path").alias("_file")
-    text = spark.read.option("recursiveFileLookup", "true").text(tree)
-    headers = (
-        text.select(path, F.col("_metadata.file_block_start").alias("_start"), "value")
-        .filter("_start = 0")
-        .filter(in_time)
-        .filter(F.ltrim("value").startswith(TIME))
-    )
-    if header is None:
-        header = headers.agg(F.min_by("value", "_file")).first()[0]
-    schema = text_schema(header)
-    same = headers.filter(F.col("value") == F.lit(header)).select("_file").distinct()
-    rows = (
-        spark.read.option("recursiveFileLookup", "true")
-        .schema(schema)
-        .csv(tree, header=True, enforceSchema=True)
-        .select("*", path)
-        .filter(in_time)
-    )
+    lines = read_lines(spark, tree).filter(file_time.between(F.lit(t_from), F.lit(t_to)))
+    # A log starts with its header: other lines are not searched for one.
+    headers = file_headers(lines.filter("block = 0"), header_mark())
+    if header is not None:
+        names = plain_names(header)
+    else:
+        first = headers.agg(F.min_by("_names", "_of")).first()[0]
+        if first is None:
+            raise ValueError(f"no header line of {probe} in {root}")
+        names = list(first)
+    same = headers.filter(F.col("_names") == F.array(*[F.lit(n) for n in names]))
+    rows = by_header(lines, same, names, header_mark(), known_only=True, widest=len(names))
     instant = F.try_to_timestamp(F.col(TIME), F.lit("yyyy-MM-dd HH:mm:ss"))
     return (
-        typed(rows.join(same, "_file", "left_semi"))
+        typed(rows.select(*names))
         .filter(instant.between(F.lit(t_from), F.lit(t_to)))
         .withColumn("date", F.substring(TIME, 1, 10))
-        .drop("_file")
     )

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..operators.filters import filter_expr, require_any_field
 from ..operators.project import apply_transforms, split_tags_fields
 from ..operators.windows import counter_rows, dvdt
-from ..plans.ordered import Scan, ordered_scan
 from ..sinks.state import StateTable
-from ..sources.metric_csv import TIME, stream_metric_files, text_schema
+from ..sources.metric_csv import in_metric_rows, metric_rows, stream_metric_files
+
 
 def minute_stats(
     sdf: DataFrame, ts: str, keys: Sequence[str], aggs: Mapping[str, Column], delay: str = "1 minute"
@@ -118,56 +118,21 @@ def for_each(
     return write
 
 
-def split_headers(
-    lines: DataFrame, columns: Sequence[str], system_n: int = 5, null_mark: str = "(!)", cell_rows=None
-) -> DataFrame:
-    """Data rows of header-in-stream CSV lines under the requested columns.
+def split_headers(lines: DataFrame, columns: Sequence[str], null_mark: str = "(!)") -> DataFrame:
+    """``file``, the system columns and ``columns`` of header-in-stream CSV lines, see :func:`.metric_csv.metric_rows`.
 
     Every file's first header names its columns; header rows are dropped, rows before the header are held back and
     read with it. A file without a header is an error.
     """
-    is_header = F.ltrim("value").startswith(TIME)
-    ordered = ordered_scan(
-        lines, ["file"], ["block", "pos"],
-        [Scan("_seen", "sum", is_header.cast("long"))],
-        cell_rows,
-    )
-    # One header per file; positions of the requested columns are found once per file, not per row.
-    headers = lines.filter(is_header).groupBy(F.col("file").alias("_of")).agg(
-        F.min_by("value", F.struct("block", "pos")).alias("_header")
-    )
-    names = F.transform(F.split("_header", ","), lambda c: F.trim(c))
-    places = headers.withColumn("_names", names).select(
-        "_of", *[F.array_position("_names", c).alias(f"_at{i}") for i, c in enumerate(columns)]
-    )
-    rows = ordered.filter(~is_header & (F.trim("value") != "")).join(places, F.col("file") == F.col("_of"), "left")
-    checked = F.when(F.col("_of").isNull(), F.raise_error(F.lit("no header in the file"))).otherwise(F.split("value", ","))
-    rows = rows.withColumn("_cells", checked)
-
-    def pick(i: int) -> Column:
-        at = F.col(f"_at{i}")
-        return F.when(at > 0, F.get("_cells", (at - 1).cast("int"))).otherwise(F.lit(null_mark))
-
-    fixed = [F.get("_cells", F.lit(i)).alias(n) for i, n in enumerate(SYSTEM[:system_n])]
-    return rows.select("file", *fixed, *[pick(i).alias(c) for i, c in enumerate(columns)])
-
-
-SYSTEM = ("datetime", "timezone", "timestamp", "system", "source")
+    return metric_rows(lines, columns, None, null_mark, ["file"])
 
 
 def stream_headers(
     columns: Sequence[str], passed_on: Callable[[DataFrame, int], None]
 ) -> Callable[[DataFrame, int], None]:
-    """Batch function over :func:`stream_lines` batches: :func:`split_headers`, then ``passed_on``.
-
-    Line positions are numbered here, where the batch is a plain frame over its files.
-    """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        lines = batch.withColumn("pos", F.monotonically_increasing_id())
-        passed_on(split_headers(lines, columns), batch_id)
+    """Batch function over :func:`stream_lines` batches: :func:`split_headers`, then ``passed_on``."""
 
-    return write
+    return in_metric_rows(columns, passed_on, keep=("file",))
 
 
 def stream_lines(spark: SparkSession, root: str, max_files: int = 300, pattern: str = "*") -> DataFrame:
@@ -213,14 +178,19 @@ def push_points(
 def push_job(
     spark: SparkSession,
     root: str,
-    header: str,
+    columns: Sequence[str],
     points: Callable[[DataFrame], DataFrame],
     sink: Callable[[DataFrame, int], None],
     checkpoint: str,
     pattern: str = "*",
     max_files: int = 300,
     clean: str | None = None,
+    header: str | None = None,
 ) -> None:
-    """Files to points to a sink, in micro-batches, until no file is left."""
-    source = stream_metric_files(spark, root, text_schema(header), pattern, max_files, clean)
-    run_available(points(source), sink, checkpoint)
+    """Files to points to a sink, in micro-batches, until no file is left.
+
+    ``points`` gets the system columns, ``columns`` and ``instance`` of a batch, every file read by its own header
+    (``header`` where it has none).
+    """
+    source = stream_metric_files(spark, root, pattern, max_files, clean)
+    run_available(source, in_metric_rows(columns, lambda rows, n: sink(points(rows), n), header, None), checkpoint)

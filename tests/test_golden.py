@@ -267,6 +267,37 @@ def test_headers_hold_back_early_rows(spark, tmp_path):
         split_headers(read_lines(spark, str(tmp_path)), ["a"]).collect()
 
 
+def test_unlike_files_are_read_by_their_own_headers(spark, tmp_path):
+    from sensorframe.sources.metric_csv import read_metric_csv
+
+    head = "datetime,timezone,timestamp,system,source"
+    row = lambda n, rest: f"2024-01-01 00:00:{n:02d},+0000,{n},s,p,{rest}\n"
+    (tmp_path / "sub").mkdir()
+    write_text(tmp_path, "a.log", f"{head},rx,tx\n{row(1, '1,2')}{head},rx,tx\n{row(2, ',')}")
+    write_text(tmp_path, "b.log", f"{head}, tx, rx\n{row(3, '2,1')}\n2024-13-01,+0000,9,s,p,2,1\n")
+    write_text(tmp_path, "c.log", f'{row(4, "1")}{head},tx,"x.y"\n{row(5, '"a,b",7')}{row(6, '"say ""hi""",8')}{row(7, "short")}')
+    write_text(tmp_path / "sub", "d.log", row(8, "5,6"))
+    with pytest.raises(PySparkException):
+        read_metric_csv(spark, str(tmp_path)).collect()  # a file without a header
+    got = read_metric_csv(spark, str(tmp_path), header=f"{head},rx,tx")
+    assert got.columns == [*head.split(","), "rx", "tx", "x_y"]
+    assert sorted((r.timestamp, r.rx, r.tx, r.x_y) for r in got.collect()) == [
+        (1, "1", "2", None), (2, None, None, None), (3, "1", "2", None), (4, None, "1", None),
+        (5, None, "a,b", "7"), (6, None, 'say "hi"', "8"), (7, None, "short", None), (8, "5", "6", None),
+    ]
+    some = read_metric_csv(spark, str(tmp_path), ["tx", "rx"], f"{head},rx,tx").orderBy("timestamp").collect()
+    assert [(r.tx, r.rx) for r in some][2:5] == [("2", "1"), ("1", "(!)"), ("a,b", "(!)")]
+
+
+def test_load_tests_in_different_orders(spark, tmp_path):
+    from sensorframe.sources.load_test import read_load_test
+
+    write_text(tmp_path, "l.csv", "label,allThreads,Latency,success,responseCode,elapsed,timeStamp\nhome,3,20,true,200,25,1700000000000\n")
+    write_text(tmp_path, "m.csv", 'timeStamp,elapsed,label,responseCode,success,allThreads\n1700000001000,7,"a, b",500,false,4\n')
+    got = sorted(tuple(r) for r in read_load_test(spark, str(tmp_path)).select("elapsed", "response_code", "success", "latency", "all_threads").collect())
+    assert got == [(7, "500", False, None, 4), (25, "200", True, 20, 3)]
+
+
 def test_scratch_follows_the_checkpoint_dir(spark):
     assert scratch_dir(spark, "x") != scratch_dir(spark, "x")
     assert isinstance(pd.DataFrame(), pd.DataFrame)

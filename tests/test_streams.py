@@ -10,7 +10,7 @@ from sensorframe.operators import aggregates as A
 from sensorframe.plans.storage import scratch_dir
 from sensorframe.sinks.delivery import WriterRegistry, default_writers, send
 from sensorframe.sinks.state import StateTable
-from sensorframe.sources.metric_csv import scan_daily_logs, stream_metric_files, text_schema
+from sensorframe.sources.metric_csv import in_metric_rows, read_stream_of_one_header, scan_daily_logs, stream_metric_files, text_schema
 from sensorframe.streaming import jobs as B, stateful as Z
 
 HEADER = "datetime,timezone,timestamp,system,source,device,v"
@@ -27,8 +27,8 @@ def test_files_are_removed_after_delivery(spark, tmp_path):
     # A file is cleaned up once the following batch has been planned, so feed a few.
     for n in range(3):
         log(f"{root}/host{n}", f"a_{n}.log", [(n, "eth0", n)])
-        source = stream_metric_files(spark, root, text_schema(HEADER), "a_*.log", 1, clean="delete")
-        B.run_available(source, B.to_parquet(out), at)
+        source = stream_metric_files(spark, root, "a_*.log", 1, clean="delete")
+        B.run_available(source, in_metric_rows(["v"], B.to_parquet(out)), at)
     rows = spark.read.parquet(out)
     assert sorted((r.instance, r.v) for r in rows.collect()) == [("host0", "0"), ("host1", "1"), ("host2", "2")]
     assert not os.path.exists(f"{root}/host0/a_0.log")
@@ -39,7 +39,7 @@ def test_restart_continues_with_the_stored_state(spark, tmp_path):
     schema = text_schema(HEADER)
     for n, rows in enumerate([[(1, "a", 10), (2, "a", 25)], [(4, "a", 24), (5, "b", 7)]]):
         log(root, f"{n}.log", rows)
-        source = stream_metric_files(spark, root, schema).drop("instance")
+        source = read_stream_of_one_header(spark, root, schema).drop("instance")
         source = source.withColumn("timestamp", F.col("timestamp").cast("long"))
         B.run_available(Z.stream_dvdt(source, ["device"], "timestamp", ["v"], ["timestamp"]), B.to_parquet(out), at)
     got = sorted((r.device, r.timestamp, r.v) for r in spark.read.parquet(out).collect())

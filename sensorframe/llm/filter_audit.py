@@ -21,7 +21,7 @@ import itertools
 import math
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import read_table, text_of
 
@@ -101,8 +101,8 @@ def audited(docs: DataFrame, labels: DataFrame, conditions: list[Column]) -> Dat
         F.min("doc_id").alias("_least"),
         *[F.coalesce(F.min_by(c, "doc_id"), F.lit(0)).alias(f"{c}_least") for c in ("_n", "_g", "_t")],
     )
-    least = by_text.groupBy(F.col("_text").alias("_same")).agg(F.min("_least").alias("_first"))
-    texts = by_text.join(least, F.col("_text") == F.col("_same"))
+    # A text has one row a part here.
+    texts = by_text.withColumn("_first", F.min("_least").over(Window.partitionBy("_text")))
     kept = lambda c: F.col(f"{c}_none") + F.when(F.col("_least") == F.col("_first"), F.col(f"{c}_least")).otherwise(0)
     repeat = 1 << len(conditions)
     split = texts.select(

@@ -14,25 +14,31 @@ catalog = Catalog()
 query = catalog.query
 col, lit = F.col, F.lit
 
-# One top-level call per order, one nested call per order line.
+# One top-level call per order, one nested call per order line; in a fifteenth of these calls nested three more levels.
 _LINE_CALLS = """SELECT l_orderkey AS orderkey, concat('PCM_OP_', l_returnflag) AS name, l_quantity / 10 AS duration, l_linenumber AS records,
-  CASE WHEN l_suppkey % 10 = 0 THEN l_suppkey % 3 + 1 ELSE 0 END AS bucket, l_suppkey % 3 AS cache_calls, l_linenumber % 2 AS errors,
+  CASE WHEN l_suppkey % 10 = 0 THEN l_suppkey % 3 + 1 ELSE 0 END AS bucket, l_suppkey % 3 AS cache_calls, l_linenumber % 2 AS errors, l_partkey % 15 = 0 AS deep,
   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS n FROM {lineitem}"""
 
 _NESTED_ROWS = """SELECT orderkey, stack(2,
-  2 * n, concat_ws(',', 'S', 2, orderkey * 100 + n, 101, 0, name, orderkey * 1000 + 10 * n, 'f.c', 2, 11, 21, 'prog', bucket, 'obj'),
-  2 * n + 1, concat_ws(',', 'F', orderkey * 1000 + 10 * n + duration, records, 1, duration, duration, bucket, bucket + 1, cache_calls, 0.5, errors, 0, 0)) AS (line_no, value)
+  10 * n, concat_ws(',', 'S', 2, orderkey * 100 + n, 101, 0, name, orderkey * 1000 + 10 * n, 'f.c', 2, 11, 21, 'prog', bucket, 'obj'),
+  10 * n + 9, concat_ws(',', 'F', orderkey * 1000 + 10 * n + duration, records, 1, duration, duration, bucket, bucket + 1, cache_calls, 0.5, errors, 0, 0)) AS (line_no, value)
 FROM {calls}"""
+_DEEP_ROWS = """SELECT orderkey, stack(2,
+  10 * n + level - 2, concat_ws(',', 'S', level, (orderkey * 100 + n) * 10 + level, 102, 0, concat('SUB_', level), orderkey * 1000 + 10 * n, 'f.c', 2, 11, 21, 'prog', 0, 'obj'),
+  10 * n + 11 - level, concat_ws(',', 'F', orderkey * 1000 + 10 * n + duration / power(2, level - 2), 1, 1, duration / power(2, level - 2), duration / power(2, level - 2), 0, 0, 0, 0, 0, 0, 0)) AS (line_no, value)
+FROM (SELECT *, explode(array(3, 4, 5)) AS level FROM {calls} WHERE deep)"""
 _ORDER_ROWS = """SELECT o_orderkey AS orderkey, stack(2,
   0, concat_ws(',', 'S', 1, o_orderkey * 100, 100, 0, 'OP_ORDER', o_orderkey * 1000, 'f.c', 1, 11, 21, 'prog', 0, 'obj'),
   1000000, concat_ws(',', 'F', o_orderkey * 1000 + 10 * (n + 1), 0, 1, 10 * (n + 1), 10 * (n + 1), 0, 0, 0, 0, 0, 0, 0)) AS (line_no, value)
 FROM (SELECT o_orderkey, coalesce(n, 0) AS n FROM {orders} LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM {lineitem} GROUP BY l_orderkey) m ON l_orderkey = o_orderkey) o"""
 
 _CALLS_SQL = f"""WITH lines AS ({_LINE_CALLS.format(lineitem='lineitem')}),
-calls AS (SELECT 'PCM' AS kind, orderkey * 100 + n AS opid, 2 AS level, name, 'OP_ORDER.' || name AS path, round(duration, 6) AS duration, cast(records AS bigint) AS records,
-    cast(bucket AS bigint) AS bucket, cast(cache_calls AS bigint) AS cache_calls, cast(errors AS bigint) AS errors, orderkey FROM lines
-  UNION ALL SELECT 'ORDER', o_orderkey * 100, 1, 'OP_ORDER', 'OP_ORDER', cast(10 * (coalesce(n, 0) + 1) AS double), cast(coalesce(r, 0) AS bigint), 0, 0, 0, o_orderkey
-  FROM orders LEFT JOIN (SELECT orderkey, max(n) AS n, sum(CASE WHEN bucket = 0 THEN records ELSE 0 END) AS r FROM lines GROUP BY orderkey) m ON orderkey = o_orderkey) """
+calls AS (SELECT orderkey * 100 + n AS opid, 2 AS level, name, 'OP_ORDER.' || name AS path, round(duration, 6) AS duration, cast(records + CASE WHEN deep THEN 3 ELSE 0 END AS bigint) AS records,
+    cast(bucket AS bigint) AS bucket, cast(cache_calls AS bigint) AS cache_calls, cast(errors AS bigint) AS errors, orderkey, n FROM lines
+  UNION ALL SELECT (orderkey * 100 + n) * 10 + level, level, 'SUB_' || level, 'OP_ORDER.' || name || '.SUB_3' || CASE WHEN level > 3 THEN '.SUB_4' ELSE '' END || CASE WHEN level > 4 THEN '.SUB_5' ELSE '' END,
+    round(duration / power(2, level - 2), 6), 6 - level, 0, 0, 0, orderkey, n FROM lines, (SELECT unnest([3, 4, 5]) AS level) d WHERE deep
+  UNION ALL SELECT o_orderkey * 100, 1, 'OP_ORDER', 'OP_ORDER', cast(10 * (coalesce(n, 0) + 1) AS double), cast(coalesce(r, 0) AS bigint), 0, 0, 0, o_orderkey, 0
+  FROM orders LEFT JOIN (SELECT orderkey, max(n) AS n, sum(CASE WHEN bucket = 0 THEN records ELSE 0 END + CASE WHEN deep THEN 3 ELSE 0 END) AS r FROM lines GROUP BY orderkey) m ON orderkey = o_orderkey) """
 
 PROFILE_COLUMNS = """round(sum(duration), 6) AS total, count(*) AS calls, cast(sum(errors) AS bigint) AS errors, min(duration) AS minimum, max(duration) AS maximum,
   cast(sum(records) AS bigint) AS records, round(100 * sum(duration) / (SELECT sum(duration) FROM calls WHERE level = 1), 2) AS percentage, round(sum(duration) / count(*), 6) AS average"""
@@ -42,7 +48,7 @@ def trace_path(i: Inputs) -> str:
     """Trace logs of four processes, one directory per log."""
     calls = i.spark.sql(_LINE_CALLS, lineitem=i.table("lineitem"))
     nested = i.spark.sql(_NESTED_ROWS, calls=calls)
-    rows = nested.unionAll(i.spark.sql(_ORDER_ROWS, orders=i.table("orders"), lineitem=i.table("lineitem")))
+    rows = nested.unionAll(i.spark.sql(_DEEP_ROWS, calls=calls)).unionAll(i.spark.sql(_ORDER_ROWS, orders=i.table("orders"), lineitem=i.table("lineitem")))
     name = F.concat(lit("cm."), (col("orderkey") % 4).cast("string"), lit(".20240101_000000.plog.txt"))
     path = i.scratch("trace")
     rows = rows.withColumn("trace", name)
@@ -69,7 +75,7 @@ def _(i):
 
 @query(
     "win12_pair_calls",
-    f"""{_CALLS_SQL} SELECT opid, cast(level AS bigint) AS level, path, duration, records, level = 2 AS nested FROM calls""",
+    f"""{_CALLS_SQL} SELECT opid, cast(level AS bigint) AS level, path, duration, records, level > 1 AS nested FROM calls""",
 )
 def _(i):
     return calls(i).select(
@@ -89,9 +95,10 @@ def _(i):
 
 @query(
     "agg23_exclusive_time",
-    f"""{_CALLS_SQL} SELECT 'OP_ORDER.VRT_OP_OP_ORDER' AS path, 'VRT_OP_OP_ORDER' AS name, count(*) AS calls, round(sum(rest), 6) AS total FROM (
-      SELECT round(a.duration - b.d, 6) AS rest FROM calls a JOIN (SELECT orderkey, sum(duration) AS d FROM calls WHERE level = 2 AND bucket = 0 GROUP BY orderkey) b
-      ON a.orderkey = b.orderkey WHERE a.level = 1) q WHERE rest > 0""",
+    f"""{_CALLS_SQL} SELECT path || '.' || v AS path, v AS name, count(*) AS calls, round(sum(rest), 6) AS total FROM (
+      SELECT a.path, 'VRT_OP_' || coalesce(nullif(regexp_extract(a.name, '^PCM_OP_(.*)', 1), ''), a.name) AS v, round(a.duration - b.d, 6) AS rest FROM calls a
+      JOIN (SELECT orderkey, CASE WHEN level = 2 THEN 0 ELSE n END AS up, level - 1 AS above, sum(duration) AS d FROM calls WHERE level > 1 AND bucket = 0 GROUP BY ALL) b
+      ON a.orderkey = b.orderkey AND a.n = up AND a.level = above WHERE a.bucket = 0) q WHERE rest > 0 GROUP BY ALL""",
 )
 def _(i):
     return C.exclusive_time(calls(i))
@@ -130,7 +137,7 @@ def _(i):
 
 @query(
     "flt07_filter_call_path",
-    f"""{_CALLS_SQL} SELECT path, level = 2 AS counted, count(*) AS calls FROM calls WHERE path IN ('OP_ORDER', 'OP_ORDER.PCM_OP_R') GROUP BY 1, 2""",
+    f"""{_CALLS_SQL} SELECT path, level > 1 AS counted, count(*) AS calls FROM calls WHERE path = 'OP_ORDER' OR path || '.' LIKE 'OP_ORDER.PCM_OP_R.%' GROUP BY 1, 2""",
 )
 def _(i):
     on = L.filter_call_path(calls(i), ["OP_ORDER", "PCM_OP_R"])
@@ -139,7 +146,7 @@ def _(i):
 
 @query(
     "flt08_exclude_call_paths",
-    f"""{_CALLS_SQL} SELECT path, count(*) AS calls FROM calls WHERE path NOT IN ('OP_ORDER', 'OP_ORDER.PCM_OP_A') GROUP BY 1""",
+    f"""{_CALLS_SQL} SELECT path, count(*) AS calls FROM calls WHERE path <> 'OP_ORDER' AND path || '.' NOT LIKE 'OP_ORDER.PCM_OP_A.%' GROUP BY 1""",
 )
 def _(i):
     kept = L.exclude_call_paths(calls(i), [["OP_ORDER", "PCM_OP_A"]])

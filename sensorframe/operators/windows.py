@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.scalars import floor_div, lenient
-from ..plans.ordered import Scan, fold_series, full_frame, ordered_scan, rolling, scan_cells
+from ..plans.ordered import Scan, Transfer, fold_series, full_frame, ordered_scan, rolling, scan_cells
 from ..plans.skew import split_cells
 
 
@@ -236,11 +236,10 @@ def zscore_anomaly(
     lag: int,
     threshold: float,
     influence: float,
-    cell_rows: int | None = None,
 ) -> DataFrame:
     """Smoothed z-score signal (-1, 0, 1) per row of each series.
 
-    Every point depends on the filtered values before it, so a series is walked in order; only
+    Every point depends on the filtered values before it, so a series is walked in order, in one sorted pass; only
     ``lag + 1`` values per series are held.
     """
     rows = df.select(*keys, *order, y)
@@ -252,7 +251,13 @@ def zscore_anomaly(
         # While at most lag values were seen the start rule still applies; that is what a short state means.
         return tuple(filtered[-(lag + 1) :].tolist()), pdf.assign(signal=signal)
 
-    return fold_series(rows, keys, order, step, schema, cell_rows=cell_rows)
+    return fold_series(rows, keys, order, step, schema)
+
+
+def _open_call(stack: list[tuple], start: tuple, total: int) -> None:
+    """Push a call: its start row, the records counted so far, and the names of its callers and itself, without level 0."""
+    path = stack[-1][-1] if stack else ()
+    stack.append((*start, total, (*path, start[3]) if start[2] >= 1 else path))
 
 
 def pair_calls(
@@ -260,53 +265,106 @@ def pair_calls(
 ) -> DataFrame:
     """Calls from the start and finish rows of traces.
 
-    ``lines`` comes from ``read_call_trace``. A finish row closes the newest start row of its nesting depth. ``records``
-    includes those of nested calls, without bucket rows unless ``with_buckets``. All windows share one
-    partitioning and order. One pass finds the deepest nesting first.
+    ``lines`` comes from ``read_call_trace``. A finish row closes the newest open start row; the start rows still open around it are its
+    callers. ``records`` includes those of nested calls, without bucket rows unless ``with_buckets``.
+
+    Each file is walked in order with the open calls as state, whatever their depth. A stretch of a long file is summed up by the
+    records of the calls that it closes but did not open, and by the calls that it leaves open, so that stretches are
+    walked in parallel.
     """
     keys, order = ["file"], ["block", "pos"]
-    is_start = F.col("kind") == "S"
-    step = F.when(is_start, 1).otherwise(-1).cast("long")
-    nested = scan_cells(split_cells(lines, keys, order, cell_rows), keys, order, [Scan("_after", "sum", step)])
-    nested = nested.with_columns(_depth=(F.col("_after") + F.when(is_start, 0).otherwise(1)).cast("int"))
-    max_depth = nested.df.agg(F.max("_depth")).first()[0] or 1
-
-    def per_depth(prefix: str, value: Column) -> list[Scan]:
-        return [
-            Scan(f"{prefix}{j}", "last", F.when(is_start & (F.col("_depth") == j), value))
-            for j in range(1, max_depth + 1)
-        ]
-
-    opened = F.struct(
-        "level", "opid", "opcode", "name", "time", "program", "bucket", "objtype", F.struct("block", "pos").alias("id")
+    opened = F.to_json(F.struct("level", "opid", "opcode", "name", "program", "bucket", "objtype"))
+    measured = ["calls", "min_time", "max_time", "range_from", "range_to", "cache_calls", "cache_time", "errors"]
+    closed = F.to_json(F.struct("process", "chain", "ended", "records", *measured))
+    rows = lines.select(
+        "file", "block", "pos", (F.col("kind") == "S").alias("starts"), F.col("level").cast("double").alias("level"), "name",
+        F.col("bucket").cast("double").alias("bucket"), "time", F.col("records").cast("double").alias("records"),
+        F.when(F.col("kind") == "S", opened).otherwise(closed).alias("info"),
+    )
+    fields = ["block", "pos", "level", "name", "bucket", "time", "info"]  # of an open call; then the sum at its start and its path
+
+    def events(pdf: pd.DataFrame) -> Iterator[tuple]:
+        return zip(pdf["starts"], pdf["records"], *(pdf[c] for c in fields))
+
+    def count(call: tuple, records: float) -> float:
+        return records if (with_buckets or call[4] == 0) and records == records else 0.0
+
+    def step(state, pdf: pd.DataFrame):
+        total, stack = (0.0, []) if state is None else (state[0], list(state[1]))
+        file, out = pdf["file"].iat[0], []
+        for starts, records, *row in events(pdf):
+            if starts:
+                _open_call(stack, tuple(row), total)
+                continue
+            if not stack:
+                raise ValueError("finish row without a start row")
+            call = stack.pop()
+            counted = with_buckets or call[4] == 0
+            total += count(call, records)
+            above = stack[-1] if stack and stack[-1][2] >= 1 else None
+            out.append((
+                file, row[-1], call[6], list(call[8]), call[0], call[1], None if above is None else above[0], None if above is None else above[1],
+                call[5], row[5], total - call[7] + (0.0 if counted else records),
+            ))
+        return (total, stack), pd.DataFrame(out, columns=schema.names)
+
+    # A stretch: records closed from before it; counted of its own; open calls with what was closed and counted until their start.
+    def of(pdf: pd.DataFrame):
+        before, own, left = [], 0.0, []
+        for starts, records, *row in events(pdf):
+            if starts:
+                left.append((tuple(row), len(before), own))
+            elif left:
+                own += count(left.pop()[0], records)
+            else:
+                before.append(records)
+        return before, own, left
+
+    def apply(value, state):
+        before, own, left = value
+        total, stack = (0.0, []) if state is None else (state[0], list(state[1]))
+        sums = [total]
+        for records in before:
+            if not stack:
+                raise ValueError("finish row without a start row")
+            sums.append(sums[-1] + count(stack.pop(), records))
+        for start, closes, counted in left:
+            _open_call(stack, start, sums[closes] + counted)
+        return sums[-1] + own, stack
+
+    def then(a, b):
+        # Calls left open by the first stretch are closed by the second one, newest first.
+        before, own, left = list(a[0]), a[1], list(a[2])
+        gained = [0.0]
+        for records in b[0]:
+            if left:
+                gained.append(gained[-1] + count(left.pop()[0], records))
+            else:
+                before.append(records)
+                gained.append(gained[-1])
+        outer = len(a[0])
+        taken = max(0, len(b[0]) - len(a[2]))
+        for start, closes, counted in b[2]:
+            left.append((start, outer + max(0, closes - (len(b[0]) - taken)), own + gained[closes] + counted))
+        return before, own + gained[-1] + b[1], left
+
+    schema = T.StructType.fromDDL(
+        "file STRING, closed STRING, opened STRING, path ARRAY<STRING>, block LONG, pos LONG, up_block LONG, up_pos LONG, "
+        "started DOUBLE, finished DOUBLE, records DOUBLE"
     )
-    open_calls = per_depth("_o", opened)
-    stack = F.slice(F.array(*[F.col(s.name) for s in open_calls]), 1, F.greatest(F.col("_depth"), F.lit(0)))
-    known = scan_cells(nested, keys, order, open_calls).with_columns(_stack=stack)
-    known = known.with_columns(_start=F.try_element_at("_stack", F.lit(-1)))
-
-    counts = ~is_start if with_buckets else ~is_start & (F.col("_start.bucket") == 0)
-    counted = F.when(counts, F.col("records")).otherwise(F.lit(0).cast("long"))
-    summed = scan_cells(known, keys, order, [Scan("_sum", "sum", counted)])
-    at_start = per_depth("_r", F.col("_sum"))
-    full = scan_cells(summed, keys, order, at_start).df.filter(~is_start)
-    sum_before = F.try_element_at(F.array(*[F.col(s.name) for s in at_start]), F.greatest(F.col("_depth"), F.lit(1)))
-    own = F.when(counts, F.lit(0).cast("long")).otherwise(F.col("records"))
-
-    s = F.col("_start")
-    level = F.when(s.isNull(), F.raise_error(F.lit("finish row without a start row"))).otherwise(s["level"])
-    callers = F.filter("_stack", lambda c: c["level"] >= 1)
-    parent = F.try_element_at("_stack", F.lit(-2))
-    return full.select(
-        "file", "process", "chain", "ended",
-        level.cast("long").alias("level"),
-        *[s[c].alias(c) for c in ("opid", "opcode", "name", "program", "bucket", "objtype")],
-        F.transform(callers, lambda c: c["name"]).alias("path"),
-        s["id"].alias("call_id"),
-        F.when(parent["level"] >= 1, parent["id"]).alias("parent_id"),
-        s["time"].alias("started"),
-        F.col("time").alias("finished"),
-        F.round(F.col("time") - s["time"], 6).alias("duration"),
-        (F.col("_sum") - sum_before + own).alias("records"),
-        "calls", "min_time", "max_time", "range_from", "range_to", "cache_calls", "cache_time", "errors",
+    walked = fold_series(rows, keys, order, step, schema, transfer=Transfer(of, then, apply), cell_rows=cell_rows)
+    kinds = {f.name: f.dataType.simpleString() for f in lines.schema}
+    of_start = F.from_json("opened", "level long, opid long, opcode long, name string, program string, bucket long, objtype string")
+    of_finish = F.from_json("closed", ", ".join(f"{c} {kinds[c]}" for c in ("process", "chain", "ended", *measured)))
+    calls = walked.withColumns({"_s": of_start, "_f": of_finish})
+    return calls.select(
+        "file", "_f.process", "_f.chain", "_f.ended",
+        *[F.col(f"_s.{c}").alias(c) for c in ("level", "opid", "opcode", "name", "program", "bucket", "objtype")],
+        "path",
+        F.struct("block", "pos").alias("call_id"),
+        F.when(F.col("up_block").isNotNull(), F.struct(F.col("up_block").alias("block"), F.col("up_pos").alias("pos"))).alias("parent_id"),
+        "started", "finished",
+        F.round(F.col("finished") - F.col("started"), 6).alias("duration"),
+        F.col("records").cast("long").alias("records"),
+        *[F.col(f"_f.{c}").alias(c) for c in measured],
     )

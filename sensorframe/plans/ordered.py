@@ -163,17 +163,21 @@ def full_frame(frame, n: int, value: Column) -> Column:
     return F.when(F.count(F.lit(1)).over(frame) == n, value)
 
 
-def _walk(
-    batches: Iterator[pd.DataFrame],
-    by: list[str],
-    columns: list[str],
-    step: Callable,
-    finish: Callable | None,
-    starts_with: Callable,
-    ends: Callable,
-) -> Iterator[tuple[tuple, object, list[pd.DataFrame], bool]]:
-    """Run ``step`` over sorted batches; yields ``(series, state, outputs, closed)`` per stretch of rows."""
-    current, state = None, None
+@dataclass(frozen=True)
+class Transfer:
+    """What a stretch of rows does to the state it starts with, as a small plain value.
+
+    ``of(rows)`` sums up consecutive rows, ``then(a, b)`` joins the values of two stretches that follow one another, and
+    ``apply(value, state)`` gives the state at the end from the state at the start (None at the start of a series).
+    """
+
+    of: Callable[[pd.DataFrame], object]
+    then: Callable[[object, object], object]
+    apply: Callable[[object, object], object]
+
+
+def _stretches(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tuple[tuple, pd.DataFrame | None]]:
+    """Consecutive rows of one key from sorted batches, and ``(name, None)`` at the end of every batch's last key."""
     for pdf in batches:
         if not len(pdf):
             continue
@@ -181,20 +185,9 @@ def _walk(
         changed = (pdf[by] != pdf[by].shift()).any(axis=1).to_numpy()
         starts = [*np.flatnonzero(changed), len(pdf)]
         names = list(zip(*[pdf[k].to_numpy()[starts[:-1]] for k in by]))
-        body, outs = pdf[columns], []
         for at, end, name in zip(starts, starts[1:], names):
-            if name != current:
-                if current is not None:
-                    if finish is not None and ends(current):
-                        outs.append(finish(state))
-                    yield current, state, outs, True
-                    outs = []
-                current, state = name, starts_with(name)
-            state, out = step(state, body.iloc[at:end])
-            outs.append(out)
-        yield current, state, outs, False
-    if current is not None:
-        yield current, state, [finish(state)] if finish is not None and ends(current) else [], True
+            yield name, pdf.iloc[at:end]
+        yield names[-1], None
 
 
 def _concat(pieces: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -210,86 +203,90 @@ def fold_series(
     step: Callable,
     schema: T.StructType,
     finish: Callable | None = None,
+    transfer: Transfer | None = None,
     cell_rows: int | None = None,
 ) -> DataFrame:
     """Walk each series in order, for rules where every row depends on the outcome of earlier ones.
 
     ``step(state, rows) -> (state, out)`` gets consecutive rows of one series as a pandas frame
     (``state`` is None at its start); ``finish(state) -> out`` runs at its end. Spark sorts, and the
-    rows stream through in Arrow batches, so only ``state`` is held in memory whatever the length.
+    rows stream through in Arrow batches, so only ``state`` is held in memory whatever the length. States must be plain
+    values (numbers, text, tuples, lists).
 
-    A heavy series is cut into cells walked in parallel. Each cell first starts without a state; then
-    cells start again with the state their predecessor ended with until no end state changes. That is the
-    sequential answer, reached after few rounds because such rules forget old rows. States
-    must be plain values (numbers, text, tuples), equal exactly when the rule goes on equally.
+    With a ``transfer`` a heavy series is cut into cells that are walked in parallel: the cells' transfers are chained, one small row
+    a cell, to the state each cell starts with. Without one a series is walked by one task, in one sorted pass. Either way
+    the frame is a single plan: no job runs here (but the count of heavy keys), nothing is collected.
     """
     key_cols, order_cols, columns = list(keys), list(order), df.columns
-    cells = split_cells(df, key_cols, order_cols, cell_rows)
+    cells = split_cells(df, key_cols, order_cols, cell_rows) if transfer is not None else Cells(df, (), None)
     by = [*key_cols, *cells.columns]
-    initial, last_of = (_cell_states(cells, key_cols, order_cols, columns, step) if cells.columns else ({}, None))
-    known = df.sparkSession.sparkContext.broadcast((initial, last_of)) if cells.columns else None
+    rows = cells.df
+    if cells.columns:
+        starts = _cell_starts(cells, key_cols, order_cols, columns, transfer)
+        rows = rows.withColumns({"_state": F.lit(None).cast("binary"), "_last": F.lit(None).cast("boolean")})
+        # Numbers are 0 in the rows that carry a state, as a null would turn whole numbers into doubles in pandas.
+        filler = lambda kind: F.lit(0 if isinstance(kind, T.NumericType) else None).cast(kind)
+        rows = rows.unionByName(starts.select("*", *[filler(f.dataType).alias(f.name) for f in rows.schema if f.name not in starts.columns]))
+        ordered = rows.repartition(*by).sortWithinPartitions(*by, F.col("_last").isNull(), *order_cols)
+    else:
+        ordered = rows.repartition(*by).sortWithinPartitions(*by, *order_cols) if by else rows.repartition(1).sortWithinPartitions(*order_cols)
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        states, last = known.value if known is not None else ({}, None)
-        n = len(key_cols)
-
-        def ends(name: tuple) -> bool:
-            return last is None or last.get(name[:n], name[n:]) == name[n:]
-
-        pieces: list[pd.DataFrame] = []
-        for _, _, outs, closed in _walk(batches, by, columns, step, finish, lambda name: states.get(name), ends):
-            pieces += outs
-            if not closed:
+        current, state, last, pieces = None, None, True, []
+        names = by or ["_all"]
+        for name, part in _stretches((b if by else b.assign(_all=0) for b in batches), names):
+            if part is None:
                 # One output batch per input batch, however many series it holds.
                 yield from _concat(pieces)
                 pieces = []
+                continue
+            if name != current:
+                if current is not None and finish is not None and last:
+                    pieces.append(finish(state))
+                current, state, last = name, None, True
+                if "_last" in part.columns and part["_last"].iloc[0] is not None and not pd.isna(part["_last"].iloc[0]):
+                    state, last = pickle.loads(part["_state"].iloc[0]), bool(part["_last"].iloc[0])
+                    part = part.iloc[1:]
+            if len(part):
+                state, out = step(state, part[columns])
+                pieces.append(out)
+        if current is not None and finish is not None and last:
+            pieces.append(finish(state))
         yield from _concat(pieces)
 
-    ordered = cells.df.repartition(*by).sortWithinPartitions(*by, *order_cols)
     return ordered.mapInPandas(walk, schema)
 
 
-def _cell_states(
-    cells: Cells, keys: list[str], order: list[str], columns: list[str], step: Callable
-) -> tuple[dict[tuple, object], dict[tuple, tuple]]:
-    """State at the start of every heavy cell, and the last cell of every heavy key.
-
-    Only end states reach the driver, one small value per heavy cell.
-    """
+def _cell_starts(cells: Cells, keys: list[str], order: list[str], columns: list[str], transfer: Transfer) -> DataFrame:
+    """``keys, cells, _heavy, _state, _last``: the state at the start of every heavy cell, and whether it is its series' last."""
     by = [*keys, *cells.columns]
-    heavy = cells.df.filter(cells.heavy)
-    spark = heavy.sparkSession
-    schema = T.StructType([*[heavy.schema[c] for c in by], T.StructField("_state", T.BinaryType())])
-
-    def end_states(rows: DataFrame, start: dict[tuple, bytes]) -> dict[tuple, bytes]:
-        shared = spark.sparkContext.broadcast(start)
-
-        def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            def begin(name: tuple):
-                raw = shared.value.get(name)
-                return None if raw is None else pickle.loads(raw)
-
-            for name, state, _, closed in _walk(batches, by, columns, step, None, begin, lambda _: False):
-                if closed:
-                    yield pd.DataFrame([(*name, pickle.dumps(state))], columns=[*by, "_state"])
-
-        ordered = rows.repartition(*by).sortWithinPartitions(*by, *order)
-        found = ordered.mapInPandas(walk, schema).collect()
-        return {tuple(r)[:-1]: bytes(r["_state"]) for r in found}
-
-    ended = end_states(heavy, {})
-    names = sorted(ended, key=lambda name: (repr(name[: len(keys)]), name[len(keys) :]))
-    before = {b: a for a, b in zip(names, names[1:]) if a[: len(keys)] == b[: len(keys)]}
-    started: dict[tuple, bytes] = {}
-    while True:
-        wanted = {name: ended[previous] for name, previous in before.items()}
-        stale = [name for name, state in wanted.items() if started.get(name) != state]
-        if not stale:
-            break
-        some = F.broadcast(spark.createDataFrame(stale, T.StructType([heavy.schema[c] for c in by])).toDF(*[f"_s_{c}" for c in by]))
-        rows = heavy.join(some, same_keys([F.col(c) for c in by], [F.col(f"_s_{c}") for c in by]), "left_semi")
-        start = {name: wanted[name] for name in stale}
-        ended.update(end_states(rows, start))
-        started.update(start)
-    last = {name[: len(keys)]: name[len(keys) :] for name in names}
-    return {name: pickle.loads(state) for name, state in started.items()}, last
+    heavy, cell_cols = cells.df.filter(cells.heavy), list(cells.columns)
+    fields = [heavy.schema[c] for c in by]
+
+    def summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, value = None, None
+        for name, part in _stretches(batches, by):
+            if part is None:
+                continue
+            if name != current and current is not None:
+                yield pd.DataFrame([(*current, pickle.dumps(value))], columns=[*by, "_value"])
+                value = None
+            current, more = name, transfer.of(part[columns])
+            value = more if value is None else transfer.then(value, more)
+        if current is not None:
+            yield pd.DataFrame([(*current, pickle.dumps(value))], columns=[*by, "_value"])
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(cell_cols, ignore_index=True)
+        state, states = None, []
+        for value in pdf["_value"]:
+            states.append(pickle.dumps(state))
+            state = transfer.apply(pickle.loads(value), state)
+        return pdf[by].assign(_state=states, _last=np.arange(len(pdf)) == len(pdf) - 1)
+
+    found = heavy.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(
+        summaries, T.StructType([*fields, T.StructField("_value", T.BinaryType())])
+    )
+    schema = T.StructType([*fields, T.StructField("_state", T.BinaryType()), T.StructField("_last", T.BooleanType())])
+    grouped = found.groupBy(*keys) if keys else found.groupBy(F.lit(0))
+    return grouped.applyInPandas(chain, schema).withColumn(cells.heavy, F.lit(True))

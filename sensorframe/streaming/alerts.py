@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..plans.ordered import Scan, fold_series, scan_cells
+from ..plans.ordered import Scan, Transfer, fold_series, scan_cells
 from ..plans.skew import split_cells
 
 OPERATORS = {
@@ -94,7 +95,38 @@ def suppress(
             at += 1
         return float(until), pdf.iloc[keep]
 
-    return fold_series(df, keys, order, step, schema, cell_rows=cell_rows)
+    return fold_series(df, keys, order, step, schema, transfer=_suppress_transfer(ts, hold), cell_rows=cell_rows)
+
+
+def _suppress_transfer(ts: str, hold: float) -> Transfer:
+    """``(starts, ends)``: active until ``u`` before the rows means until ``ends[i]`` after them, ``i`` the first with ``starts[i] >= u``; beyond, ``u``."""
+
+    def shortened(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        last = np.append(ends[1:] != ends[:-1], True)
+        return starts[last], ends[last]
+
+    def reached(value, until: np.ndarray) -> np.ndarray:
+        starts, ends = value
+        at = np.searchsorted(starts, until)
+        return np.where(at < len(starts), ends[np.minimum(at, len(starts) - 1)], until)
+
+    def then(a, b):
+        beyond = b[0] > a[0][-1]
+        return shortened(np.concatenate([a[0], b[0][beyond]]), np.concatenate([reached(b, a[1]), b[1][beyond]]))
+
+    def of(pdf: pd.DataFrame):
+        times = pdf[ts].to_numpy(dtype="float64")
+        if not (times[1:] >= times[:-1]).all():
+            return reduce(then, ((np.array([t]), np.array([t + hold])) for t in times))
+        after = np.searchsorted(times, times + hold)
+        ends = times + hold
+        for i in range(len(times) - 1, -1, -1):  # a row's end is that of the first row after its hold
+            if (j := max(i + 1, after[i])) < len(times):
+                ends[i] = ends[j]
+        first = np.append(True, times[1:] != times[:-1])
+        return shortened(times[first], ends[first])
+
+    return Transfer(of, then, lambda value, state: float(reached(value, np.array([-np.inf if state is None else state]))[0]))
 
 
 def fan_in_batch(
@@ -137,4 +169,41 @@ def fan_in_batch(
         key, first, count = state
         return frame([] if first is None else [(*key, first, first + timeout, count, False)])
 
-    return fold_series(df, keys, order, step, schema, finish, cell_rows)
+    # Rows from a state: how many there are, the times of the first of them, and the state at the end if a group starts at each of these.
+    def run(times: np.ndarray) -> tuple:
+        first, count, at = None, 0, 0
+        while at < len(times):
+            if first is None:
+                first, count, at = times[at], 1, at + 1
+            cut = at + int(np.searchsorted(times[at:], first + timeout))
+            if (full := at + n - count) <= cut and full <= len(times):
+                first, count, at = None, 0, full
+            elif cut < len(times):
+                first, count, at = None, 0, cut
+            else:
+                count, at = count + len(times) - at, len(times)
+        return (None, 0) if first is None else (float(first), count)
+
+    def of(pdf: pd.DataFrame):
+        times = pdf[ts].to_numpy(dtype="float64")
+        fresh = [run(times[j:]) for j in range(min(n, len(times)) + 1)]
+        return len(times), times[:n].tolist(), fresh, tuple(pdf.iloc[0][list(keys)])
+
+    def moved(value, first, count) -> tuple:
+        length, times, fresh, _ = value
+        if first is None:
+            return fresh[0]
+        cut, full = int(np.searchsorted(times, first + timeout)), n - count
+        if full <= cut and full <= length:
+            return fresh[full]
+        return fresh[cut] if cut < len(times) else (first, count + length)
+
+    def then(a, b):
+        fresh = [moved(b, *s) for s in a[2]]
+        return a[0] + b[0], (a[1] + b[1])[:n], (fresh + b[2][1:])[: n + 1] if a[0] < n else fresh, a[3]
+
+    def apply(value, state):
+        _, first, count = state or (None, None, 0)
+        return (value[3], *moved(value, first, count))
+
+    return fold_series(df, keys, order, step, schema, finish, Transfer(of, then, apply), cell_rows)

@@ -97,8 +97,12 @@ CASES = {
     "resample": lambda d, c: A.resample(d.withColumn("at", F.timestamp_seconds("ts")), ["device"], "at", 7, ["x"], cell_rows=c).select(
         "device", "bucket", F.round("x", 9)
     ),
-    "zscore": lambda d, c: W.zscore_anomaly(d.na.fill(0), ["device"], ["ts", "seq"], "x", 6, 1.5, 0.3, c),
+    "zscore": lambda d, c: W.zscore_anomaly(d.na.fill(0), ["device"], ["ts", "seq"], "x", 6, 1.5, 0.3),
     "suppress": lambda d, c: E.suppress(d, ["device"], ["ts", "seq"], "ts", 40, c),
+    "suppress_unordered": lambda d, c: E.suppress(d, ["device"], ["seq"], "ts", 40, c),
+    "suppress_long": lambda d, c: E.suppress(d, ["device"], ["ts", "seq"], "ts", 900, c),
+    "fan_in_many": lambda d, c: E.fan_in_batch(d, ["device"], ["ts", "seq"], "ts", 70, 400, c),
+    "fan_in_one": lambda d, c: E.fan_in_batch(d, ["device"], ["ts", "seq"], "ts", 1, 5, c),
     "fan_in": lambda d, c: E.fan_in_batch(d, ["device"], ["ts", "seq"], "ts", 3, 25, c),
     "pool": lambda d, c: A.pool_usage(d, ["device"], "ts", "v", 10, c),
 }
@@ -133,3 +137,62 @@ def test_many_heavy_keys_raise_the_limit(spark, monkeypatch):
     assert split_cells(hot, ["k"], ["t"], 20).columns
     cut = ordered_scan(hot, ["k"], ["t"], [Scan("n", "count")], 20)
     assert rows_of(cut) == rows_of(ordered_scan(hot, ["k"], ["t"], [Scan("n", "count")]))
+
+
+def nested_trace(rng, calls):
+    """Start and finish rows nested up to 12 levels, with names, buckets and records."""
+    lines, stack, t = [], [], 0.0
+    for _ in range(calls * 3):
+        t += 1
+        if stack and (len(stack) > 11 or rng.random() < 0.5):
+            stack.pop()
+            lines.append(f"F,{t},{rng.randint(0, 3)},1,1,1,0,0,0,0,{rng.randint(0, 1)},0,0")
+        else:
+            level = len(stack) + 1
+            stack.append(level)
+            lines.append(f"S,{level},{len(lines)},7,0,N{rng.randint(0, 4)},{t},f.c,1,1,1,prog,{rng.choice([0, 0, 0, 2])},obj")
+    for _ in stack:
+        t += 1
+        lines.append(f"F,{t},1,1,1,1,0,0,0,0,0,0,0")
+    return lines
+
+
+@pytest.mark.parametrize("with_buckets", [False, True])
+@pytest.mark.parametrize("cell_rows", [None, 9, 40])
+def test_nested_calls(spark, tmp_path, cell_rows, with_buckets):
+    import random
+
+    from sensorframe.sources.call_trace import read_call_trace
+
+    rng, want = random.Random(4), []
+    for f in range(3):
+        lines = nested_trace(rng, 120 if f else 5)
+        (tmp_path / f"cm.{f}.20181116_201500.plog.txt").write_text("\n".join(lines) + "\n")
+        stack = []
+        for line in lines:
+            p = line.split(",")
+            if p[0] == "S":
+                stack.append([p, 0])
+                continue
+            (start, inner), records = stack.pop(), int(p[2])
+            counted = with_buckets or start[12] == "0"
+            path = ".".join(c[0][5] for c in stack) + ("." if stack else "") + start[5]
+            want.append((str(f), int(start[2]), path, float(p[1]) - float(start[6]), inner + records, len(stack) > 0))
+            for call in stack:
+                call[1] += records if counted else 0
+    got = W.pair_calls(read_call_trace(spark, str(tmp_path)), with_buckets, cell_rows)
+    rows = [(r.process, r.opid, ".".join(r.path), r.duration, r.records, r.parent_id is not None) for r in got.collect()]
+    assert sorted(rows) == sorted(want)
+    parents = {(r.file, r.call_id): r.opid for r in got.collect()}
+    assert all(r.parent_id is None or (r.file, r.parent_id) in parents for r in got.collect())
+
+
+def test_one_plan_whatever_the_cells(spark, series):
+    """Sequential rules run in one pass: there are more cells than jobs."""
+    cells = split_cells(series, ["device"], ["ts", "seq"], CELL)
+    assert cells.df.select("device", *cells.columns).distinct().count() > 20
+    frame = E.suppress(series, ["device"], ["ts", "seq"], "ts", 40, CELL)
+    spark.sparkContext.setJobGroup("cells", "")
+    frame.write.format("noop").mode("overwrite").save()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("cells")) < 15

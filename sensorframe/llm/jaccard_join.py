@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import drop_saved, read_table, save, seeded, text_of, without_ids
+from .common import drop_saved, ids, ranked, read_table, save, seeded, text_of, without_ids
 from .components import connected_components
 from .shingles import Shingler, band_keys, set_key
 
@@ -257,18 +257,22 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, max_c
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id. Of rows that repeat an id one stays.
+    """``docs`` with one document of each component: the one with the smallest id. Rows without an id stay as they are.
 
-    Rows without an id stay as they are.
+    Rows that repeat an id are documents of their own, in the order of their texts' hashes: they stay unless their texts are near copies.
     """
-    found = save(jaccard_components(docs, width, percent), "near")
-    others = found.filter("doc_id <> component_id").select("doc_id")
-    again = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    kept = without_ids(docs, others)
-    if again.isEmpty():
-        return kept
-    single = without_ids(kept, again)
-    return single.unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    known = docs.filter("doc_id is not null")
+    if known.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        found = save(jaccard_components(docs, width, percent), "near")
+        return without_ids(docs, found.filter("doc_id <> component_id").select("doc_id"))
+    place = "_place"
+    while place in ids(docs):
+        place += "_"
+    rows = save(ranked(known, [F.col("doc_id"), F.xxhash64("text")], place, "numbered"), "places")
+    found = jaccard_components(rows.select(F.col(place).alias("doc_id"), "text"), width, percent)
+    others = save(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_other")), "others")
+    kept = rows.join(others, F.col(place) == F.col("_other"), "left_anti").drop(place)
+    return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def _with_component(reps: DataFrame, comps: DataFrame | None) -> DataFrame:

@@ -10,11 +10,12 @@ Linked classes form components; the first line of a component by ``doc_id`` and
 A hot line is one class before anything is joined, and hot segments are joins that adaptive execution splits. Texts are read
 twice; the second time only the lines of candidates are kept, and shuffled.
 
-Lines of any length meet in this way: a line of at most ``edits`` characters has an empty segment and meets all lines about as short. Pairs
-with a line of at most ``2 edits`` characters are verified by the plain distance.
+How many edits two lines may differ by follows from their length: one for every ``PER_EDIT`` characters of the longer one, ``edits`` at most.
+Shorter lines are repeats only where they are equal, so that numbers, answers and list marks stay apart. Pairs
+of lines too short for all ``edits`` are verified by the plain distance.
 
 Defined results: lines are what ``\\n`` separates; blank lines (white space only) are never compared and stay, and so are lines of fewer than
-``min_chars`` characters where a caller asks for that; ``op9_edit_lines`` and the pipeline compare lines of every length. Null texts have no
+``min_chars`` characters where a caller asks for that; lines of every length are compared otherwise. Null texts have no
 lines, empty texts one. Rows that repeat a ``doc_id`` are one document. The smallest id comes first, null ids after all others.
 """
 
@@ -26,7 +27,7 @@ from .common import read_table, save
 from .components import connected_components
 
 EDITS = 2
-MIN_CHARS = 24  # of a compared line where a caller sets no other bound
+PER_EDIT = 10  # characters of the longer line for every edit allowed
 EVERY = 1  # bound that compares all lines but blank ones
 BROADCAST_LINES = 200_000  # candidate lines up to which their hashes (8 bytes each) are sent to every task
 
@@ -115,6 +116,12 @@ def within_edits(a: str, b: str, edits: int) -> Column:
     return F.when(F.abs(F.length(a) - F.length(b)) <= edits, near).otherwise(F.lit(False))
 
 
+def near(a: str, b: str, edits: int) -> Column:
+    """Whether two text columns, the longer one first, differ by no more edits than their length allows."""
+    allowed = F.floor(F.length(a) / PER_EDIT)
+    return F.when(allowed < edits, F.levenshtein(a, b) <= allowed).otherwise(within_edits(a, b, edits))
+
+
 LETTERS = "abcdefghijklmnopqrstuvwxyz"  # counted modulo 4 in the marks of a line
 
 
@@ -139,7 +146,9 @@ def marks_within(a: str, b: str, edits: int) -> Column:
 def line_classes(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
     """One row per distinct compared line: ``h1, h2, first, n, marks, probes``."""
     rows = lines_of(docs).filter(compared(min_chars)).withColumn("length", F.length("line"))
-    probes = F.array(*segment_hashes(F.col("line"), F.col("length"), edits)).alias("probes")
+    probes = F.array(*segment_hashes(F.col("line"), F.col("length"), edits))
+    # A line that no other one of an allowed length can be near to has no probes.
+    probes = F.when(F.col("length") >= PER_EDIT - 1, probes).otherwise(F.array().cast("array<bigint>")).alias("probes")
     rows = rows.select(*_keys("line"), letter_marks(F.col("line")).alias("marks"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "pos").alias("at"), probes)
     return rows.groupBy("h1", "h2").agg(
         F.min("at").alias("first"), F.count(F.lit(1)).alias("n"), F.first("marks").alias("marks"), F.first("probes").alias("probes")
@@ -173,10 +182,10 @@ def near_links(docs: DataFrame, classes: DataFrame, edits: int, min_chars: int)
     both = left.join(texts.select(F.col("h1").alias("b"), F.col("line").alias("lb")), "b")
     # Few bytes but long work: not to be put together into few tasks again.
     both = both.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
-    return save(both.filter(within_edits("la", "lb", edits)).select("a", "b").distinct(), "line-links")
+    return save(both.filter(near("la", "lb", edits)).select("a", "b").distinct(), "line-links")
 
 
-def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = EVERY) -> DataFrame:
     """``doc_id, pos`` of every line of which an equal or near-equal line stands earlier."""
     return kept_elsewhere(docs, edits, min_chars).select("doc_id", "pos")
 
@@ -199,7 +208,7 @@ def kept_elsewhere(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
     return met.filter(~stays).select("doc_id", "pos", "length", F.col("kd").alias("home"))
 
 
-def line_report(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_report(docs: DataFrame, edits: int = EDITS, min_chars: int = EVERY) -> DataFrame:
     """``doc_id, n_lines, n_repeated, repeated`` (positions in order) for every row of ``docs(doc_id, text)``."""
     found = repeated_lines(docs, edits, min_chars).distinct().groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list("pos")).alias("repeated"))
     rows = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).alias("n_lines"))
@@ -272,5 +281,5 @@ def without_repeats(docs: DataFrame, edits: int = EDITS, min_chars: int = EVERY,
 
 
 def op9_edit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All lines of ``documents`` but blank ones, at two edits."""
+    """All lines of ``documents`` but blank ones, at one edit for every ten characters, two at most."""
     return line_report(read_table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=EVERY)

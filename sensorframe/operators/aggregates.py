@@ -83,28 +83,32 @@ def access_minute_stats(
     success = F.col("status").rlike("2[0-9]+" if compat else "^2")
     millis = F.col("seconds") * 1000
     keys = list(keys)
-    ranked = P.with_rank(df.select(*keys, "second", "status", "bytes", millis.alias("_ms")), keys, ["_ms"], cell_rows)
-    # Per second first: the largest groups shrink before the per-minute step.
-    per_second = ranked.groupBy(*keys, "second").agg(
-        F.count(F.lit(1)).alias("_requests"),
-        F.count_if(error).alias("_errors"),
-        F.count_if(success).alias("_success"),
-        F.sum("_ms").alias("_ms"),
-        F.sum("bytes").alias("_bytes"),
-        F.max(F.when(F.col("_rn") == P.rank_index(F.col("_n"), 0.95), F.col("_ms"))).alias("_p95"),
-        F.max(F.when(F.col("_rn") == P.rank_index(F.col("_n"), 0.90), F.col("_ms"))).alias("_p90"),
+    # Per second and time taken first: equal rows are one row before anything is ranked.
+    values = df.select(*keys, "second", "status", "bytes", millis.alias("_ms")).groupBy(*keys, "second", "_ms").agg(
+        F.count(F.lit(1)).alias("_requests"), F.count_if(error).alias("_errors"), F.count_if(success).alias("_success"), F.sum("bytes").alias("_bytes")
+    )
+    per_second = values.groupBy(*keys, "second").agg(
+        F.sum("_requests").alias("_requests"), F.sum("_errors").alias("_errors"), F.sum("_success").alias("_success"),
+        F.sum(F.col("_ms") * F.col("_requests")).alias("_ms"), F.sum("_bytes").alias("_bytes"),
+    )
+    ranked = P.weighted_ranks(values.groupBy(*keys, "_ms").agg(F.sum("_requests").alias("_m")), keys, "_ms", cell_rows)
+    slow = ranked.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(
+        *[P.pick_weighted(F.col("_ms"), p).alias(name) for p, name in ((0.95, "_p95"), (0.90, "_p90"))]
     )
     n = F.sum("_requests")
-    return per_second.groupBy(*keys).agg(
+    rates = per_second.groupBy(*keys).agg(
         F.sum("_errors").alias("errors"),
         F.sum("_success").alias("success"),
         F.round(F.sum("_ms") / n).cast("long").alias("time_avg_ms"),
-        F.round(F.coalesce(F.max("_p95"), F.lit(0))).cast("long").alias("time_p95_ms"),
-        F.round(F.coalesce(F.max("_p90"), F.lit(0))).cast("long").alias("time_p90_ms"),
         F.round(F.sum("_bytes") / n).cast("long").alias("size_avg_bytes"),
         F.max("_requests").alias("max_rps"),
         F.round(F.avg("_requests"), 2).alias("avg_rps"),
     )
+    both = rates.join(slow, same_keys([F.col(k) for k in keys], [F.col(f"_k_{k}") for k in keys]))
+    return both.select(
+        *keys, "errors", "success", "time_avg_ms", F.round("_p95").cast("long").alias("time_p95_ms"), F.round("_p90").cast("long").alias("time_p90_ms"),
+        "size_avg_bytes", "max_rps", "avg_rps",
+    )
 
 
 def socket_summary(df: DataFrame) -> DataFrame:
@@ -140,13 +144,16 @@ def pool_usage(
     df: DataFrame, keys: Sequence[str], used_ms: str, held_s: str, blocked_after: int = 900, cell_rows=None
 ) -> DataFrame:
     """Session-pool usage: rounded average, maximum, rank percentiles and blocked sessions."""
-    ranked = P.with_rank(df.select(*keys, used_ms, held_s), keys, [used_ms], cell_rows)
+    # A row a value: how many rows share it, and how many of them are blocked.
+    values = df.groupBy(*keys, used_ms).agg(F.count(F.lit(1)).alias("_m"), F.count_if(F.col(held_s) > blocked_after).alias("_blocked"))
+    ranked = P.weighted_ranks(values, keys, used_ms, cell_rows)
+    known = F.when(F.col(used_ms).isNotNull(), F.col("_m"))
     return ranked.groupBy(*keys).agg(
-        F.count_if(F.col(held_s) > blocked_after).alias("blocked"),
-        F.round(F.avg(used_ms)).cast("long").alias("avg_used_ms"),
+        F.sum("_blocked").alias("blocked"),
+        F.round(F.sum(F.col(used_ms) * F.col("_m")) / F.sum(known)).cast("long").alias("avg_used_ms"),
         F.round(F.max(used_ms)).cast("long").alias("max_used_ms"),
-        F.round(P.pick_rank(F.col(used_ms), 0.95)).cast("long").alias("p95_used_ms"),
-        F.round(P.pick_rank(F.col(used_ms), 0.90)).cast("long").alias("p90_used_ms"),
+        F.round(P.pick_weighted(F.col(used_ms), 0.95)).cast("long").alias("p95_used_ms"),
+        F.round(P.pick_weighted(F.col(used_ms), 0.90)).cast("long").alias("p90_used_ms"),
     )
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scalars as S
 from .windows import first_per_key, longest_per_key
@@ -78,16 +78,21 @@ def coverage_union(groups: DataFrame, leases: DataFrame, key: str, status: str)
     The left part counts groups in status 1 or 3; the right part covers every leased container.
     """
 
-    def counts(df: DataFrame) -> DataFrame:
-        return df.groupBy(key, "renewal_time").agg(
-            F.count_if(F.col(status) == 3).alias("error_groups"),
-            F.count_if(F.col(status) == 1).alias("locked_groups"),
-        ).drop("renewal_time")
-
-    left = groups.filter(F.col(status).isin(1, 3)).join(leases, key, "left")
-    right = leases.join(groups.select(F.col(key).alias("_k"), status), F.col(key) == F.col("_k"), "left")
-    right = right.select(F.col("_k").alias(key), status, "renewal_time")
-    return counts(left).union(counts(right)).distinct()
+    of_lease = leases.groupBy(F.col(key).alias("_c"), "renewal_time").agg(F.count(F.lit(1)).alias("_leases"))
+    # Groups are counted per container first: a container is one row when it meets its leases.
+    found = groups.groupBy(key).agg(F.count_if(F.col(status) == 3).alias("_errors"), F.count_if(F.col(status) == 1).alias("_locked"))
+    flagged = found.filter("_errors + _locked > 0")
+    times = F.coalesce("_leases", F.lit(1))
+    errors, locked = (F.coalesce(F.col(c), F.lit(0)).cast("long") * times for c in ("_errors", "_locked"))
+    counts = [errors.alias("error_groups"), locked.alias("locked_groups")]
+    left = flagged.join(of_lease, F.col(key) == F.col("_c"), "left").select(key, *counts)
+    right = of_lease.join(found, F.col(key) == F.col("_c"), "left")
+    # Leases without a group count together by their time of renewal, under no container.
+    known = right.filter(F.col(key).isNotNull()).select(key, *counts)
+    unknown = right.filter(F.col(key).isNull()).groupBy("renewal_time").agg(F.lit(None).cast(groups.schema[key].dataType).alias(key)).select(
+        key, F.lit(0).cast("long").alias("error_groups"), F.lit(0).cast("long").alias("locked_groups")
+    )
+    return left.union(known).union(unknown).distinct()
 
 
 def flag_member(df: DataFrame, members: DataFrame, on: str, name: str) -> DataFrame:
@@ -99,10 +104,17 @@ def flag_member(df: DataFrame, members: DataFrame, on: str, name: str) -> DataFr
 def join_flow_class(
     df: DataFrame, key: str, item: str, order: Sequence[str], classes: Mapping[str, str], name: str = "flow"
 ) -> DataFrame:
-    """Detail rows with the class of their key, found from the ordered list of its items."""
+    """Detail rows with the class of their key, found from the ordered list of its items.
+
+    A key that has more items than the longest class has parts cannot match: one item more than that is kept a key, by a group limit
+    that runs before the shuffle.
+    """
     from .aggregates import listagg
 
-    chains = listagg(df, [key], item, order, "_chain")
+    most = max((c.count(", ") + 1 for c in classes), default=0) + 1
+    first = Window.partitionBy(key).orderBy(F.col(item).isNull(), *order, item)
+    heads = df.select(*dict.fromkeys([key, item, *order])).withColumn("_place", F.row_number().over(first)).filter(F.col("_place") <= most)
+    chains = listagg(heads, [key], item, order, "_chain")
     label = S.ordered_case([(F.col("_chain") == c, n) for c, n in classes.items()], F.lit("UNKNOWN"))
     return df.join(chains.select(key, label.alias(name)), key)
 

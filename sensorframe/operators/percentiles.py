@@ -43,17 +43,28 @@ def rank_index(n: Column, p: float) -> Column:
     return F.floor(n * F.lit(p) - F.lit(0.5)).cast("long")
 
 
-def pick_rank(value: Column, p: float) -> Column:
-    """Aggregate over :func:`with_rank` rows: the value at index ``int(n*p - 0.5)``, 0 for index 0."""
-    at = F.max(F.when(F.col("_rn") == rank_index(F.col("_n"), p), value))
-    return F.coalesce(at, F.lit(0))
-
-
 def pctl_rank(
     df: DataFrame, keys: Sequence[str], col: str, ps: Mapping[str, float], cell_rows: int | None = None
 ) -> DataFrame:
-    ranked = with_rank(df.select(*keys, col), keys, [col], cell_rows)
-    return ranked.groupBy(*keys).agg(*[pick_rank(F.col(col), p).alias(n) for n, p in ps.items()])
+    """The value at index ``int(n*p - 0.5)`` of each group, 0 for index 0; nulls rank first and count as 0."""
+    counted = weighted_ranks(df.select(*keys, col).groupBy(*keys, col).agg(F.count(F.lit(1)).alias("_m")), keys, col, cell_rows)
+    return counted.groupBy(*keys).agg(*[pick_weighted(F.col(col), p).alias(n) for n, p in ps.items()])
+
+
+def weighted_ranks(counts: DataFrame, keys: Sequence[str], col: str, cell_rows: int | None = None) -> DataFrame:
+    """``counts(keys, col, _m, ...)``, one row a value, with the rank range ``(_before, _before + _m]`` of the value in a group of ``_n`` rows.
+
+    A value that most rows share is one row; the scan over many distinct values is cut into cells.
+    """
+    given = counts.withColumn("_given", F.col(col).isNotNull().cast("int"))
+    scanned = ordered_scan(given, keys, ["_given", col], [Scan("_before", "sum", F.col("_m"), before=True)], cell_rows)
+    return _totals(counts, scanned.na.fill(0, ["_before"]).drop("_given"), keys, F.col("_m"), "_n")
+
+
+def pick_weighted(value: Column, p: float) -> Column:
+    """Aggregate over :func:`weighted_ranks` rows: the value at index ``int(n*p - 0.5)``, 0 for index 0."""
+    rank = rank_index(F.col("_n"), p)
+    return F.coalesce(F.max(F.when((F.col("_before") < rank) & (rank <= F.col("_before") + F.col("_m")), value)), F.lit(0))
 
 
 def _cumulative(df: DataFrame, keys: Sequence[str], col: str, cell_rows: int | None) -> DataFrame:

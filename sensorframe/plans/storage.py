@@ -17,6 +17,16 @@ def drop_dir(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def has_finished(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` was committed."""
+    return exists(spark, f"{path}/_SUCCESS")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh directory in the cluster's shared folder.
 

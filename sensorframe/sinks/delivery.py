@@ -7,49 +7,62 @@ import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 
+from ..plans.storage import has_finished, scratch_dir
 from .files import to_points, write_points
 
 
 @dataclass
 class BatchedSink:
-    """Delivers rows in chunks of ``max_rows`` from the tasks that hold them.
+    """Delivers rows in chunks of at most ``max_rows`` from the tasks that hold them.
 
     ``write_fn(rows, token)`` gets a list of rows and ``(batch_id, partition, chunk)``, which stays equal when a
     batch or task is repeated, so a receiver can drop duplicates. Connection errors and timeouts are
     retried ``retries`` times (-1: for ever) after ``wait_s`` seconds, then the batch fails and the stream
-    stops; any other error discards the chunk.
+    stops. Chunks that the receiver refuses with any other error are lost to it but not to the caller: their rows are written below
+    ``dead_letters`` (a folder of the cluster's shared one if not given), one directory a batch, see :meth:`refused`. The directory
+    also marks the batch as delivered: a repeated batch is not sent again.
     """
 
     write_fn: Callable[[list[Row], tuple[int, int, int]], None]
     max_rows: int = 50
     retries: int = -1
     wait_s: float = 30.0
+    dead_letters: str | None = None
     discarded: object = field(default=None, repr=False)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        context = batch.sparkSession.sparkContext
+        spark = batch.sparkSession
         if self.discarded is None:
-            self.discarded = context.accumulator(0)
+            self.discarded = spark.sparkContext.accumulator(0)
+        if self.dead_letters is None:
+            self.dead_letters = scratch_dir(spark, "dead-letters")
+        path = f"{self.dead_letters}/batch={batch_id}"
+        if has_finished(spark, path):
+            return
         write, size, retries, wait, lost = self.write_fn, self.max_rows, self.retries, self.wait_s, self.discarded
 
-        def deliver(rows: Iterator[Row]) -> None:
-            part = TaskContext.get().partitionId()
-            for n in itertools.count():
-                chunk = list(itertools.islice(rows, size))
-                if not chunk:
-                    return
-                failed = send(write, chunk, (batch_id, part, n), retries, wait)
-                if failed:
-                    lost.add(len(chunk))
+        def deliver(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part, n = TaskContext.get().partitionId(), itertools.count()
+            for rows in batches:
+                for start in range(0, rows.num_rows, size):
+                    chunk = rows.slice(start, size)
+                    if send(write, [Row(**r) for r in chunk.to_pylist()], (batch_id, part, next(n)), retries, wait):
+                        lost.add(chunk.num_rows)
+                        yield chunk
 
-        batch.foreachPartition(deliver)
+        batch.mapInArrow(deliver, batch.schema).write.mode("overwrite").parquet(path)
+
+    def refused(self, spark: SparkSession) -> DataFrame | None:
+        """Rows of all batches that the receiver refused; None before the first batch."""
+        return None if self.dead_letters is None else spark.read.parquet(self.dead_letters)
 
 
 def send(write: Callable, rows: list, token: tuple, retries: int, wait_s: float) -> bool:
-    """True when the rows were discarded."""
+    """True when the receiver refused the rows."""
     attempt = 0
     while True:
         try:

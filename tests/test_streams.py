@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sensorframe.operators import aggregates as A
 from sensorframe.plans.storage import scratch_dir
-from sensorframe.sinks.delivery import WriterRegistry, default_writers, send
+from sensorframe.sinks.delivery import BatchedSink, WriterRegistry, default_writers, send
 from sensorframe.sinks.state import StateTable
 from sensorframe.sources.metric_csv import in_metric_rows, read_stream_of_one_header, scan_daily_logs, stream_metric_files, text_schema
 from sensorframe.streaming import jobs as B, stateful as Z
@@ -57,6 +57,58 @@ def test_state_table_repeats_a_batch(spark, tmp_path):
     assert sorted(tuple(r) for r in table.read().collect()) == [("a", 3, "z"), ("b", 1, "y")]
 
 
+def test_a_batch_rewrites_only_its_buckets(spark, tmp_path):
+    path = str(tmp_path / "t")
+    table = StateTable(spark, path, ["k"], ["ts"], depth=2)
+    rows = [(f"k{k}", t, f"{k} {t}") for k in range(60) for t in range(3)]
+    table.upsert(spark.createDataFrame(rows, "k STRING, ts LONG, v STRING"), 0)
+
+    def files():
+        return {f"{d}/{n}" for d, _, names in os.walk(path) for n in names if n.endswith(".parquet")}
+
+    before = files()
+    one = spark.createDataFrame([("k7", 9, "new")], "k STRING, ts LONG, v STRING")
+    for _ in range(2):  # also when the batch is repeated
+        table.upsert(one, 1)
+        changed = {f.split("_bucket=")[1].split("/")[0] for f in files() ^ before}
+        assert len(changed) == 1
+        got = {(r.k, r.ts) for r in table.read().collect()}
+        assert got == {(f"k{k}", t) for k in range(60) for t in (1, 2)} - {("k7", 1)} | {("k7", 9)}
+        assert {(r.k, r.ts) for r in table.before(1, one).collect()} == {(f"k{k}", t) for k in range(60) for t in (1, 2)}
+    table.upsert(one.limit(0), 2)
+    assert table.read().count() == 120
+
+
+def test_unfinished_replacement_is_repeated(spark, tmp_path):
+    table = StateTable(spark, str(tmp_path / "t"), ["k"], ["ts"])
+    schema = "k STRING, ts LONG"
+    table.upsert(spark.createDataFrame([("a", 1), ("b", 1)], schema), 0)
+    replace, table._replace = table._replace, lambda pending: None  # the run ends before the table changes
+    table.upsert(spark.createDataFrame([("a", 2)], schema), 1)
+    table._replace = replace
+    table.upsert(spark.createDataFrame([("b", 3)], schema), 2)
+    assert sorted(map(tuple, table.read().collect())) == [("a", 2), ("b", 3)]
+
+
+def test_refused_rows_become_dead_letters(spark, tmp_path):
+    sent = str(tmp_path / "sent")
+    os.makedirs(sent)
+
+    def receiver(rows, token):
+        if any(r.id % 10 == 3 for r in rows):
+            raise ValueError("refused")
+        with open(f"{sent}/{'-'.join(map(str, token))}", "a") as out:
+            out.writelines(f"{r.id}\n" for r in rows)
+
+    sink = BatchedSink(receiver, max_rows=2, dead_letters=str(tmp_path / "dead"))
+    batch = spark.range(0, 40, 1, 3)
+    for _ in range(2):  # a repeated batch sends nothing again
+        sink(batch, 4)
+    arrived = [int(x) for f in os.listdir(sent) for x in open(f"{sent}/{f}")]
+    refused = [r.id for r in sink.refused(spark).collect()]
+    assert sorted(arrived + refused) == list(range(40)) and {3, 13, 23, 33} <= set(refused) and sink.discarded.value == len(refused)
+
+
 def test_send_retries_connection_errors_and_discards_others():
     calls = []
 

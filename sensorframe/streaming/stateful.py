@@ -1,8 +1,8 @@
 """Keyed stateful operators on streams.
 
 State lives in the state store per key; ``ttl_ms`` drops keys that are no longer seen. Inside a micro-batch a
-key's rows may arrive in several Arrow batches and in any order, so they are sorted first; a batch is bounded by the source's
-``maxFilesPerTrigger``.
+key's rows may arrive in several Arrow batches and in any order, so they are sorted first, in bounded memory
+(:mod:`.sorting`): one key may hold a whole batch.
 """
 
 from __future__ import annotations
@@ -11,17 +11,13 @@ from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessorHandle
 
 from ..session import use_disk_state
+from .sorting import OrderedProcessor
 
 
-def _sorted(rows: Iterator[pd.DataFrame], order: Sequence[str]) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values(list(order), ignore_index=True)
-
-
-
-class _Rate(StatefulProcessor):
+class _Rate(OrderedProcessor):
     """Previous time and counters of a resource."""
 
     def __init__(self, order, time_col, data_cols, columns, ttl_ms):
@@ -30,33 +26,33 @@ class _Rate(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         kind = T.StructType([T.StructField(c, T.LongType()) for c in [self.time_col, *self.data_cols]])
+        super().init(handle)
         self.prev = handle.getValueState("prev", kind, self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _sorted(rows, self.order)
-        for c in self.data_cols:
-            number = pd.to_numeric(pdf[c], errors="coerce")
-            pdf[c] = number.where(number % 1 == 0).fillna(0).astype("int64")
-        pdf = pdf[pdf[self.data_cols].sum(axis=1) != 0]
-        if not len(pdf):
-            return
+        start = prev = self.prev.get() if self.prev.exists() else None
         names = [self.time_col, *self.data_cols]
-        values = pdf[names].astype("int64")
-        before = values.shift()
-        if self.prev.exists():
-            before.iloc[0] = list(self.prev.get())
-        self.prev.update(tuple(int(v) for v in values.iloc[-1]))
-        known = before[self.time_col].notna()
-        pdf, values, before = pdf[known].copy(), values[known], before[known].astype("int64")
-        if not len(pdf):
-            return
-        dt = (values[self.time_col] - before[self.time_col]).replace(0, 1)
-        for c in self.data_cols:
-            pdf[c] = (values[c] - before[c]) // dt
-        yield pdf[self.columns]
-
-    def close(self) -> None:
-        pass
+        for pdf in self.in_order(rows):
+            for c in self.data_cols:
+                number = pd.to_numeric(pdf[c], errors="coerce")
+                pdf[c] = number.where(number % 1 == 0).fillna(0).astype("int64")
+            pdf = pdf[pdf[self.data_cols].sum(axis=1) != 0]
+            if not len(pdf):
+                continue
+            values = pdf[names].astype("int64")
+            # Whole numbers throughout: counters beyond 2^53 stay exact.
+            before = values.shift(fill_value=0)
+            if prev is None:
+                pdf, last, values, before = pdf.iloc[1:], values.iloc[-1], values.iloc[1:], before.iloc[1:]
+            else:
+                before.iloc[0] = list(prev)
+                last = values.iloc[-1]
+            prev = tuple(int(v) for v in last)
+            if len(pdf):
+                dt = (values[self.time_col] - before[self.time_col]).replace(0, 1)
+                yield pdf.assign(**{c: (values[c] - before[c]) // dt for c in self.data_cols})[self.columns]
+        if prev is not start:
+            self.prev.update(prev)
 
 
 def stream_dvdt(
@@ -78,26 +74,25 @@ def stream_dvdt(
     return sdf.groupBy(*resource).transformWithStateInPandas(processor, schema, "Append", "None")
 
 
-class _Flag(StatefulProcessor):
+class _Flag(OrderedProcessor):
     def __init__(self, order, raised, cleared, columns, name, ttl_ms):
         self.order, self.raised, self.cleared = order, raised, cleared
         self.columns, self.name, self.ttl_ms = columns, name, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.count = handle.getValueState("count", "count LONG", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _sorted(rows, self.order)
-        start = self.count.get()[0] if self.count.exists() else 0
-        up, down = pdf[self.raised].fillna(False).astype("int64"), pdf[self.cleared].fillna(False).astype(bool)
-        total = up.cumsum() + start
-        base = total.where(down).ffill().fillna(0).astype("int64")
-        pdf[self.name] = total - base
-        self.count.update((int(pdf[self.name].iloc[-1]),))
-        yield pdf[self.columns]
-
-    def close(self) -> None:
-        pass
+        count = self.count.get()[0] if self.count.exists() else 0
+        for pdf in self.in_order(rows):
+            up, down = pdf[self.raised].fillna(False).astype("int64"), pdf[self.cleared].fillna(False).astype(bool)
+            total = up.cumsum() + count
+            base = total.where(down).ffill().fillna(0).astype("int64")
+            pdf[self.name] = total - base
+            count = int(pdf[self.name].iloc[-1])
+            yield pdf[self.columns]
+        self.count.update((count,))
 
 
 def stream_flag_counts(
@@ -110,26 +105,27 @@ def stream_flag_counts(
     return sdf.groupBy(*resource).transformWithStateInPandas(processor, schema, "Append", "None")
 
 
-class _Newest(StatefulProcessor):
+class _Newest(OrderedProcessor):
     def __init__(self, order, ts, columns, ttl_ms):
         self.order, self.ts, self.columns, self.ttl_ms = order, ts, columns, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.newest = handle.getValueState("newest", "newest LONG", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _sorted(rows, self.order)
-        before = pdf[self.ts].cummax().shift()
-        if self.newest.exists():
-            seen = self.newest.get()[0]
-            before = before.fillna(seen).clip(lower=seen)
-        kept = pdf[before.isna() | (pdf[self.ts] > before)]
-        if len(kept):
-            self.newest.update((int(kept[self.ts].iloc[-1]),))
-            yield kept[self.columns]
-
-    def close(self) -> None:
-        pass
+        start = seen = self.newest.get()[0] if self.newest.exists() else None
+        for pdf in self.in_order(rows):
+            before = pdf[self.ts].cummax().shift()
+            if seen is not None:
+                before = before.fillna(seen).clip(lower=seen)
+            kept = pdf[before.isna() | (pdf[self.ts] > before)]
+            if len(kept):
+                times = kept[self.ts].dropna()
+                seen = int(times.iloc[-1]) if len(times) else seen
+                yield kept[self.columns]
+        if seen is not None and seen != start:
+            self.newest.update((seen,))
 
 
 def late_policy(
@@ -143,7 +139,8 @@ def late_policy(
 ) -> DataFrame:
     """What happens to late rows.
 
-    ``newest`` keeps rows strictly newer than the newest seen of their resource, in arrival ``order``;
+    ``newest`` keeps rows strictly newer than the newest seen of their resource, in arrival ``order``; it needs ``keys``, as
+    without them the whole stream would be one state group in one task. The first rows of a resource stay while they have no time.
     ``age`` keeps rows at most ``max_age_s`` old (``ts`` in epoch seconds).
     """
     if mode == "age":
@@ -154,32 +151,32 @@ def late_policy(
         return max_age(sdf, ts, max_age_s, F.unix_seconds(F.current_timestamp()))
     if mode != "newest":
         raise ValueError(f"unknown mode {mode!r}")
+    if not keys or not order:
+        raise ValueError("mode 'newest' needs the keys of a resource and the order of arrival")
     use_disk_state(sdf.sparkSession)
     processor = _Newest(list(order), ts, sdf.columns, ttl_ms)
     return sdf.groupBy(*keys).transformWithStateInPandas(processor, sdf.schema, "Append", "None")
 
 
-class _Suppress(StatefulProcessor):
+class _Suppress(OrderedProcessor):
     def __init__(self, order, ts, hold, columns, ttl_ms):
         self.order, self.ts, self.hold, self.columns, self.ttl_ms = order, ts, hold, columns, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.until = handle.getValueState("until", "until DOUBLE", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _sorted(rows, self.order)
         until = self.until.get()[0] if self.until.exists() else float("-inf")
-        keep = []
-        for at, t in enumerate(pdf[self.ts].to_numpy(dtype="float64")):
-            if t >= until:
-                keep.append(at)
-                until = t + self.hold
+        for pdf in self.in_order(rows):
+            keep = []
+            for at, t in enumerate(pdf[self.ts].to_numpy(dtype="float64")):
+                if t >= until:
+                    keep.append(at)
+                    until = t + self.hold
+            if keep:
+                yield pdf.iloc[keep][self.columns]
         self.until.update((float(until),))
-        if keep:
-            yield pdf.iloc[keep][self.columns]
-
-    def close(self) -> None:
-        pass
 
 
 def stream_suppress(sdf: DataFrame, keys, order, ts: str, hold: float, ttl_ms: int | None = None) -> DataFrame:
@@ -189,7 +186,7 @@ def stream_suppress(sdf: DataFrame, keys, order, ts: str, hold: float, ttl_ms: i
     return sdf.groupBy(*keys).transformWithStateInPandas(processor, sdf.schema, "Append", "None")
 
 
-class _FanIn(StatefulProcessor):
+class _FanIn(OrderedProcessor):
     """Open group of a key: time of its first event and the number of events."""
 
     def __init__(self, keys, order, ts, n, timeout_ms):
@@ -198,7 +195,7 @@ class _FanIn(StatefulProcessor):
         self.columns = [*keys, "started", "emitted", "events", "complete"]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+        super().init(handle)
         self.open = handle.getValueState("open", "first LONG, events LONG")
 
     def _frame(self, key, rows) -> pd.DataFrame:
@@ -206,20 +203,23 @@ class _FanIn(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         first, count = self.open.get() if self.open.exists() else (None, 0)
-        old, out = first, []
-        pdf = _sorted(rows, self.order)
-        # Milliseconds whatever unit the Arrow batch used for the timestamp.
-        times = pdf[self.ts].to_numpy(dtype="datetime64[ms]").astype("int64")
-        for t in times:
-            t = int(t)
-            if first is not None and t >= first + self.timeout_ms:
-                out.append((first, first + self.timeout_ms, count, False))
-                first, count = None, 0
-            first = t if first is None else first
-            count += 1
-            if count == self.n:
-                out.append((first, t, count, True))
-                first, count = None, 0
+        old = first
+        for pdf in self.in_order(rows):
+            out = []
+            # Milliseconds whatever unit the Arrow batch used for the timestamp.
+            times = pdf[self.ts].to_numpy(dtype="datetime64[ms]").astype("int64")
+            for t in times:
+                t = int(t)
+                if first is not None and t >= first + self.timeout_ms:
+                    out.append((first, first + self.timeout_ms, count, False))
+                    first, count = None, 0
+                first = t if first is None else first
+                count += 1
+                if count == self.n:
+                    out.append((first, t, count, True))
+                    first, count = None, 0
+            if out:
+                yield self._frame(key, out)
         if old is not None and old != first:
             self.handle.deleteTimer(old + self.timeout_ms)
         if first is None:
@@ -227,8 +227,6 @@ class _FanIn(StatefulProcessor):
         else:
             self.open.update((first, count))
             self.handle.registerTimer(first + self.timeout_ms)
-        if out:
-            yield self._frame(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if not self.open.exists():
@@ -239,9 +237,6 @@ class _FanIn(StatefulProcessor):
         self.open.clear()
         yield self._frame(key, [(first, first + self.timeout_ms, count, False)])
 
-    def close(self) -> None:
-        pass
-
 
 def fan_in(sdf: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str, n: int, timeout_s: float) -> DataFrame:
     """Emit when ``n`` events of a key arrived, or when event time passes ``timeout_s`` after the first one.

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import scalars as S
 from ..operators import aggregates as A, joins as J, sets as U
-from ..sources.sql_metric import run_sql_metric
+from ..sources.sql_metric import metric_table, rules, run_sql_metric
 from .base import Catalog, Inputs
 
 catalog = Catalog()
@@ -184,6 +184,15 @@ _STEPS = f"""SELECT i.ecid, i.id AS instance_id, {_ITEM} || ' (' || cast(i.quant
   FROM instances i LEFT JOIN faults f ON i.ecid = f.ecid LEFT JOIN orders o ON o.o_orderkey * 10 + 1 = i.id"""
 
 
+def chain_steps(i: Inputs) -> DataFrame:
+    step = i.instances.select("id", "ecid", F.concat(F.expr(_ITEM), lit(" ("), (col("quantity") % 3).cast("string"), lit(")")).alias("cdn"), "created")
+    faulted = i.faults.select("ecid", col("created").alias("faulted_time"))
+    changed = i.table("orders").select((col("o_orderkey") * 10 + 1).alias("id"), col("o_orderdate").alias("modified"))
+    rows = J.enrich(step, [(faulted, ["ecid"]), (changed, ["id"])])
+    end = S.greatest_of([col("created"), col("modified")], F.expr("TIMESTAMP_NTZ '1993-05-11'"))
+    return rows.withColumn("end_time", end).withColumnRenamed("id", "instance_id")
+
+
 @query(
     "agg07_flow_chain_stats",
     f"""SELECT count(*) AS count, count(faulted_time) AS count_faulted, round(min(d), 3) AS min_time, round(max(d), 3) AS max_time, round(avg(d), 3) AS avg_time,
@@ -194,12 +203,7 @@ _STEPS = f"""SELECT i.ecid, i.id AS instance_id, {_ITEM} || ' (' || cast(i.quant
     ["instances", "faults"],
 )
 def _(i):
-    step = i.instances.select("id", "ecid", F.concat(F.expr(_ITEM), lit(" ("), (col("quantity") % 3).cast("string"), lit(")")).alias("cdn"), "created")
-    faulted = i.faults.select("ecid", col("created").alias("faulted_time"))
-    changed = i.table("orders").select((col("o_orderkey") * 10 + 1).alias("id"), col("o_orderdate").alias("modified"))
-    rows = J.enrich(step, [(faulted, ["ecid"]), (changed, ["id"])])
-    end = S.greatest_of([col("created"), col("modified")], F.expr("TIMESTAMP_NTZ '1993-05-11'"))
-    return A.flow_chain_stats(rows.withColumn("end_time", end).withColumnRenamed("id", "instance_id"))
+    return A.flow_chain_stats(chain_steps(i))
 
 
 @query(
@@ -314,3 +318,93 @@ def _(i):
 def _(i):
     entities = i.metrics.withColumnRenamed("source", "entity_type")
     return run_sql_metric(i.spark, "entities", {"ENTITY": ""}, datetime(2024, 2, 1), {"entities": entities})
+
+
+# Saved table functions. A window of two years, of which the last whole minute ends a minute before ``AS_OF``.
+AS_OF, WINDOW_MINUTES = datetime(1997, 6, 1, 12, 0, 30), 2 * 525_600
+_IN_WINDOW = "{0} >= TIMESTAMP '1997-06-01 11:59:00' - INTERVAL 730 DAY AND {0} < TIMESTAMP '1997-06-01 11:59:00'"
+
+
+@query(
+    "src14_flow_statistics",
+    f"""SELECT strftime(created, '%y-%m-%d %H:%M') AS time, flow, count(*) AS count_all, count(*) FILTER (err IS NULL) AS count_ok, count(err) AS count_err,
+      round(min(duration), 2) AS min, round(max(duration), 2) AS max, round(avg(duration), 2) AS avg
+    FROM ({_FLOW_ROWS}) q WHERE {_IN_WINDOW.format('created')} GROUP BY 1, 2""",
+    ["instances", "faults"],
+)
+def _(i):
+    flows = rules(["flow", "first_dn", "last_dn"], [(n, a, b) for n, (a, b) in FLOWS.items()])
+    tables = {"instances": i.instances, "faults": i.faults}
+    return metric_table(i.spark, "flow_statistics", AS_OF, {"minutes": WINDOW_MINUTES, "flows": flows}, tables)
+
+
+_FAULT_AS_OF, _FAULT_MINUTES = datetime(2024, 1, 20, 12, 0, 30), 14_400
+
+
+@query(
+    "src14_error_taxonomy",
+    f"""SELECT strftime(max(first_created), '%y-%m-%d %H:%M') AS time, flow, count(*) AS count, error_type FROM (
+      SELECT CASE WHEN composite_dn LIKE '{CONSUMER}' AND title LIKE 'SBL%' THEN 'IN-L1' WHEN composite_dn LIKE '{CONSUMER}' THEN 'IN-L2'
+          WHEN composite_dn LIKE '{PRODUCER}' THEN 'OUT' ELSE 'UNKNOWN - ' || {_ITEM} END AS flow, first_created,
+        coalesce(nullif(concat({_code('xml')}, {_code('brm')}, {_code('jca')}, {_code('oramed')}, {_code('sbl')},
+          CASE WHEN instr(error_message, 'Unable to access the following endpoint') > 0 THEN 'HTTP_TIMEOUT'
+            WHEN instr(error_message, 'The transaction might have timedout') > 0 THEN 'JTA_TIMEOUT'
+            WHEN instr(error_message, 'The result of from-spec is null') > 0 THEN 'DATA_ERROR' END,
+          {_code('aia')}, CASE WHEN {_code('brm')} IS NULL THEN {_code('brm2')} END, {_code('jms')}), ''), 'UNKNOWN_ERROR') AS error_type
+      FROM (SELECT ecid, composite_instance_id AS id, created AS first_created, row_number() OVER (PARTITION BY ecid ORDER BY created, fault_id) AS rn FROM faults) a
+        JOIN (SELECT ecid, error_message, row_number() OVER (PARTITION BY ecid ORDER BY length(error_message) DESC, created, fault_id) AS rn FROM faults) b
+          ON a.ecid = b.ecid AND a.rn = 1 AND b.rn = 1
+        JOIN (SELECT ecid FROM faults WHERE created >= TIMESTAMP '2024-01-10 11:59:00' AND created < TIMESTAMP '2024-01-20 11:59:00') c ON a.ecid = c.ecid
+        JOIN instances i ON a.id = i.id) q
+    GROUP BY flow, error_type""",
+    ["instances", "faults"],
+)
+def _(i):
+    flows = rules(["flow", "dn", "title"], [("IN-L1", CONSUMER, "SBL%"), ("IN-L2", CONSUMER, "%"), ("OUT", PRODUCER, "%")])
+    tables = {"instances": i.instances, "faults": i.faults}
+    return metric_table(i.spark, "error_taxonomy", _FAULT_AS_OF, {"minutes": _FAULT_MINUTES, "flows": flows}, tables)
+
+
+@query(
+    "src14_status_matrix",
+    f"""SELECT '2024-02-01 00:00:00' AS time, coalesce(CASE group_status WHEN 0 THEN 'READY' WHEN 1 THEN 'LOCKED' WHEN 3 THEN 'ERRORED' END, '') || '-' ||
+        coalesce(CASE message_status WHEN 0 THEN 'READY' WHEN 2 THEN 'PROCESSED' WHEN 3 THEN 'ERRORED' END, '') AS status,
+      group_status, message_status, count(*) AS count, split_part(component_dn, '/', -1) AS component, container_id
+    FROM ({_GROUPED_SQL}) q GROUP BY component_dn, group_status, message_status, container_id""",
+)
+def _(i):
+    tables = {
+        "message_groups": i.spark.sql(_GROUPS, orders=i.table("orders")),
+        "messages": i.spark.sql(_MESSAGES, lineitem=i.table("lineitem")),
+    }
+    return metric_table(i.spark, "status_matrix", datetime(2024, 2, 1), {"max_status": 3}, tables)
+
+
+@query(
+    "src14_container_locks",
+    f"""SELECT '2024-02-01 00:00:00' AS time, * FROM (
+    SELECT mg.container_id, {_COUNTS} FROM ({_HELD.format(orders='orders')}) mg LEFT JOIN ({_LEASES.format(customer='customer')}) l
+      ON mg.container_id = l.container_id WHERE mg.status IN (1, 3) GROUP BY mg.container_id, l.renewal_time
+    UNION SELECT mg.container_id, {_COUNTS} FROM ({_LEASES.format(customer='customer')}) l LEFT JOIN ({_HELD.format(orders='orders')}) mg
+      ON mg.container_id = l.container_id GROUP BY mg.container_id, l.renewal_time) q""",
+)
+def _(i):
+    tables = {
+        "message_groups": i.spark.sql(_HELD, orders=i.table("orders")).withColumnRenamed("status", "group_status"),
+        "leases": i.spark.sql(_LEASES, customer=i.table("customer")),
+    }
+    return metric_table(i.spark, "container_locks", datetime(2024, 2, 1), tables=tables)
+
+
+@query(
+    "src14_chain_statistics",
+    f"""SELECT count(*) AS count, count(faulted_time) AS count_faulted, round(min(d), 3) AS min_time, round(max(d), 3) AS max_time, round(avg(d), 3) AS avg_time,
+      quantile_disc(d, 0.5) AS p50, quantile_disc(d, 0.9) AS p90, quantile_disc(d, 0.95) AS p95, min(instance_id) AS sample_cid,
+      split_part(cdns, ',', 1) AS entry_point, cdns
+    FROM (SELECT ecid, min(instance_id) AS instance_id, cast(epoch(max(end_time)) - epoch(min(created)) AS double) AS d, min(faulted_time) AS faulted_time,
+      string_agg(cdn, ', ' ORDER BY created, instance_id, cdn) AS cdns FROM ({_STEPS}) s GROUP BY ecid HAVING {_IN_WINDOW.format('min(created)')}) q GROUP BY cdns""",
+    ["instances", "faults"],
+)
+def _(i):
+    steps = chain_steps(i)
+    return metric_table(i.spark, "chain_statistics", AS_OF, {"minutes": WINDOW_MINUTES}, {"steps": steps})

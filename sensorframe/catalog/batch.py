@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import scalars as S
-from ..functions.transforms import TransformRegistry
+from ..functions.transforms import TransformRegistry, default_transforms
 from ..operators import aggregates as A, filters as L, percentiles as P, project as R, sets as U, sorts as O, windows as W
 from .base import Catalog, Inputs, common_tables
 
@@ -729,6 +729,25 @@ def _(i):
     ).select("seq", "code", "label")
 
 
+_GROWN = """SELECT seq, node, cast(CASE WHEN ok AND last_ok IS NOT NULL THEN greatest(bytes - last_ok, 0) ELSE 0 END AS double) AS grown FROM (
+      SELECT *, last_value(CASE WHEN ok THEN bytes END IGNORE NULLS) OVER (PARTITION BY node ORDER BY k, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_ok
+      FROM (SELECT *, system || '/' || source AS node, ivalue * 100 + 7 AS bytes,
+        coalesce(timestamp >= max(timestamp) OVER (PARTITION BY system || '/' || source ORDER BY k, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS ok FROM metrics) a) b"""
+
+
+@query(
+    "udf01_stateful_transforms",
+    f"SELECT seq, node, grown, grown / 1000 AS kilo, grown > 5000 AS fast FROM ({_GROWN}) g",
+    ["metrics"],
+)
+def _(i):
+    # Projections before and after a window step, all by name.
+    registry = default_transforms()
+    registry.template("kilos", ("amount:DOUBLE",), "amount / 1000")
+    steps = ["node = concat(system, '/', source)", "grown = difference_positive(timestamp, node, ivalue * 100 + 7)", "kilo = kilos(grown)", "fast = grown > 5000"]
+    return registry.run(i.metrics, steps, ["k", "seq"]).select("seq", "node", "grown", "kilo", "fast")
+
+
 @query(
     "udf03_series_aggregate",
     zscore_sql(5, 3.0, 0.0) + "SELECT device, count(*) FILTER (signal = 1) AS high, count(*) FILTER (signal = -1) AS low FROM s GROUP BY device",

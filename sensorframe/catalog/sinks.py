@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import scalars as S
-from ..operators import project as R
+from ..operators import aggregates as A, project as R
 from ..sinks import files as K
 from ..sinks.delivery import BatchedSink, default_writers
 from ..sinks.state import StateTable
@@ -52,6 +52,50 @@ def _(i):
     )
 
 
+GROUPS = (1, 3)
+
+
+def published(i: Inputs) -> str:
+    """Daily logs per system, copied for two groups."""
+    path, out = i.scratch("grouped"), i.scratch("published")
+    K.write_rotating_log(i.metrics.select(*LOG_COLUMNS, "ts", "seq"), path, col("system"), "ts", 86_400, max_rows=1000)
+    for _ in range(2):  # as after a lost task: nothing changes
+        K.publish_groups(K.finished_logs(i.spark, path), out, GROUPS)
+    return out
+
+
+_STAMP = "strftime(to_timestamp(timestamp - timestamp % 86400) AT TIME ZONE 'UTC', '%Y-%m-%d-%H%M%S')"
+
+
+@query(
+    "snk02_file_groups",
+    f"""SELECT system AS instance, {_STAMP} AS stamp, g AS file_group, count(*) AS rows, round(sum(value), 4) AS total, cast(sum(seq) AS bigint) AS seqs
+    FROM metrics, (VALUES ('1'), ('3')) v(g) GROUP BY 1, 2, 3""",
+    ["metrics"],
+)
+def _(i):
+    out = published(i)
+    lines = i.spark.read.option("recursiveFileLookup", "true").option("header", "true").csv(out)
+    name = r"/([^/]+)/([^/]+)_([0-9]{4}-[0-9]{2}-[0-9]{2}-[0-9]{6})-[0-9]{4}\.log\.([1-9])$"
+    at = [F.regexp_extract("_metadata.file_path", name, n).alias(a) for n, a in ((2, "instance"), (3, "stamp"), (4, "file_group"))]
+    return lines.select(*at, "value", "seq").groupBy("instance", "stamp", "file_group").agg(
+        F.count(lit(1)).alias("rows"), F.round(F.sum(col("value").cast("double")), 4).alias("total"), F.sum(col("seq").cast("long")).alias("seqs")
+    )
+
+
+@query(
+    "agg28_backlog_files",
+    "SELECT system AS instance, "
+    + ", ".join(f"{'count(DISTINCT timestamp // 86400)' if g in GROUPS else 'cast(0 AS bigint)'} AS backlog_group_{g}" for g in range(1, 10))
+    + ", 2 * count(DISTINCT timestamp // 86400) AS backlog_total, cast(0 AS bigint) AS errorlog_size FROM metrics GROUP BY system",
+    ["metrics"],
+)
+def _(i):
+    # The first file of each slot, as the number of files in a slot depends on the partitions that wrote it.
+    files = A.list_files(i.spark, published(i)).filter(col("path").rlike(r"-0000\.log\.[1-9]$"))
+    return A.backlog(files).drop("errorlog_time")
+
+
 def points(i: Inputs) -> DataFrame:
     parts = R.split_tags_fields(i.metrics, ["device", "source"], ["value", "k"], ["system"], keep=["ts"])
     return K.to_points(parts, "events", F.unix_micros(col("ts").cast("timestamp")) * 1000, exclude=["source", "k"])

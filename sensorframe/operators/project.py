@@ -103,16 +103,20 @@ def include_exclude(
 _ASSIGN = re.compile(r"^\s*([A-Za-z_]\w*)\s*=(?!=)\s*(.+)$", re.S)
 
 
+def parse_assignment(text: str) -> tuple[str, str]:
+    match = _ASSIGN.match(text)
+    if match is None:
+        raise ValueError(f"not an assignment: {text!r}")
+    return match.groups()
+
+
 def apply_transforms(df: DataFrame, transforms: Sequence[str]) -> DataFrame:
     """Run ``"name = expression"`` in order; later ones see earlier results.
 
     An expression that fails or gives null keeps the old value of its column.
     """
     for text in transforms:
-        match = _ASSIGN.match(text)
-        if match is None:
-            raise ValueError(f"not an assignment: {text!r}")
-        name, body = match.groups()
+        name, body = parse_assignment(text)
         with S.lenient(df.sparkSession):
             value = F.expr(body)
             if name in df.columns:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextvars import ContextVar
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..plans.storage import drop_dir, scratch_dir
@@ -14,13 +17,33 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)  # paths saved below a call of save_result
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the cluster's shared folder and read it back: lineage ends here."""
     path = scratch_dir(df.sparkSession, name)
     df.write.parquet(path)
+    if (made := _made.get()) is not None:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def save_result(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``make()`` saved. Frames that were saved on the way are deleted when the result is written and complete, which until
+    then may have to be computed again from them."""
+    made: list[str] = []
+    outer = _made.set(made)
+    try:
+        result = make()
+    finally:
+        _made.reset(outer)
+    written = save(result, name)
+    for path in made:
+        drop_dir(spark, path)
+    return written
+
+
 def drop_saved(df: DataFrame) -> None:
     """Delete the files behind a frame made by :func:`save`; it must not be used afterwards."""
     for file in {f.rpartition("/")[0] for f in df.inputFiles()}:

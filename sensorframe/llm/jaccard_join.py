@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import drop_saved, ids, ranked, read_table, save, seeded, text_of, without_ids
+from .common import drop_saved, ids, ranked, read_table, save, save_result, seeded, text_of, without_ids
 from .components import connected_components
 from .shingles import Shingler, band_keys, set_key
 
@@ -177,7 +177,7 @@ def verified(pairs: DataFrame, sets_for: Callable[[DataFrame], DataFrame], perce
     of the candidates that are small share blocks, large ones are dealt over blocks that meet two by two.
     """
     pairs = save(pairs, "pairs")
-    parts = save(connected_components(pairs, "a", "b"), "pair-components")
+    parts = save_result(pairs.sparkSession, lambda: connected_components(pairs, "a", "b"), "pair-components")
     blocks = max(1, -(-parts.count() // BLOCK))
     sizes = parts.groupBy("component_id").agg(F.count(F.lit(1)).alias("size"))
     large = F.col("size") > BLOCK
@@ -222,6 +222,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, max_c
     rows are copies. ``doc_id`` identifies a document: rows that repeat it with another text share its links. Rows without an id
     take the component of their copies, or null.
     """
+    spark = docs.sparkSession
     docs = docs.select("doc_id", text_of("text").alias("text"))
     rows = save(profiles(docs, width, percent), "profiles")
     classes = rows.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc"))
@@ -234,7 +235,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, max_c
     for seed in range(STARS):
         found = verified(_stars(_with_component(reps, comps), seed, percent), sets_for, percent)
         links = found if links is None else links.unionByName(found)
-        comps = save(connected_components(links, "a", "b"), "components")
+        before, comps = comps, save_result(spark, lambda edges=links: connected_components(edges, "a", "b"), "components")
+        if before is not None:
+            drop_saved(before)
     placed = _with_component(reps, comps)
     often = placed.filter("doc = comp").select(F.explode("buckets").alias("t")).groupBy("t").count().filter(F.col("count") > max_cost)
     common = np.sort(often.orderBy(F.desc("count"), "t").limit(MAX_COMMON).select("t").toPandas()["t"].to_numpy(np.int32))
@@ -246,10 +249,13 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, max_c
     met = met.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), extra.alias("e"), (F.least("x.passed", "y.passed") + extra + 1).alias("l"))
     candidates = met.groupBy("a", "b", "e", "l").count().filter("count > e").select("a", "b", "l")
     links = links.unionByName(verified(candidates, sets_for, percent))
-    final = connected_components(links, "a", "b")
+    for done in (postings, comps, reps):
+        drop_saved(done)
+    final = save_result(spark, lambda: connected_components(links, "a", "b"), "final-components")
     known = save(classes.join(final, F.col("doc") == F.col("node"), "left").select(
         F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.coalesce("component_id", "doc").alias("component_id")
     ), "class-components")
+    drop_saved(final)
     linked = rows.filter("n > 0").join(known, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")))
     alone = rows.filter("n = 0").withColumn("component_id", F.col("doc_id"))
     fields = ["doc_id", F.col("n").alias("n_shingles"), "component_id"]
@@ -263,7 +269,7 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     """
     known = docs.filter("doc_id is not null")
     if known.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        found = save(jaccard_components(docs, width, percent), "near")
+        found = save_result(docs.sparkSession, lambda: jaccard_components(docs, width, percent), "near")
         return without_ids(docs, found.filter("doc_id <> component_id").select("doc_id"))
     place = "_place"
     while place in ids(docs):

@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import read_table, save
+from .common import read_table, save, save_result
 from .components import connected_components
 
 EDITS = 2
@@ -182,7 +182,7 @@ def near_links(docs: DataFrame, classes: DataFrame, edits: int, min_chars: int)
     both = left.join(texts.select(F.col("h1").alias("b"), F.col("line").alias("lb")), "b")
     # Few bytes but long work: not to be put together into few tasks again.
     both = both.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
-    return save(both.filter(near("la", "lb", edits)).select("a", "b").distinct(), "line-links")
+    return both.filter(near("la", "lb", edits)).select("a", "b").distinct()
 
 
 def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = EVERY) -> DataFrame:
@@ -194,8 +194,8 @@ def kept_elsewhere(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
     """``doc_id, pos, length, home`` of every repeated line: its characters and the document where the line that stays stands."""
     docs = docs.select("doc_id", "text")
     classes = save(line_classes(docs, edits, min_chars), "lines")
-    links = near_links(docs, classes, edits, min_chars)
-    comps = save(connected_components(links, "a", "b"), "line-components")
+    links = save_result(docs.sparkSession, lambda: near_links(docs, classes, edits, min_chars), "links")
+    comps = save_result(docs.sparkSession, lambda: connected_components(links, "a", "b"), "line-components")
     known = classes.select("h1", "h2", "first", "n").join(comps, F.col("h1") == F.col("node"), "left")
     keepers = known.filter("component_id is not null").groupBy("component_id").agg(F.min("first").alias("keeper"))
     single = known.filter("component_id is null and n > 1").select("h1", "h2", F.col("first").alias("keeper"))
@@ -270,7 +270,7 @@ def without_repeats(docs: DataFrame, edits: int = EDITS, min_chars: int = EVERY,
     drop. Other columns, null texts and rows without repeats are unchanged; rows without an id neither count nor change.
     """
     known = docs.filter("doc_id is not null").select("doc_id", "text")
-    found = save(kept_elsewhere(known, edits, min_chars).distinct(), "kept-elsewhere")
+    found = save_result(docs.sparkSession, lambda: kept_elsewhere(known, edits, min_chars).distinct(), "kept-elsewhere")
     gone = save(found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("pos").alias("_gone")), "repeated")
     copies = shown_copies(known, found, gone, copy_share, width, percent)
     gone = gone.join(copies, F.col("_id") == F.col("copy"), "left_anti")

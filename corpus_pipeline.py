@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sensorframe.llm import bpe, jaccard_join, line_dedup, mixing, quality
-from sensorframe.llm.common import read_table, save
+from sensorframe.llm.common import drop_saved, read_table, save_result
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +51,11 @@ ORACLE_SQL = None  # a classifier and a byte-level tokenizer are beyond SQL; tes
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn over ``documents``; each reads the Parquet files the one before it wrote."""
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages in turn over ``documents``; each reads the Parquet files the one before it wrote, which are deleted after that."""
+    docs, written = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = save(stage(spark, docs, sf_dir), name)
+        docs = save_result(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name)
+        if written is not None:
+            drop_saved(written)
+        written = docs
     return STAGES[-1][1](spark, docs, sf_dir)

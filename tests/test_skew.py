@@ -196,3 +196,40 @@ def test_one_plan_whatever_the_cells(spark, series):
     frame.write.format("noop").mode("overwrite").save()
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("cells")) < 15
+
+
+def test_calls_in_place(spark, tmp_path):
+    """Blocks of one file are walked by several tasks without a shuffle of their rows; moved rows are refused."""
+    from sensorframe.sources.call_trace import read_call_trace
+
+    lines = nested_trace(random.Random(5), 900)
+    (tmp_path / "cm.1.20181116_201500.plog.txt").write_text("\n".join(lines) + "\n")
+    key = lambda calls: rows_of(calls.select("process", "opid", "path", "duration", "records", F.col("parent_id").isNotNull()))
+    whole = key(W.pair_calls(read_call_trace(spark, str(tmp_path))))
+    assert len(whole) == sum(x.startswith("F") for x in lines)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        trace = read_call_trace(spark, str(tmp_path))
+        assert trace.select("block").distinct().count() > 5
+        calls = W.pair_calls(trace, in_place=True)
+        assert key(calls) == whole and key(W.pair_calls(trace)) == whole
+        assert key(W.pair_calls(trace, in_place=True, cell_rows=7)) == whole
+        moved = trace.repartition(3, "pos")
+        assert key(W.pair_calls(moved)) == whole
+        with pytest.raises(Exception, match="moved"):
+            W.pair_calls(moved, in_place=True).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_profile_pairs_calls_once(spark, tmp_path):
+    from sensorframe.operators import profiles as C
+    from sensorframe.sources.call_trace import read_call_trace
+
+    (tmp_path / "cm.1.20181116_201500.plog.txt").write_text("\n".join(nested_trace(random.Random(6), 30)) + "\n")
+    profile = C.call_profile(W.pair_calls(read_call_trace(spark, str(tmp_path))))
+    plan = profile._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapIn" not in plan and profile.count() > 1

@@ -188,7 +188,7 @@ def chain_steps(i: Inputs) -> DataFrame:
     step = i.instances.select("id", "ecid", F.concat(F.expr(_ITEM), lit(" ("), (col("quantity") % 3).cast("string"), lit(")")).alias("cdn"), "created")
     faulted = i.faults.select("ecid", col("created").alias("faulted_time"))
     changed = i.table("orders").select((col("o_orderkey") * 10 + 1).alias("id"), col("o_orderdate").alias("modified"))
-    rows = J.enrich(step, [(faulted, ["ecid"]), (changed, ["id"])])
+    rows = J.enrich(step, [(changed, ["id"]), (faulted, ["ecid"])])  # by flow last, as flows are grouped next
     end = S.greatest_of([col("created"), col("modified")], F.expr("TIMESTAMP_NTZ '1993-05-11'"))
     return rows.withColumn("end_time", end).withColumnRenamed("id", "instance_id")
 

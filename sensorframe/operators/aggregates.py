@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import scalars as S
 from ..plans.ordered import Scan, ordered_scan
 from ..plans.skew import is_large, same_keys
+from ..plans.storage import written
 from . import percentiles as P
 
 DAY = 86_400
@@ -56,6 +57,9 @@ def flow_chain_stats(steps: DataFrame, cell_rows=None) -> DataFrame:
             F.sort_array(F.collect_list(F.struct("created", "instance_id", "cdn")))["cdn"], ", "
         ).alias("cdns"),
     )
+    if cell_rows is None and is_large(first):
+        # Flows are put together once: they are counted before they are ranked.
+        first = written(first, "flows")
     stats = P.with_rank(first, ["cdns"], ["duration", "ecid"], cell_rows).groupBy("cdns").agg(
         F.count(F.lit(1)).alias("count"),
         F.count("faulted_time").alias("count_faulted"),

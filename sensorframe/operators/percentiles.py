@@ -11,8 +11,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..plans.ordered import Scan, ordered_scan
-from ..plans.skew import is_large, same_keys
+from ..plans.ordered import Scan, ordered_scan, scan_cells
+from ..plans.skew import is_large, same_keys, split_cells
 
 
 def _totals(df: DataFrame, counted: DataFrame, keys: Sequence[str], weight: Column, name: str) -> DataFrame:
@@ -28,14 +28,15 @@ def with_rank(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], cell_rows: int | None = None
 ) -> DataFrame:
     """Add ``_rn`` (1-based rank by ``order``) and ``_n`` (group size)."""
-    if cell_rows is None and not is_large(df):
+    cells = split_cells(df, keys, order, cell_rows)
+    if not cells.columns:
         window = Window.partitionBy(*(keys or [F.lit(0)]))
-        return df.select(
+        return cells.dealt(keys).select(
             "*",
             F.row_number().over(window.orderBy(*order)).alias("_rn"),
             F.count(F.lit(1)).over(window).alias("_n"),
         )
-    ranked = ordered_scan(df, keys, order, [Scan("_rn", "count")], cell_rows)
+    ranked = scan_cells(cells, keys, order, [Scan("_rn", "count")]).plain()
     return _totals(df, ranked, keys, F.lit(1), "_n")
 
 

@@ -233,3 +233,35 @@ def test_profile_pairs_calls_once(spark, tmp_path):
     profile = C.call_profile(W.pair_calls(read_call_trace(spark, str(tmp_path))))
     plan = profile._jdf.queryExecution().optimizedPlan().toString()
     assert "MapIn" not in plan and profile.count() > 1
+
+
+def test_large_frames_keep_their_tasks(spark, series, tmp_path, monkeypatch):
+    """Rows of a large frame are not joined into few tasks because they compress well."""
+    from sensorframe.plans import skew
+
+    series.write.parquet(str(tmp_path / "series"))
+    series = spark.read.parquet(str(tmp_path / "series"))
+    plain = rows_of(ordered_scan(series, ["device"], ["ts", "seq"], scans()))
+    monkeypatch.setattr(skew, "PROBE_BYTES", 1)
+    monkeypatch.setattr(skew, "CELL_ROWS", 300)
+    large = ordered_scan(series, ["device"], ["ts", "seq"], scans())
+    assert large.rdd.getNumPartitions() >= 8
+    assert rows_of(large) == plain
+    light = ordered_scan(series.filter("device <> 'hot'"), ["device"], ["ts", "seq"], scans())
+    assert light.rdd.getNumPartitions() >= 8
+
+
+def test_flows_are_put_together_once(spark, monkeypatch):
+    """Large flow statistics rank written flows, with the rank and the size of a group from one window."""
+    from sensorframe.plans import skew
+
+    steps = spark.range(400).selectExpr(
+        "id % 90 AS ecid", "id AS instance_id", "concat('c', id % 3) AS cdn", "timestamp_seconds(id * 7) AS created",
+        "timestamp_seconds(id * 7 + id % 11) AS end_time", "CASE WHEN id % 5 = 0 THEN timestamp_seconds(id) END AS faulted_time",
+    )
+    plain = rows_of(A.flow_chain_stats(steps))
+    monkeypatch.setattr(skew, "PROBE_BYTES", 1)
+    large = A.flow_chain_stats(steps)
+    assert "collect_list" not in large._jdf.queryExecution().optimizedPlan().toString()
+    assert rows_of(large) == plain
+    assert rows_of(A.flow_chain_stats(steps, 3)) == plain

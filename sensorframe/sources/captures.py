@@ -83,6 +83,8 @@ def parse_kv_capture(
     key = F.trim(F.regexp_extract("value", regex, key_at))
     parsed = lines.select("file", *ORDER, key.alias("_key"), F.regexp_extract("value", regex, value_at).alias("_value"))
     first = start or next(iter(keys))
+    # Other lines neither start a snapshot nor fill a column.
+    parsed = parsed.filter(F.col("_key").isin(first, *keys))
     snaps = ordered_scan(
         parsed, FILE, ORDER, [Scan("snapshot", "sum", (F.col("_key") == first).cast("long"))], cell_rows
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sensorframe.llm import bpe, jaccard_join, line_dedup, mixing, quality
-from sensorframe.llm.common import drop_saved, read_table, save_result
+from sensorframe.llm.common import drop_saved, read_table, save, save_result  # noqa: F401 - save: for callers that run single stages
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,9 +7,13 @@ shingles passed over, a partner must share ``l`` shingles of it, hence at least
 common (expected to cost more than ``max_cost`` candidates) is one global set, and a pair uses the smaller ``l`` of the two, so that no pair
 is lost whichever shingles are in the set; its size is bounded because only the most common are taken.
 
+Shingles rank as the common ones last, else by hash. A pair is a candidate only through shingles after which both sets have enough others left
+to reach the threshold.
+
 Groups of copies are not expanded. Equal sets are one class; classes that share a MinHash band are compared with one of
-them, and what that links is one component before the prefixes are joined; only pairs between components become candidates. The answer
-is exact: components can only hide pairs that they already link.
+them, then sets of mostly common shingles with the one that has the fewest others. What that links is one component before the prefixes are joined;
+only pairs between components become candidates. The answer
+is exact: components can only hide pairs that they already link, and which shingles are common, as one set in ``SAMPLED`` shows, only decides their order.
 
 Texts are read three times (sets and bands, prefixes, sets of candidates); the sets themselves are shuffled only for candidates.
 """
@@ -27,11 +31,13 @@ from .components import connected_components
 from .shingles import Shingler, band_keys, set_key
 
 BANDS, BAND_ROWS = 8, 3
-MAX_COST = 3  # components with a shingle from which passing it over, at one more posting, is cheaper than its candidates
-MAX_COMMON = 1 << 20  # bounds the set of common shingles that every task holds (4 bytes each)
+MAX_COST = 8  # components with a shingle from which passing it over, at one more posting, is cheaper than its candidates
+SAMPLED = 5  # one class in so many shows which shingles are common; that decides the order of the shingles, not the result
+MAX_COMMON = 1 << 20  # bounds the set of common shingles
+COMMON_BITS = 1 << 24  # of the filter with these that every task holds; what falls on the bit of another one counts as common too
 FILTER_BITS = 1 << 23  # of the filter that keeps texts without candidates from being cut again
 EXTRA = 20  # a lengthened prefix asks for one in so many of a set's shingles
-STARS = 2
+STARS = 1
 BLOCK = 128  # documents of a block of candidates
 
 
@@ -45,7 +51,7 @@ def _bucket(shingles: np.ndarray) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """``doc_id, n, k1, k2, bands, buckets``: size and key of the set, band hashes, and the short prefix as buckets."""
+    """``doc_id, n, k1, k2, bands, buckets``: size and key of the set, band hashes, and, of one set in ``SAMPLED``, all shingles as buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = Shingler(width)
@@ -56,7 +62,7 @@ def profiles(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 n.append(len(s))
                 keys.append(set_key(s) if len(s) else (None, None))
                 bands.append(band_keys(s, BANDS, BAND_ROWS) if len(s) else [])
-                buckets.append(_bucket(s[: _base(len(s), percent) + 1]))
+                buckets.append(_bucket(s) if len(s) and keys[-1][0] % SAMPLED == 0 else [])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(k, pa.int64()) for k in zip(*keys, strict=True)),
@@ -68,8 +74,22 @@ def profiles(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, bands array<long>, buckets array<int>")
 
 
+def common_shingles(buckets: DataFrame, max_cost: int) -> np.ndarray:
+    """Bits of the common ones among ``buckets(t)`` of one set in ``SAMPLED``."""
+    often = save(buckets.groupBy("t").count().filter(F.col("count") * SAMPLED > max_cost), "common")
+    left, least = MAX_COMMON, 0
+    for count, n in sorted(often.groupBy("count").agg(F.count(F.lit(1))).collect(), reverse=True):
+        left -= n
+        if left < 0:
+            break
+        least = count
+    bits = bit_filter(often.filter(F.col("count") >= (least or MAX_COMMON)).select((F.col("t") % COMMON_BITS).cast("long").alias("p")), COMMON_BITS)
+    drop_saved(often)
+    return bits
+
+
 def prefixes(docs: DataFrame, common: np.ndarray, width: int, percent: int) -> DataFrame:
-    """``doc_id, n, passed, extra, tokens``: the adaptive prefix without its ``passed`` common shingles.
+    """``doc_id, n, passed, extra, rare, tokens``: the adaptive prefix without its ``passed`` common shingles. Its first ``rare`` are not common.
 
     It holds enough others for a partner to share ``1 + extra`` of them. A set with too few others ends its prefix with common ones, which then meet only those of such sets.
     """
@@ -78,12 +98,11 @@ def prefixes(docs: DataFrame, common: np.ndarray, width: int, percent: int) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, often = Shingler(width), shared.value
         for batch in batches:
-            n, passed, extra, tokens = [], [], [], []
+            n, passed, extra, others, tokens = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 s = cut(text)
                 size = _base(len(s), percent) + 1 if len(s) else 0
-                at = np.searchsorted(often, buckets := _bucket(s))
-                known = np.zeros(len(s), bool) if not len(often) else often[np.minimum(at, len(often) - 1)] == buckets
+                known = passes(often, _bucket(s) % COMMON_BITS)
                 # A document that passes over common shingles is lengthened once more, to ask for several others in common.
                 more = len(s) // EXTRA if known[:size].any() else 0
                 size += more
@@ -95,25 +114,26 @@ def prefixes(docs: DataFrame, common: np.ndarray, width: int, percent: int) -> D
                 # A set with too few others passes over more than that, but a partner shares only ceil(t n) shingles for sure.
                 passed.append(min(len(over), max(0, len(s) - _base(len(s), percent) - 1)))
                 extra.append(more if len(rare) == size else 0)
+                others.append(len(rare))
                 tokens.append(s[take].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(passed, pa.int64()), pa.array(extra, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "passed", "extra", "tokens"],
+                [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, passed, extra, others)), pa.array(tokens, pa.list_(pa.int64()))],
+                names=["doc_id", "n", "passed", "extra", "rare", "tokens"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, passed long, extra long, tokens array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, passed long, extra long, rare long, tokens array<long>")
 
 
 def id_slot(column: str) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
 
 
-def bit_filter(slots: DataFrame) -> np.ndarray:
-    """Bits of ``slots(p)``, numbers below ``FILTER_BITS``. It has a fixed size; where it is full it lets everything pass and only costs time."""
+def bit_filter(slots: DataFrame, size: int = FILTER_BITS) -> np.ndarray:
+    """Bits of ``slots(p)``, numbers below ``size``. It has a fixed size; where it is full it lets everything pass and only costs time."""
     words = slots.groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 AS int)))").alias("b"))
-    found = words.toPandas()
-    bits = np.zeros(FILTER_BITS // 64, np.uint64)
-    bits[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64).view(np.uint64)
+    found = words.toArrow()
+    bits = np.zeros(size // 64, np.uint64)
+    bits[found.column("w").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
     return bits
 
 
@@ -203,14 +223,12 @@ def _alike(a: str, b: str, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _stars(reps: DataFrame, seed: int, percent: int) -> DataFrame:
-    """Candidates between each document and one of each of its bands, if of another component."""
-    rows = reps.select("doc", "n", "comp", F.explode("bands").alias("band"))
-    pivots = rows.groupBy("band").agg(
-        F.min(F.struct(seeded(seed, "doc").alias("h"), F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))).alias("p"),
-        F.count(F.lit(1)).alias("c"),
-    ).filter("c > 1").select(F.col("band").alias("_band"), "p.b", "p.nb", "p.cb")
-    met = rows.join(pivots, F.col("band") == F.col("_band")).filter("comp <> cb").filter(_alike("n", "nb", percent))
+def _stars(rows: DataFrame, percent: int) -> DataFrame:
+    """Candidates between each document of ``rows(key, doc, n, comp, far)`` and the least far one of each of its keys, if of another component."""
+    pivots = rows.groupBy("key").agg(
+        F.min(F.struct("far", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))).alias("p"), F.count(F.lit(1)).alias("c")
+    ).filter("c > 1").select(F.col("key").alias("_key"), "p.b", "p.nb", "p.cb")
+    met = rows.join(pivots, F.col("key") == F.col("_key")).filter("comp <> cb").filter(_alike("n", "nb", percent))
     return met.select(F.greatest("doc", "b").alias("a"), F.least("doc", "b").alias("b")).distinct().withColumn("l", F.lit(1).cast("long"))
 
 
@@ -232,20 +250,39 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, max_c
     reps = save(whole.join(names, of_class).select("doc", "n", "bands", "buckets"), "classes")
     sets_for = lambda wanted: sets_of(docs, wanted, width)
     comps, links = None, None
-    for seed in range(STARS):
-        found = verified(_stars(_with_component(reps, comps), seed, percent), sets_for, percent)
+
+    def united(rows: DataFrame) -> DataFrame:
+        """Components of the links so far and those of the stars over ``rows``."""
+        nonlocal links
+        found = verified(_stars(rows, percent), sets_for, percent)
         links = found if links is None else links.unionByName(found)
-        before, comps = comps, save_result(spark, lambda edges=links: connected_components(edges, "a", "b"), "components")
-        if before is not None:
-            drop_saved(before)
+        after = save_result(spark, lambda: connected_components(links, "a", "b"), "components")
+        if comps is not None:
+            drop_saved(comps)
+        return after
+
+    for seed in range(STARS):
+        bands = _with_component(reps, comps).select(F.explode("bands").alias("key"), "doc", "n", "comp")
+        comps = united(bands.withColumn("far", seeded(seed, "doc")))
     placed = _with_component(reps, comps)
-    often = placed.filter("doc = comp").select(F.explode("buckets").alias("t")).groupBy("t").count().filter(F.col("count") > max_cost)
-    common = np.sort(often.orderBy(F.desc("count"), "t").limit(MAX_COMMON).select("t").toPandas()["t"].to_numpy(np.int32))
-    long = prefixes(docs, common, width, percent).filter("n > 0").join(placed.select(F.col("doc").alias("doc_id"), "comp"), "doc_id")
-    postings = save(long.select(F.explode("tokens").alias("t"), F.col("doc_id").alias("doc"), "n", "passed", "extra", "comp"), "postings")
+    common = common_shingles(placed.filter("doc = comp").select(F.explode("buckets").alias("t")), max_cost)
+    long = save(prefixes(docs, common, width, percent).filter("n > 0"), "prefixes")
+    # Sets that need common shingles meet the one with the fewest others first, which is near to most of them.
+    of_common = long.filter("size(tokens) > rare").select(
+        F.explode(F.expr("slice(tokens, int(rare) + 1, size(tokens))")).alias("key"), "doc_id", (F.col("rare") / F.col("n")).alias("far")
+    )
+    comps = united(of_common.join(placed.select("doc", "n", "comp"), F.col("doc_id") == F.col("doc")).drop("doc_id"))
+    placed = _with_component(reps, comps).select("doc", "comp")
+    # ``left``: shingles from this one on, so that a pair cannot share more of them.
+    fields = ["doc", "n", "passed", "extra", "comp"]
+    postings = long.join(placed, F.col("doc_id") == F.col("doc")).select(F.posexplode("tokens").alias("pos", "t"), *fields)
+    postings = save(postings.withColumn("left", F.col("n") - F.col("pos")).drop("pos"), "postings")
+    drop_saved(long)
     x, y = postings.alias("x"), postings.alias("y")
-    met = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.doc") > F.col("y.doc")) & (F.col("x.comp") != F.col("y.comp")) & _alike("x.n", "y.n", percent))
     extra = F.least("x.extra", "y.extra")
+    enough = (F.least("x.left", "y.left") + extra) * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
+    met = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.doc") > F.col("y.doc")) & (F.col("x.comp") != F.col("y.comp")) & _alike("x.n", "y.n", percent))
+    met = met.filter(enough)
     met = met.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), extra.alias("e"), (F.least("x.passed", "y.passed") + extra + 1).alias("l"))
     candidates = met.groupBy("a", "b", "e", "l").count().filter("count > e").select("a", "b", "l")
     links = links.unionByName(verified(candidates, sets_for, percent))

@@ -228,6 +228,29 @@ def test_jaccard_of_common_sentences(spark, monkeypatch):
     assert links and got == roots(range(len(sets)), links)
 
 
+def test_variants_of_one_text_are_not_paired(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(200)]
+
+    def variant(name, of, changes):
+        at = set(rng.sample(range(200), changes))
+        return [f"{name}x{i}" if i in at else w for i, w in enumerate(of)]
+
+    far = [variant(f"v{k}", base, 14) for k in range(300)]  # alike to 0.3 to 0.6
+    near = [variant(f"n{k}", far[k], 1) for k in range(20)]
+    close = [variant(f"c{k}", base, 2) for k in range(40)]  # alike around the threshold
+    texts = [" ".join(x) for x in far + near + close]
+    asked = []
+    verified = jaccard_join.verified
+    monkeypatch.setattr(jaccard_join, "verified", lambda pairs, *rest: asked.append(pairs.count()) or verified(pairs, *rest))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(df, 4, 85).collect()}
+    sets = [{tuple(t.split()[i : i + 4]) for i in range(197)} for t in texts]
+    links = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    assert len(links) > 20 and got == roots(range(len(sets)), links)
+    assert sum(asked) < 5 * len(texts)
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(150, 20))

@@ -122,16 +122,21 @@ def near(a: str, b: str, edits: int) -> Column:
     return F.when(allowed < edits, F.levenshtein(a, b) <= allowed).otherwise(within_edits(a, b, edits))
 
 
-LETTERS = "abcdefghijklmnopqrstuvwxyz"  # counted modulo 4 in the marks of a line
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+COUNTED = "eaitsnorulcdmpghbfvyqwkxjz"  # modulo 4 in the marks of a line; common ones first, as each is taken out before the next is counted
 
 
 def letter_marks(line: Column) -> Column:
     """Counts of letters modulo 4, two bits each: an edit moves at most two of them, by one."""
-    marks = F.lit(0).cast("long")
-    for k, letter in enumerate(LETTERS):
-        count = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
-        marks = marks + F.shiftleft(F.pmod(count, F.lit(4)).cast("long"), 2 * k)
-    return marks
+    def marks(s: Column) -> Column:  # with the letter that was taken out last
+        return s["marks"] * 4 + F.pmod(s["size"] - F.octet_length(s["rest"]), F.lit(4))
+
+    def without(s: Column, letter: Column) -> Column:
+        rest = F.replace(s["rest"], letter, F.lit(""))
+        return F.struct(rest.alias("rest"), F.octet_length(s["rest"]).alias("size"), marks(s).alias("marks"))
+
+    whole = F.struct(line.alias("rest"), F.octet_length(line).alias("size"), F.lit(0).cast("long").alias("marks"))
+    return F.aggregate(F.array(*map(F.lit, COUNTED)), whole, without, marks)
 
 
 def marks_within(a: str, b: str, edits: int) -> Column:

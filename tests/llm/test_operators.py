@@ -101,6 +101,16 @@ def test_banded_distance_and_segments(spark, edits):
     assert near.filter(~met | ~line_dedup.marks_within("ma", "mb", edits)).count() == 0
 
 
+def test_letters_are_taken_out_one_after_another(spark):
+    rng = random.Random(3)
+    lines = ["", "zz", *("".join(rng.choices("abcdefghijklmnopqrstuvwxyzAé ", k=rng.randint(1, 90))) for _ in range(200))]
+    marks = line_dedup.letter_marks(F.col("line"))
+    got = {r["line"]: r["m"] for r in spark.createDataFrame([(x,) for x in lines], "line string").select("line", marks.alias("m")).collect()}
+    for line, m in got.items():
+        assert [m >> 2 * k & 3 for k in range(26)][::-1] == [line.count(x) % 4 for x in line_dedup.COUNTED]
+    assert sorted(line_dedup.COUNTED) == sorted(line_dedup.LETTERS)
+
+
 def test_repeated_lines(spark):
     rng = random.Random(4)
     line = lambda: "".join(rng.choices("abcdefgh ", k=rng.randint(24, 60)))

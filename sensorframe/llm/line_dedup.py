@@ -30,6 +30,7 @@ EDITS = 2
 PER_EDIT = 10  # characters of the longer line for every edit allowed
 EVERY = 1  # bound that compares all lines but blank ones
 BROADCAST_LINES = 200_000  # candidate lines up to which their hashes (8 bytes each) are sent to every task
+BROADCAST_POSITIONS = 1_000_000  # repeated lines up to which they are sent to every task, so that no whole text is shuffled
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -279,7 +280,9 @@ def without_repeats(docs: DataFrame, edits: int = EDITS, min_chars: int = EVERY,
     gone = save(found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("pos").alias("_gone")), "repeated")
     copies = shown_copies(known, found, gone, copy_share, width, percent)
     gone = gone.join(copies, F.col("_id") == F.col("copy"), "left_anti")
-    joined = docs.join(gone, F.col("doc_id") == F.col("_id"), "left")
+    gone = save(gone, "taken-out")
+    few = gone.agg(F.coalesce(F.sum(F.size("_gone") + 1), F.lit(0))).first()[0] <= BROADCAST_POSITIONS
+    joined = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("_id"), "left")
     text = F.when(F.col("_gone").isNotNull() & F.col("text").isNotNull(), _cleaned("text", "_gone")).otherwise(F.col("text"))
     out = joined.withColumn("text", text).drop("_gone", "_id")
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out

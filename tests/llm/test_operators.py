@@ -148,6 +148,19 @@ def test_repeated_lines(spark):
     assert line_dedup.repeated_lines(df.limit(0)).count() == 0
 
 
+def test_few_repeats_shuffle_no_texts(spark):
+    rows = [(k, "the same long line in all\n" + f"line {k} of its own " * 9, k) for k in range(6)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        cleaned = line_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string, n_chars long"))
+        assert sum("the same" in r["text"] for r in cleaned.collect()) == 1
+        plan = cleaned._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_repeated_lines_of_every_length(spark, tmp_path):
     rng = random.Random(9)
     short = ["".join(rng.choices("abcdefghé😀", k=rng.randint(1, 24))) for _ in range(60)]

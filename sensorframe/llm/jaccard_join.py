@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import drop_saved, ids, ranked, read_table, save, save_result, seeded, text_of, without_ids
+from .common import SLICE, drop_saved, ids, ranked, read_table, save, save_result, seeded, slices, text_of, without_ids
 from .components import connected_components
 from .shingles import Shingler, band_keys, set_key
 
@@ -55,7 +55,7 @@ def profiles(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = Shingler(width)
-        for batch in batches:
+        for batch in slices(batches):
             n, keys, bands, buckets = [], [], [], []
             for text in batch.column("text").to_pylist():
                 s = cut(text)
@@ -97,7 +97,7 @@ def prefixes(docs: DataFrame, common: np.ndarray, width: int, percent: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, often = Shingler(width), shared.value
-        for batch in batches:
+        for batch in slices(batches):
             n, passed, extra, others, tokens = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 s = cut(text)
@@ -151,8 +151,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             hit = np.flatnonzero(passes(bits, batch.column("p").to_numpy()))
             texts = batch.column("text")
-            for k in range(0, len(hit), 200):
-                some = hit[k : k + 200]
+            for k in range(0, len(hit), SLICE):
+                some = hit[k : k + SLICE]
                 sets = [cut(texts[i].as_py()).view(np.int64) for i in some.tolist()]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(some)), pa.array(sets, pa.list_(pa.int64()))], names=["doc", "s"])
 

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import ids, read_table, seeded
+from .common import ids, read_table, seeded, slices
 
 MAX_ROWS = 20_000  # labelled rows the trees are fitted on
 FEATURES = (
@@ -145,7 +145,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS,
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))  # at most max_rows rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = [statistics(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("_y"), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
 
@@ -162,7 +162,7 @@ def score(docs: DataFrame, trees: Trees, text: str = "text", to: str = "score")
         raise ValueError(f"column {to} exists")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = np.array([statistics(t or "") for t in batch.column(text).to_pylist()]).reshape(-1, len(FEATURES))
             found = np.concatenate([trees.score(x[i : i + 1000]) for i in range(0, len(x), 1000)]) if len(x) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*batch.schema.names, to])

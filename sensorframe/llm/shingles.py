@@ -6,7 +6,7 @@ from hashlib import blake2b
 
 import numpy as np
 
-CACHED_WORDS = 500_000  # word hashes a task keeps; it only saves time
+CACHED_WORDS = 200_000  # word hashes a task keeps; it only saves time
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 

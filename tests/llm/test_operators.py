@@ -7,10 +7,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sensorframe.llm import bpe, embeddings, fingerprints, jaccard_join, line_dedup, mixing, passages, quality, sharding, url_lists
+from sensorframe.llm.common import BATCH, BATCH_ROWS, SLICE, save
 from sensorframe.llm.components import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -379,6 +381,26 @@ def test_held_out_accuracy(spark):
     assert rows.join(labels, "doc_id").select(F.avg((F.col("predicted") == F.col("quality")).cast("int"))).first()[0] > 0.95
 
 
+def test_tasks_hold_few_texts(spark, monkeypatch):
+    before = spark.conf.get(BATCH)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    assert {r["n"] for r in save(spark.range(0, 4500, 1, 1).mapInArrow(sizes, "n long"), "sizes").collect()} == {BATCH_ROWS, 500}
+    assert spark.conf.get(BATCH) == before
+    made = []  # the functions that tasks run, each given one large batch
+    monkeypatch.setattr("pyspark.sql.DataFrame.mapInArrow", lambda self, run, *_: made.append(run))
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    jaccard_join.profiles(docs, 5, 80)
+    jaccard_join.prefixes(docs, np.zeros(jaccard_join.COMMON_BITS // 64, np.uint64), 5, 80)
+    quality.score(docs, quality.fit(np.eye(len(quality.FEATURES)), np.ones(len(quality.FEATURES)), trees=1))
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(3 * SLICE + 1), "text": ["a b c"] * (3 * SLICE + 1)})
+    for run in made:
+        assert [b.num_rows for b in run(iter([batch]))] == [SLICE] * 3 + [1]
+
+
 def test_passages(spark, texts, docs):
     rows = passages.repeated_passages(docs).collect()
     holders = {i * 3 + 5 for i, t in enumerate(texts) if t and 40 <= i < 58 and (i - 40) % 3 == 2}

@@ -11,6 +11,9 @@ Jaccard similarity of five-word shingles and clustered by components; the first
 removals. Neighbouring pieces of a document that repeat in
 another one are joined into a passage, reported from ``RUN_WORDS`` words on.
 
+Most pieces resemble no other one. So all texts are cut twice: first only short hashes of keys and bands are shuffled, packed in arrays, to find
+those that several pieces have; then only pieces with one of these are written, with their bands and shingles.
+
 Large groups are not expanded into pairs: all of a band first meet one of its members, and only what is still in different components
 meets in pairs. Null and empty texts have no pieces. Rows that repeat a ``doc_id`` are one document; rows without an id are left out.
 """
@@ -24,9 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import read_table, save, seeded, text_of
+from .common import drop_saved, read_table, save, save_result, seeded, slices, text_of
 from .components import connected_components
-from .jaccard_join import FILTER_BITS, bit_filter, id_slot, passes, verified
+from .jaccard_join import FILTER_BITS, bit_filter, passes, verified
 from .shingles import Shingler, mixed
 
 WIDTH, PERCENT = 5, 80
@@ -34,6 +37,9 @@ MIN_WORDS = 8  # of a compared piece
 RUN_WORDS = 30  # of a reported passage
 REACH = 7  # words on either side of a border by content; pieces between two of them have more words than that
 BANDS, ROWS = 10, 3
+BUCKETS = 1 << 10  # of hashes that are searched for repeats; each holds 32 bits more
+HELD = 100_000  # pieces whose hashes a task holds before it deals them out
+MOST_BITS = 1 << 27  # of a filter with repeats; a fuller one lets more pieces pass, which costs disk and time
 
 SENTENCES = re.compile(r"(?<=[.!?])[ \t]+")
 CAPITALS = re.compile(r"(?<=[a-zß-öø-ÿ,;])[ \t]+(?=[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ])")
@@ -104,66 +110,126 @@ class Cutter:
         return {"row": rows, "start": starts, "n": sizes, "first": first, "last": last, "k1": sums[0].view(np.int64), "k2": sums[1].view(np.int64), "shingles": h}
 
 
-def _bands(found: dict[str, np.ndarray]) -> list[list[int]]:
-    """Band hashes of the pieces."""
-    if not len(found["n"]):
-        return []
-    h, ends = found["shingles"], np.stack([found["first"], found["last"]], axis=1).ravel()
+def _bands(found: dict[str, np.ndarray]) -> np.ndarray:
+    """Band hashes of the pieces, a row each."""
     keys = np.zeros((len(found["n"]), BANDS), np.uint64)
+    if not len(keys):
+        return keys
+    h, ends = found["shingles"], np.stack([found["first"], found["last"]], axis=1).ravel()
     for k, by in enumerate(_MULTIPLIERS):
-        least = np.minimum.reduceat(mixed(h * by), ends)[::2]
+        least = np.minimum.reduceat(h * by, ends)[::2]
         keys[:, k // ROWS] = keys[:, k // ROWS] * np.uint64(0x9E3779B97F4A7C15) + least + np.uint64(k)
-    return mixed(keys).view(np.int64).tolist()
+    return mixed(keys)
 
 
-def piece_rows(docs: DataFrame) -> DataFrame:
-    """``doc_id, start, n, k1, k2, bands`` of every compared piece."""
+def _short(h: np.ndarray) -> np.ndarray:
+    """The 42 bits of a hash by which repeats are looked for: 10 tell the bucket, 32 the place in it."""
+    return h.view(np.uint64) >> np.uint64(22)
+
+
+def _dealt(values: np.ndarray, low: int, kind: int) -> pa.RecordBatch:
+    """``bucket, h, f`` of sorted values with ``low`` bits below the hash; ``f`` holds these."""
+    at = np.searchsorted(values, np.arange(BUCKETS + 1, dtype=np.uint64) << np.uint64(32 + low))
+    used = np.flatnonzero(np.diff(at))
+    offsets = pa.array(np.append(at[used], len(values)).astype(np.int32))
+    h = pa.array((values >> np.uint64(low)).astype(np.uint32).view(np.int32))
+    f = pa.array((values & np.uint64((1 << low) - 1)).astype(np.uint16).view(np.int16))
+    return pa.RecordBatch.from_arrays(
+        [pa.array((used + kind * BUCKETS).astype(np.int32)), pa.ListArray.from_arrays(offsets, h), pa.ListArray.from_arrays(offsets, f)], names=["bucket", "h", "f"]
+    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = Cutter()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                found = cut(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id").take(pa.array(found["row"])), pa.array(found["start"]), pa.array(found["n"]),
-                        pa.array(found["k1"]), pa.array(found["k2"]), pa.array(_bands(found), pa.list_(pa.int64())),
-                    ],
-                    names=["doc_id", "start", "n", "k1", "k2", "bands"],
-                )
-
-    return docs.mapInArrow(run, "doc_id long, start long, n long, k1 long, k2 long, bands array<long>")
-
-
-def piece_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``doc, s``: sorted shingles of the pieces in ``wanted(doc, home)``, their key and a document that holds them; also of a few others."""
-    context = docs.sparkSession.sparkContext
-    keys = context.broadcast(bit_filter(wanted.select(F.col("doc").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("p"))))
-    homes = context.broadcast(bit_filter(wanted.select(id_slot("home").alias("p"))))
+
+def hash_rows(docs: DataFrame) -> DataFrame:
+    """``bucket, h, f``: hashes of the keys (``f`` 0) and of the bands (``f`` of their key) of all compared pieces, many to a row.
+
+    Of the same among some of the pieces of a task two are kept for keys and one for bands, so no bucket holds many of a common one.
+    """
+
+    def rows(keys: list[np.ndarray], bands: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        k = np.sort(np.concatenate(keys))
+        yield _dealt(k[np.append([True, True], k[2:] != k[:-2])[: len(k)]], 0, 0)
+        yield _dealt(np.unique(np.concatenate(bands)), 16, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = Cutter()
-        for batch in batches:
-            texts = batch.filter(pa.array(passes(homes.value, batch.column("p").to_numpy()))).column("text")
-            for at in range(0, len(texts), 64):
-                found = cut(texts.slice(at, 64).to_pylist())
-                hit = np.flatnonzero(passes(keys.value, found["k1"] & (FILTER_BITS - 1)))
-                sets = [np.unique(found["shingles"][i:j]).view(np.int64) for i, j in zip(found["first"][hit], found["last"][hit], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(found["k1"][hit]), pa.array(sets, pa.list_(pa.int64()))], names=["doc", "s"])
+        cut, keys, bands, held = Cutter(), [], [], 0
+        for part in slices(batches, 64):
+            found = cut(part.column("text").to_pylist())
+            own = found["k1"].view(np.uint64)[:, None] * _MULTIPLIERS[:BANDS] >> np.uint64(48)  # other bits in each band
+            keys.append(_short(found["k1"]))
+            bands.append((_short(_bands(found)) << np.uint64(16) | own).ravel())
+            held += len(keys[-1])
+            if held > HELD:
+                yield from rows(keys, bands)
+                keys, bands, held = [], [], 0
+        if held:
+            yield from rows(keys, bands)
+
+    return docs.select("text").mapInArrow(run, "bucket int, h array<int>, f array<short>")
+
+
+def _repeats(rows: pa.Table) -> pa.Table:
+    """``band, h`` of the hashes of one bucket that two pieces have; those of bands, that two pieces of other keys have."""
+    band = rows.column("bucket")[0].as_py() >= BUCKETS
+    h, f = (np.concatenate([c.flatten().to_numpy() for c in rows.column(name).chunks]) for name in ("h", "f"))
+    h = h.view(np.uint32).astype(np.uint64)
+    h = np.unique(h << np.uint64(16) | f.view(np.uint16)) >> np.uint64(16) if band else np.sort(h)
+    h = np.unique(h[1:][h[1:] == h[:-1]]).view(np.int64)
+    return pa.table({"band": np.full(len(h), band), "h": h})
+
+
+def repeat_filters(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of the keys that stand twice and of the bands that pieces of several keys have."""
+    found = save(hash_rows(docs).groupBy("bucket").applyInArrow(_repeats, "band boolean, h long"), "repeats")
+    out = []
+    for kind in (~F.col("band"), F.col("band")):
+        some = found.filter(kind)
+        size = min(MOST_BITS, max(FILTER_BITS, 1 << (128 * some.count()).bit_length()))
+        out.append(bit_filter(some.select(F.col("h").bitwiseAND(F.lit(size - 1)).alias("p")), size))
+    drop_saved(found)
+    return out[0], out[1]
+
+
+def _in(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return passes(bits, _short(h) & np.uint64(len(bits) * 64 - 1 & 0xFFFFFFFF))
 
-    return docs.select("text", id_slot("doc_id").alias("p")).mapInArrow(run, "doc long, s array<long>").dropDuplicates(["doc"])
 
+def piece_rows(docs: DataFrame) -> DataFrame:
+    """``doc_id, start, n, k1, k2, bands, s`` of the compared pieces that equal another one or share a band with it, and of a few others.
+
+    ``bands`` holds the shared ones only; it and ``s``, the shingles sorted without sign, are empty where none is.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(repeat_filters(docs))
 
-def near_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """``node, component_id`` of the classes ``(k1, first, bands)`` linked by similarity."""
-    homes = classes.select(F.col("k1").alias("_k"), F.col("first.doc_id").alias("home"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut, (same, near) = Cutter(), shared.value
+        for part in slices(batches, 64):
+            found = cut(part.column("text").to_pylist())
+            bands = _bands(found)
+            met = _in(near, bands)
+            at = np.flatnonzero(met.any(axis=1) | _in(same, found["k1"]))
+            met = met[at]
+            offsets = pa.array(np.append(0, np.cumsum(met.sum(axis=1))).astype(np.int32))
+            first, last = found["first"][at], found["last"][at]
+            sets = [np.unique(found["shingles"][i:j]).view(np.int64) if hit else [] for i, j, hit in zip(first, last, met.any(axis=1), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column("doc_id").take(pa.array(found["row"][at])), *(pa.array(found[c][at]) for c in ("start", "n", "k1", "k2")),
+                    pa.ListArray.from_arrays(offsets, pa.array(bands[at][met].view(np.int64))), pa.array(sets, pa.list_(pa.int64())),
+                ],
+                names=["doc_id", "start", "n", "k1", "k2", "bands", "s"],
+            )
+
+    return docs.mapInArrow(run, "doc_id long, start long, n long, k1 long, k2 long, bands array<long>, s array<long>")
+
+
+def near_classes(classes: DataFrame) -> DataFrame:
+    """``node, component_id`` of the classes ``(k1, bands, s)`` linked by similarity."""
     rows = save(classes.select(F.col("k1").alias("doc"), F.explode("bands").alias("band")), "bands")
     pivots = rows.groupBy("band").agg(F.min(F.struct(seeded(1, "doc").alias("h"), F.col("doc").alias("b"))).alias("p"), F.count(F.lit(1)).alias("c"))
     pivots = save(pivots.filter("c > 1").select(F.col("band").alias("_band"), "p.b"), "pivots")
     shared = save(rows.join(pivots, F.col("band") == F.col("_band")).select("band", "doc", "b"), "shared-bands")
     pair = [F.greatest("doc", "b").alias("a"), F.least("doc", "b").alias("b"), F.lit(1).cast("long").alias("l")]
-    sets_for = lambda wanted: piece_sets(docs, wanted.join(homes, F.col("doc") == F.col("_k")))
+    sets_for = lambda _: classes.filter("size(s) > 0").select(F.col("k1").alias("doc"), "s")
     links = verified(shared.filter("doc <> b").select(*pair).distinct(), sets_for, PERCENT)
     comps = save(connected_components(links, "a", "b"), "components")
     placed = shared.select("band", "doc").join(comps, F.col("doc") == F.col("node"), "left")
@@ -183,9 +249,9 @@ def repeated_passages(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     docs = docs.filter("doc_id is not null").select("doc_id", text_of("text").alias("text"))
     found = save(piece_rows(docs), "pieces")
     at = F.struct("doc_id", "start")
-    classes = found.groupBy("k1", "k2").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.first("bands").alias("bands"))
+    classes = found.groupBy("k1", "k2").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.first("bands").alias("bands"), F.first("s").alias("s"))
     classes = save(classes.withColumn("again", F.col("first.doc_id") != F.col("last.doc_id")), "classes")
-    near = save(near_classes(docs, classes), "near")
+    near = save_result(docs.sparkSession, lambda: near_classes(classes), "near")
     linked = classes.select("k1", "k2", "first", "last").join(near, F.col("k1") == F.col("node"))
     keepers = linked.groupBy("component_id").agg(F.min("first").alias("keeper"), F.max("last").alias("last"))
     keepers = keepers.filter("keeper.doc_id <> last.doc_id").drop("last")

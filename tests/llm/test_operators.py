@@ -412,6 +412,32 @@ def test_passages(spark, texts, docs):
     assert passages.repeated_passages(docs.limit(0)).count() == 0
 
 
+def test_only_repeated_pieces_are_written(spark):
+    rng = random.Random(9)
+    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(n))
+    lines = [words(20) for _ in range(60)]  # most stand in one text only
+    texts = ["\n".join(lines[k : k + 10]) for k in range(0, 60, 10)]
+    near = " ".join([*lines[31].split()[:-1], "changed"])  # 16 shingles, all but one shared
+    texts += [f"{words(20)}\n{lines[3]}\n{words(20)}", f"{words(20)}\n{near}\n{words(20)}"]
+    df = spark.createDataFrame([*enumerate(texts), (8, "")], "doc_id long, text string")
+    by_line = lambda t, k: next(r for r in written if r["doc_id"] == t and r["start"] == 20 * k and r["n"] == 20)
+    written = passages.piece_rows(df).collect()
+    assert by_line(0, 3)["k1"] == by_line(6, 1)["k1"] and by_line(3, 1)["k1"] != by_line(7, 1)["k1"]
+    x, y = by_line(3, 1), by_line(7, 1)
+    assert set(x["bands"]) & set(y["bands"]) and len(set(x["s"]) & set(y["s"])) == 15 and x["s"] == sorted(x["s"], key=lambda v: v % 2**64)
+    assert len(written) < 12  # of about 120 pieces
+    assert all(len(r["bands"]) <= passages.BANDS and bool(r["s"]) == bool(r["bands"]) for r in written)
+
+
+def test_repeats_of_a_bucket():
+    few, many = np.array([5, 9], np.int32), np.array([9, -1, -1], np.int32)
+    table = lambda bucket, f: pa.table({"bucket": pa.array([bucket] * 2, pa.int32()), "h": [few, many], "f": f})
+    lists = lambda *f: pa.array(f, pa.list_(pa.int16()))
+    assert passages._repeats(table(3, lists([0, 0], [0, 0, 0]))).to_pydict() == {"band": [False, False], "h": [9, 2**32 - 1]}
+    # the same band of two pieces with one key is no repeat
+    assert passages._repeats(table(passages.BUCKETS, lists([1, 2], [2, 3, -4]))).to_pydict() == {"band": [True], "h": [2**32 - 1]}
+
+
 def test_short_pieces_meet_by_similarity(spark):
     rng = random.Random(3)
     sentence = lambda n: " ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(n)).capitalize()

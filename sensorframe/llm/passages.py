@@ -20,16 +20,15 @@ meets in pairs. Null and empty texts have no pieces. Rows that repeat a ``doc_id
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import drop_saved, read_table, save, save_result, seeded, slices, text_of
 from .components import connected_components
-from .jaccard_join import FILTER_BITS, bit_filter, passes, verified
+from .jaccard_join import _alike, verified
 from .shingles import Shingler, mixed
 
 WIDTH, PERCENT = 5, 80
@@ -39,42 +38,99 @@ REACH = 7  # words on either side of a border by content; pieces between two of
 BANDS, ROWS = 10, 3
 BUCKETS = 1 << 10  # of hashes that are searched for repeats; each holds 32 bits more
 HELD = 100_000  # pieces whose hashes a task holds before it deals them out
-MOST_BITS = 1 << 27  # of a filter with repeats; a fuller one lets more pieces pass, which costs disk and time
-
-SENTENCES = re.compile(r"(?<=[.!?])[ \t]+")
-CAPITALS = re.compile(r"(?<=[a-zß-öø-ÿ,;])[ \t]+(?=[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ])")
-
-
-def pieces(text: str) -> list[int]:
-    """Numbers of words of the pieces of a text, in order. Short pieces are joined inside a line, and over the ends of short lines."""
-    out: list[int] = []
-    held = 0
-    for line in text.split("\n"):
-        if held and len(line.encode().split()) >= MIN_WORDS:  # a long line has a border of its own at its start
-            out.append(held)
+REPEAT_BITS, MARKS = 24, 5  # of a filter with repeats for each of them, and of these those that it sets
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 29  # of a filter; a fuller one lets more pieces pass, which costs disk and time
+RANKED = 1 << 22  # buckets of shingles that are counted; counts decide which shingles come first, not what links
+
+WHITE, BLANK, ENDS, LOWER, UPPER = 1, 2, 4, 8, 16  # kinds of bytes; of the second byte after LATIN as well, above 127
+LATIN = 0xC3  # first byte of the letters from U+00C0 to U+00FF
+CAPITAL, SENTENCE, LINE, TEXT = 1, 2, 3, 4  # kinds of borders
+
+
+def _byte_kinds() -> np.ndarray:
+    kinds = np.zeros(256, np.uint8)
+    for kind, chars in (
+        (WHITE, b" \t\n\v\f\r"), (BLANK, b" \t"), (ENDS, b".!?"), (LOWER, b"abcdefghijklmnopqrstuvwxyz"), (UPPER, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+        (LOWER, "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ".encode()[1::2]), (UPPER, "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ".encode()[1::2]),
+    ):
+        kinds[list(chars)] |= kind
+    return kinds
+
+
+KINDS = _byte_kinds()
+
+
+def _letter(b: np.ndarray, at: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a letter of that kind begins at each place, and whether it takes two bytes."""
+    two = b[at] == LATIN
+    at = at + two
+    return (KINDS[b[at]] & kind > 0) & ((b[at] >= 128) == two), two
+
+
+def word_borders(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """All texts as one; the first word of each; the border before each word: 0 or the strongest kind."""
+    whole = b"\n".join(texts)
+    b = np.frombuffer(b"\n" + whole + b"\n\n\n", np.uint8)  # so that every place has neighbours
+    kinds = KINDS[b]
+    white = (kinds & WHITE).astype(bool)
+    edges = np.flatnonzero(white[1:] != white[:-1]) + 1
+    first, end = edges[::2], edges[1::2]
+    out = np.zeros(len(first) + 1, np.uint8)
+    before, after = end[:-1], first[1:]  # the gap before each word but the first
+    hit = (kinds[before] & BLANK > 0) & (kinds[before - 1] & ENDS > 0)
+    out[1:-1][hit] = SENTENCE
+    some = np.flatnonzero((kinds[after] & UPPER > 0) & (b[after] < 128) | (b[after] == LATIN))
+    big, two = _letter(b, after[some], UPPER)
+    some = some[big & _letter(b, after[some] + 1 + two, LOWER)[0]]
+    last = b[before[some] - 1]
+    small = (kinds[before[some] - 1] & LOWER > 0) & ((last < 128) | (b[before[some] - 2] == LATIN)) | (last == ord(",")) | (last == ord(";"))
+    out[1:-1][some[small]] = CAPITAL
+    other = np.searchsorted(first, np.flatnonzero(white & (kinds & BLANK == 0)))  # words after white space that is not blank
+    out[other[out[other] == CAPITAL]] = 0
+    out[np.searchsorted(first, np.flatnonzero(b == 10))] = LINE
+    begins = np.cumsum([1, *(len(x) + 1 for x in texts[:-1])])
+    begins = np.searchsorted(first, begins) if texts else np.zeros(0, np.int64)
+    out[begins] = TEXT
+    return whole, begins, out[:-1]
+
+
+def pieces(borders: np.ndarray) -> np.ndarray:
+    """First words of the pieces. Short pieces are joined inside a line, and over the ends of short lines."""
+    at = np.flatnonzero(borders)
+    kind, n = borders[at], np.diff(at, append=len(borders))
+    sentences, lines = np.flatnonzero(kind >= SENTENCE), np.flatnonzero(kind >= LINE)
+    if not len(at):
+        return at
+    short = (np.maximum.reduceat(n, sentences) < MIN_WORDS).repeat(np.diff(sentences, append=len(at)))
+    cut = kind == TEXT
+    cut[lines] |= np.add.reduceat(n, lines) >= MIN_WORDS  # a long line has a border of its own at its start
+    keep = np.flatnonzero(~short | (kind >= SENTENCE))  # a sentence of short parts only is one
+    at, cut = at[keep], cut[keep]
+    out, held = [], True
+    for first, alone, n in zip(at.tolist(), cut.tolist(), np.diff(at, append=len(borders)).tolist(), strict=True):
+        if alone or held is True:
+            out.append(first)
             held = 0
-        for sentence in SENTENCES.split(line):
-            parts = [len(p.encode().split()) for p in CAPITALS.split(sentence)]
-            if len(parts) > 1 and max(parts) < MIN_WORDS:
-                parts = [sum(parts)]
-            for n in parts:
-                held += n
-                if held >= MIN_WORDS:
-                    out.append(held)
-                    held = 0
-    if held:
-        out.append(held)
-    return out
+        held += n
+        if held >= MIN_WORDS:
+            held = True
+    return np.array(out)
 
 
-def content_pieces(words: np.ndarray) -> np.ndarray:
-    """Numbers of words of the pieces between borders that the words around them decide."""
+def content_pieces(words: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """First words of the pieces between borders that the words around them decide, in texts that begin with the words ``begins``."""
     h = mixed(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:])
     if len(h) <= 2 * REACH:
-        return np.array([len(words)] if len(words) else [], np.int64)
-    around = np.lib.stride_tricks.sliding_window_view(h, 2 * REACH + 1)
-    borders = np.flatnonzero(around.argmin(axis=1) == REACH) + REACH
-    return np.diff(borders, prepend=0, append=len(words))
+        return np.unique(begins[begins < len(words)])
+    least = np.minimum(h[:-1], h[1:])
+    least = np.minimum(least[:-2], least[2:])
+    least = np.minimum(least[: 4 - REACH], least[REACH - 4 :])  # of REACH in a row
+    inner = h[REACH:-REACH]
+    hit = (inner < least[: len(inner)]) & (inner <= least[REACH + 1 :])
+    at = np.flatnonzero(hit) + REACH
+    own = np.searchsorted(begins, at, "right")
+    inside = (at - REACH >= begins[own - 1]) & (at + REACH + 1 < np.append(begins, len(words))[own])
+    return np.unique(np.concatenate([begins[begins < len(words)], at[inside]]))
 
 
 _MULTIPLIERS = np.random.default_rng(11).integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -86,40 +142,46 @@ class Cutter:
     def __init__(self) -> None:
         self.shingler = Shingler(WIDTH)
 
-    def __call__(self, texts: list[str]) -> dict[str, np.ndarray]:
-        """``row, start, n`` (in words), ``first, last`` (in ``shingles``), keys ``k1, k2`` of each compared piece."""
-        rows, starts, sizes, offsets, words, total = [], [], [], [], [self.shingler.words(text) for text in texts], 0
-        size = sum(map(len, words)) + 1  # of the shingles of one cut
-        for row, (text, h) in enumerate(zip(texts, words, strict=True)):
-            for second, n in enumerate((np.array(pieces(text), np.int64), content_pieces(h))):
-                at = np.cumsum(n) - n
-                keep = n >= MIN_WORDS
-                rows.append(np.full(keep.sum(), row))
-                starts.append(at[keep])
-                sizes.append(n[keep])
-                offsets.append(at[keep] + total + second * size)
-            total += len(h)
-        rows, starts, sizes, offsets = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, starts, sizes, offsets))
-        w = np.concatenate([*words, np.zeros(WIDTH, np.uint64)])
+    def __call__(self, texts: list[bytes]) -> dict[str, np.ndarray]:
+        """``row, start, n`` (in words), ``first, m`` (in ``shingles``), keys ``k1, k2`` of each compared piece."""
+        whole, begins, borders = word_borders(texts)
+        words = self.shingler.words(whole)
+        w = np.concatenate([words, np.zeros(WIDTH, np.uint64)])
         h = np.zeros(len(w) - WIDTH + 1, np.uint64)
         for k in range(WIDTH):
             h = h * np.uint64(0x9E3779B97F4A7C15) + w[k : len(w) - WIDTH + 1 + k]
+        at, sizes, offsets = [], [], []
+        for second, first in enumerate((pieces(borders), content_pieces(words, begins))):
+            n = np.diff(first, append=len(words))
+            keep = n >= MIN_WORDS
+            at.append(first[keep])
+            sizes.append(n[keep])
+            offsets.append(first[keep] + second * len(h))
         h = np.concatenate([mixed(h), mixed(~h)])  # other shingles for the second cut
-        first, last = offsets, offsets + sizes - WIDTH + 1
-        sums = [np.add.reduceat(mixed(h ^ np.uint64(salt)), np.stack([first, last], axis=1).ravel())[::2] if len(first) else h[:0] for salt in (1, 2)]
-        return {"row": rows, "start": starts, "n": sizes, "first": first, "last": last, "k1": sums[0].view(np.int64), "k2": sums[1].view(np.int64), "shingles": h}
+        at, n = (np.concatenate(x).astype(np.int64) for x in (at, sizes))
+        m = n - WIDTH + 1
+        first = np.cumsum(m) - m
+        h = h[np.repeat(np.concatenate(offsets).astype(np.int64) - first, m) + np.arange(m.sum())]
+        sums = [np.add.reduceat(mixed(h ^ np.uint64(salt)), first) if len(first) else h for salt in (1, 2)]
+        row = np.searchsorted(begins, at, "right") - 1
+        return {"row": row, "start": at - begins[row], "n": n, "first": first, "m": m, "k1": sums[0].view(np.int64), "k2": sums[1].view(np.int64), "shingles": h}
 
 
 def _bands(found: dict[str, np.ndarray]) -> np.ndarray:
     """Band hashes of the pieces, a row each."""
-    keys = np.zeros((len(found["n"]), BANDS), np.uint64)
-    if not len(keys):
-        return keys
-    h, ends = found["shingles"], np.stack([found["first"], found["last"]], axis=1).ravel()
+    keys = np.zeros((BANDS, len(found["n"])), np.uint64)
+    if not len(found["n"]):
+        return keys.T
+    h, buffer = found["shingles"], np.empty_like(found["shingles"])
     for k, by in enumerate(_MULTIPLIERS):
-        least = np.minimum.reduceat(h * by, ends)[::2]
-        keys[:, k // ROWS] = keys[:, k // ROWS] * np.uint64(0x9E3779B97F4A7C15) + least + np.uint64(k)
-    return mixed(keys)
+        least = np.minimum.reduceat(np.multiply(h, by, out=buffer), found["first"])
+        keys[k // ROWS] = keys[k // ROWS] * np.uint64(0x9E3779B97F4A7C15) + least + np.uint64(k)
+    return np.ascontiguousarray(mixed(keys).T)
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])[: len(values)]]
 
 
 def _short(h: np.ndarray) -> np.ndarray:
@@ -148,12 +210,12 @@ def hash_rows(docs: DataFrame) -> DataFrame:
     def rows(keys: list[np.ndarray], bands: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         k = np.sort(np.concatenate(keys))
         yield _dealt(k[np.append([True, True], k[2:] != k[:-2])[: len(k)]], 0, 0)
-        yield _dealt(np.unique(np.concatenate(bands)), 16, 1)
+        yield _dealt(_distinct(np.concatenate(bands)), 16, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, keys, bands, held = Cutter(), [], [], 0
         for part in slices(batches, 64):
-            found = cut(part.column("text").to_pylist())
+            found = cut(part.column("text").cast(pa.binary()).to_pylist())
             own = found["k1"].view(np.uint64)[:, None] * _MULTIPLIERS[:BANDS] >> np.uint64(48)  # other bits in each band
             keys.append(_short(found["k1"]))
             bands.append((_short(_bands(found)) << np.uint64(16) | own).ravel())
@@ -172,25 +234,53 @@ def _repeats(rows: pa.Table) -> pa.Table:
     band = rows.column("bucket")[0].as_py() >= BUCKETS
     h, f = (np.concatenate([c.flatten().to_numpy() for c in rows.column(name).chunks]) for name in ("h", "f"))
     h = h.view(np.uint32).astype(np.uint64)
-    h = np.unique(h << np.uint64(16) | f.view(np.uint16)) >> np.uint64(16) if band else np.sort(h)
-    h = np.unique(h[1:][h[1:] == h[:-1]]).view(np.int64)
+    h = _distinct(h << np.uint64(16) | f.view(np.uint16)) >> np.uint64(16) if band else np.sort(h)
+    h = _distinct(h[1:][h[1:] == h[:-1]]).view(np.int64)
     return pa.table({"band": np.full(len(h), band), "h": h})
 
 
+def _repeats_everywhere(rows: pa.Table) -> pa.Table:
+    """``_repeats`` with all 42 bits of the hashes."""
+    found = _repeats(rows)
+    high = (rows.column("bucket")[0].as_py() % BUCKETS) << 32
+    return pa.table({"band": found.column("band"), "h": pa.array(found.column("h").to_numpy() + high, pa.int64())})
+
+
+def _marks(h: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word of a filter and ``MARKS`` bits in it for each of the short hashes."""
+    g = mixed(h)
+    bits = np.uint64(1) << (g >> np.uint64(34) & np.uint64(63))
+    for k in range(1, MARKS):
+        bits |= np.uint64(1) << (g >> np.uint64(34 + 6 * k) & np.uint64(63))
+    return (g & np.uint64(words - 1)).astype(np.int64), bits
+
+
+def _filter(hashes: DataFrame) -> np.ndarray:
+    """Words of a filter of ``hashes(h)``, ``REPEAT_BITS`` bits for each or more up to ``MOST_BITS``."""
+    words = min(MOST_BITS, max(LEAST_BITS, 1 << (REPEAT_BITS * hashes.count()).bit_length())) // 64
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w, bits = _marks(batch.column("h").to_numpy().view(np.uint64), words)
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.int32()), pa.array(bits.view(np.int64))], names=["w", "b"])
+
+    found = hashes.mapInArrow(run, "w int, b long").groupBy("w").agg(F.expr("bit_or(b)").alias("b")).toArrow()
+    out = np.zeros(words, np.uint64)
+    out[found.column("w").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
+    return out
+
+
 def repeat_filters(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Bits of the keys that stand twice and of the bands that pieces of several keys have."""
-    found = save(hash_rows(docs).groupBy("bucket").applyInArrow(_repeats, "band boolean, h long"), "repeats")
-    out = []
-    for kind in (~F.col("band"), F.col("band")):
-        some = found.filter(kind)
-        size = min(MOST_BITS, max(FILTER_BITS, 1 << (128 * some.count()).bit_length()))
-        out.append(bit_filter(some.select(F.col("h").bitwiseAND(F.lit(size - 1)).alias("p")), size))
+    """Filters of the keys that stand twice and of the bands that pieces of several keys have."""
+    found = save(hash_rows(docs).groupBy("bucket").applyInArrow(_repeats_everywhere, "band boolean, h long"), "repeats")
+    out = _filter(found.filter(~F.col("band")).select("h")), _filter(found.filter("band").select("h"))
     drop_saved(found)
-    return out[0], out[1]
+    return out
 
 
-def _in(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    return passes(bits, _short(h) & np.uint64(len(bits) * 64 - 1 & 0xFFFFFFFF))
+def _in(words: np.ndarray, h: np.ndarray) -> np.ndarray:
+    w, bits = _marks(_short(h), len(words))
+    return words[w] & bits == bits
 
 
 def piece_rows(docs: DataFrame) -> DataFrame:
@@ -203,18 +293,25 @@ def piece_rows(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, (same, near) = Cutter(), shared.value
         for part in slices(batches, 64):
-            found = cut(part.column("text").to_pylist())
+            found = cut(part.column("text").cast(pa.binary()).to_pylist())
             bands = _bands(found)
             met = _in(near, bands)
             at = np.flatnonzero(met.any(axis=1) | _in(same, found["k1"]))
             met = met[at]
             offsets = pa.array(np.append(0, np.cumsum(met.sum(axis=1))).astype(np.int32))
-            first, last = found["first"][at], found["last"][at]
-            sets = [np.unique(found["shingles"][i:j]).view(np.int64) if hit else [] for i, j, hit in zip(first, last, met.any(axis=1), strict=True)]
+            of = np.flatnonzero(met.any(axis=1))
+            m = found["m"][at][of]
+            piece, begin = np.repeat(of, m), np.cumsum(m) - m
+            h = found["shingles"][np.repeat(found["first"][at][of] - begin, m) + np.arange(m.sum())]
+            order = np.lexsort((h, piece))
+            h = h[order]
+            new = np.append(True, (h[1:] != h[:-1]) | (piece[1:] != piece[:-1]))[: len(h)]
+            sizes = np.bincount(piece[new], minlength=len(at))
+            sets = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(h[new].view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id").take(pa.array(found["row"][at])), *(pa.array(found[c][at]) for c in ("start", "n", "k1", "k2")),
-                    pa.ListArray.from_arrays(offsets, pa.array(bands[at][met].view(np.int64))), pa.array(sets, pa.list_(pa.int64())),
+                    pa.ListArray.from_arrays(offsets, pa.array(bands[at][met].view(np.int64))), sets,
                 ],
                 names=["doc_id", "start", "n", "k1", "k2", "bands", "s"],
             )
@@ -222,22 +319,95 @@ def piece_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, start long, n long, k1 long, k2 long, bands array<long>, s array<long>")
 
 
+def shingle_ranks(sets: DataFrame) -> np.ndarray:
+    """How common the shingles of each of ``RANKED`` buckets are in ``sets(s)``: 0 for most, else the logarithm of their number."""
+    counts = save(sets.select(F.explode("s").alias("t")).groupBy(F.expr(f"int(t & {RANKED - 1}L)").alias("t")).count(), "shingle-counts")
+    mean = counts.agg(F.avg("count")).first()[0] or 0
+    found = counts.filter(F.col("count") > 2 * mean).select("t", F.log2("count").cast("byte").alias("rank")).toArrow()
+    drop_saved(counts)
+    ranks = np.zeros(RANKED, np.uint8)
+    ranks[found.column("t").to_numpy()] = found.column("rank").to_numpy()
+    return ranks
+
+
+def meeting_keys(sets: DataFrame, ranks: np.ndarray) -> DataFrame:
+    """``key, doc, comp, n, left``: each band of ``sets(doc, comp, bands, s)`` with each shingle of the set's prefix, rare shingles first.
+
+    Sets that reach the threshold share a shingle of their prefixes, and the first one they share has enough others behind it: ``left`` counts it and these.
+    """
+    shared = sets.sparkSession.sparkContext.broadcast(ranks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = shared.value
+        for part in slices(batches):
+            s, bands = part.column("s"), part.column("bands")
+            n, width = s.value_lengths().to_numpy(), bands.value_lengths().to_numpy()
+            h, piece = s.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(len(n)), n)
+            h = h[np.lexsort((h, common[h & np.uint64(RANKED - 1)], piece))]
+            left = n[piece] - (np.arange(len(h)) - (np.cumsum(n) - n)[piece])
+            first = np.flatnonzero(left >= (PERCENT * n[piece] + 99) // 100)  # of a prefix; a partner lacks fewer shingles than it has
+            owner, times = piece[first], width[piece[first]]
+            at = np.repeat((np.cumsum(width) - width)[owner] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+            row = np.repeat(np.arange(len(first)), times)
+            key = mixed(bands.flatten().to_numpy().view(np.uint64)[at] * np.uint64(0x9E3779B97F4A7C15) + h[first][row])
+            of = pa.array(owner[row])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key.view(np.int64)), part.column("doc").take(of), part.column("comp").take(of), pa.array(n[owner][row], pa.int32()), pa.array(left[first][row], pa.int32())],
+                names=["key", "doc", "comp", "n", "left"],
+            )
+
+    return sets.select("doc", "comp", "bands", "s").mapInArrow(run, "key long, doc long, comp long, n int, left int")
+
+
+def _can_reach(n: str, m: str, left: str, other: str) -> Column:
+    """Whether sets of ``n`` and ``m`` shingles may reach the threshold if the first one they share has so many left with it."""
+    return _alike(n, m, PERCENT) & (F.least(left, other) * (100 + PERCENT) >= (F.col(n) + F.col(m)) * PERCENT)
+
+
 def near_classes(classes: DataFrame) -> DataFrame:
     """``node, component_id`` of the classes ``(k1, bands, s)`` linked by similarity."""
-    rows = save(classes.select(F.col("k1").alias("doc"), F.explode("bands").alias("band")), "bands")
-    pivots = rows.groupBy("band").agg(F.min(F.struct(seeded(1, "doc").alias("h"), F.col("doc").alias("b"))).alias("p"), F.count(F.lit(1)).alias("c"))
-    pivots = save(pivots.filter("c > 1").select(F.col("band").alias("_band"), "p.b"), "pivots")
-    shared = save(rows.join(pivots, F.col("band") == F.col("_band")).select("band", "doc", "b"), "shared-bands")
+    sets = classes.filter("size(s) > 0").select(F.col("k1").alias("doc"), "s", "bands")
+    sets_for = lambda _: sets.select("doc", "s")
+    rows = save(sets.select("doc", F.size("s").alias("n"), F.explode("bands").alias("band")), "bands")
+    least = F.min(F.struct(seeded(1, "doc").alias("h"), F.col("doc").alias("b"), F.col("n").alias("nb"))).alias("p")
+    pivots = rows.groupBy("band").agg(least, F.count(F.lit(1)).alias("c")).filter("c > 1")
+    pivots = save(pivots.select(F.col("band").alias("_band"), "p.b", "p.nb", "c"), "pivots")
+    shared = save(rows.join(pivots, F.col("band") == F.col("_band")).select("band", "doc", "n", "b", "nb", "c"), "shared-bands")
+    for done in (rows, pivots):
+        drop_saved(done)
     pair = [F.greatest("doc", "b").alias("a"), F.least("doc", "b").alias("b"), F.lit(1).cast("long").alias("l")]
-    sets_for = lambda _: classes.filter("size(s) > 0").select(F.col("k1").alias("doc"), "s")
-    links = verified(shared.filter("doc <> b").select(*pair).distinct(), sets_for, PERCENT)
-    comps = save(connected_components(links, "a", "b"), "components")
-    placed = shared.select("band", "doc").join(comps, F.col("doc") == F.col("node"), "left")
+    links = verified(shared.filter("doc <> b").filter(_alike("n", "nb", PERCENT)).select(*pair).distinct(), sets_for, PERCENT)
+    comps = save_result(classes.sparkSession, lambda: connected_components(links, "a", "b"), "components")
+    # Bands of two have met; others go on while they have several components.
+    placed = shared.filter("c > 2").select("band", "doc").join(comps, F.col("doc") == F.col("node"), "left")
     placed = save(placed.select("band", "doc", F.coalesce("component_id", "doc").alias("comp")), "placed-bands")
+    for done in (shared, comps):
+        drop_saved(done)
+    several = placed.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select(F.col("band").alias("_band"))
+    left = placed.join(several, F.col("band") == F.col("_band")).groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("band").alias("bands"), F.first("comp").alias("comp"))
+    left = save(sets.drop("bands").join(left, F.col("doc") == F.col("_doc")).drop("_doc"), "sets-left")
+    keys = save(meeting_keys(left, shingle_ranks(left)), "meeting-keys")
+    for done in (placed, left):
+        drop_saved(done)
+    # Of a key all meet the member with the fewest rare shingles, then what is still in different components meets.
+    least = F.min(F.struct((F.col("n") - F.col("left")).alias("far"), seeded(2, "doc").alias("h"), *(F.col(c).alias(f"_{c}") for c in ("doc", "comp", "n", "left")))).alias("p")
+    pivots = keys.groupBy("key").agg(least, F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("key").alias("_key"), "c", "p.*").drop("far", "h")
+    shared = save(keys.join(pivots, F.col("key") == F.col("_key")).drop("_key"), "shared-keys")
+    drop_saved(keys)
+    met = shared.filter("comp <> _comp").filter(_can_reach("n", "_n", "left", "_left"))
+    pair = [F.greatest("doc", "_doc").alias("a"), F.least("doc", "_doc").alias("b"), F.lit(1).cast("long").alias("l")]
+    links = links.unionByName(verified(met.select(*pair).distinct(), sets_for, PERCENT))
+    comps = save_result(classes.sparkSession, lambda: connected_components(links, "a", "b"), "components")
+    placed = shared.filter("c > 2").select("key", "doc", "n", "left").join(comps, F.col("doc") == F.col("node"), "left")
+    placed = save(placed.select("key", "doc", "n", "left", F.coalesce("component_id", "doc").alias("comp")), "placed-keys")
+    for done in (shared, comps):
+        drop_saved(done)
     x, y = placed.alias("x"), placed.alias("y")
-    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.doc") > F.col("y.doc")) & (F.col("x.comp") != F.col("y.comp")))
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc") > F.col("y.doc")) & (F.col("x.comp") != F.col("y.comp")) & _can_reach("x.n", "y.n", "x.left", "y.left"))
     rest = met.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), F.lit(1).cast("long").alias("l")).distinct()
-    return connected_components(links.unionByName(verified(rest, sets_for, PERCENT)), "a", "b")
+    links = links.unionByName(verified(rest, sets_for, PERCENT))
+    drop_saved(placed)
+    return connected_components(links, "a", "b")
 
 
 def repeated_passages(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:

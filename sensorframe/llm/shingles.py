@@ -10,6 +10,14 @@ CACHED_WORDS = 200_000  # word hashes a task keeps; it only saves time
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
+class _Known(dict):
+    """Hashes by word."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        return h
+
+
 class Shingler:
     """Shingles of ``width`` words. A-Z count as lower case; words are what ASCII white space separates.
 
@@ -18,17 +26,15 @@ class Shingler:
 
     def __init__(self, width: int):
         self.width = width
-        self.known: dict[bytes, int] = {}
+        self.known = _Known()
 
-    def words(self, text: str) -> np.ndarray:
+    def words(self, text: str | bytes) -> np.ndarray:
         """Hash of every word, in order."""
-        words = text.encode().lower().split()  # bytes: lower() and split() know ASCII only
-        known = self.known
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        for word in set(words).difference(known):
-            known[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        text = text.encode() if isinstance(text, str) else text
+        words = text.lower().split()  # bytes: lower() and split() know ASCII only
+        if len(self.known) > CACHED_WORDS:
+            self.known.clear()
+        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
 
     def over(self, words: np.ndarray) -> np.ndarray:
         """Sorted distinct shingles of a sequence of word hashes."""

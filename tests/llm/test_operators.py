@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sensorframe.llm import bpe, embeddings, fingerprints, jaccard_join, line_dedup, mixing, passages, quality, sharding, url_lists
-from sensorframe.llm.common import BATCH, BATCH_ROWS, SLICE, save
+from sensorframe.llm.common import BATCH, BATCH_ROWS, CLEANUP, SLICE, save
 from sensorframe.llm.components import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -438,6 +439,86 @@ def test_repeats_of_a_bucket():
     assert passages._repeats(table(passages.BUCKETS, lists([1, 2], [2, 3, -4]))).to_pydict() == {"band": [True], "h": [2**32 - 1]}
 
 
+def test_bands_of_unlike_sets_make_no_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    common, fresh = list(range(1, 5)), iter(range(10, 10**6))
+    sets = [sorted([*common, *(next(fresh) for _ in range(12))]) for _ in range(120)]  # all share a band by a phrase, nothing else
+    base = [next(fresh) for _ in range(30)]
+    sets += [sorted([*common, *base[:k], *base[k + 1 :]]) for k in range(0, 12, 2)] + [sorted([*common, *base, next(fresh)]), sorted([*common, *base])]
+    sets += [sorted([*common, *rng.sample(base, 14)]) for _ in range(30)]  # of shingles that many have
+    rows = [(k * 7 + 1, [5, 100 + k % 3, 200 + k], s) for k, s in enumerate(sets)]
+    classes = spark.createDataFrame([*rows, (999_983, [], [])], "k1 long, bands array<long>, s array<long>")
+    asked, plain = [], passages.verified
+    monkeypatch.setattr(passages, "verified", lambda pairs, *a: (asked.append(pairs.count()), plain(pairs, *a))[1])
+    got = {r["node"]: r["component_id"] for r in passages.near_classes(classes).collect()}
+    comp = {i: i for i, _, _ in rows}
+    for (i, _, x), (j, _, y) in itertools.combinations(rows, 2):
+        both = len(set(x) & set(y))
+        if 100 * both >= 80 * (len(x) + len(y) - both) and comp[i] != comp[j]:
+            comp = {k: comp[i] if c == comp[j] else c for k, c in comp.items()}
+    least = {c: min(k for k in comp if comp[k] == c) for c in set(comp.values())}
+    assert got == {k: least[c] for k, c in comp.items() if list(comp.values()).count(c) > 1} and len(got) >= 8
+    assert sum(asked) < 5 * len(rows)  # of more than 12,000 pairs
+
+
+def test_pieces_of_batches():
+    rng = random.Random(4)
+    sentences, capitals = re.compile(r"(?<=[.!?])[ \t]+"), re.compile(r"(?<=[a-zß-öø-ÿ,;])[ \t]+(?=[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ])")
+
+    def by_marks(text):
+        out, held = [], 0
+        for line in text.split("\n"):
+            if held and len(line.encode().split()) >= passages.MIN_WORDS:
+                out, held = [*out, held], 0
+            for sentence in sentences.split(line):
+                parts = [len(p.encode().split()) for p in capitals.split(sentence)]
+                for n in [sum(parts)] if max(parts) < passages.MIN_WORDS else parts:
+                    held += n
+                    if held >= passages.MIN_WORDS:
+                        out, held = [*out, held], 0
+        return [*out, held] if held else out
+
+    def by_content(words):
+        k, n = passages.REACH, len(words)
+        h = [int(x) for x in passages.mixed(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:])]
+        at = [0, *(i for i in range(k, len(h) - k) if h[i] == min(h[i - k : i + k + 1]) and h[i] not in h[i - k : i]), n]
+        return [y - x for x, y in zip(at, at[1:], strict=False)] if n else []
+
+    bits = ["a", "Word", "two", "Été", "é,", "b;", "End.", "why?", "Þþ", "×x", "÷", "Àb", "日本", "Z", "x\x1d", "ho!"]
+    gaps = [" "] * 12 + ["\n", "\t", "  ", " \r ", "\x0b", " \n", "\n\n", ""]
+    for _ in range(60):
+        texts = ["".join(rng.choice(bits) + rng.choice(gaps) for _ in range(rng.choice([0, 1, 5, 40, 150]))) for _ in range(rng.randint(0, 5))]
+        cut = passages.Cutter()
+        found = cut([t.encode() for t in texts])
+        want = []
+        for row, text in enumerate(texts):
+            for sizes in (by_marks(text), by_content(cut.shingler.words(text))):
+                want += [(row, sum(sizes[:k]), n) for k, n in enumerate(sizes) if n >= passages.MIN_WORDS]
+        assert sorted(zip(*(found[c].tolist() for c in ("row", "start", "n")), strict=True)) == sorted(want)
+
+
+def test_filters_hold_all_repeats(spark):
+    rng = np.random.default_rng(5)
+    h = rng.integers(0, 1 << 42, 3000)
+    words = passages._filter(spark.createDataFrame([(int(x),) for x in h], "h long"))
+    at = lambda x: np.uint64(1 << 22) * x.astype(np.uint64)
+    assert passages._in(words, at(h)).all() and passages._in(words, at(rng.integers(0, 1 << 42, 20_000))).mean() < 0.01
+    assert not passages._in(passages._filter(spark.createDataFrame([], "h long")), at(h)).any()
+
+
+def test_save_deletes_what_it_shuffled(spark):
+    of = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    files = lambda: {f for f in of.getAllFiles().mkString("\n").split() if "/shuffle_" in f}
+    before, kept = files(), spark.conf.get(CLEANUP, "false")
+    frame = save(spark.range(5000).groupBy((F.col("id") % 1000).alias("k")).count(), "counts")
+    assert spark.conf.get(CLEANUP, "false") == kept
+    for _ in range(100):  # they are deleted in the background
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left and frame.filter("count = 5").count() == 1000
+
+
 def test_short_pieces_meet_by_similarity(spark):
     rng = random.Random(3)
     sentence = lambda n: " ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(n)).capitalize()

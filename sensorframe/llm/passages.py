@@ -14,8 +14,9 @@ another one are joined into a passage, reported from ``RUN_WORDS`` words on.
 Most pieces resemble no other one. So all texts are cut twice: first only short hashes of keys and bands are shuffled, packed in arrays, to find
 those that several pieces have; then only pieces with one of these are written, with their bands and shingles.
 
-Large groups are not expanded into pairs: all of a band first meet one of its members, and only what is still in different components
-meets in pairs. Null and empty texts have no pieces. Rows that repeat a ``doc_id`` are one document; rows without an id are left out.
+Large groups are not expanded into pairs: all of a band first meet one of its members. What is still in different components meets by its band and a shingle of
+its prefix, the ``n - ceil(0.8 n) + 1`` rarest shingles of a set: sets that reach the threshold share one of these, and have enough others behind the first
+one that they share. Of each of these smaller groups, too, all first meet one member and then what is left meets in pairs. Null and empty texts have no pieces. Rows that repeat a ``doc_id`` are one document; rows without an id are left out.
 """
 
 from __future__ import annotations
@@ -386,9 +387,9 @@ def near_classes(classes: DataFrame) -> DataFrame:
     several = placed.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select(F.col("band").alias("_band"))
     left = placed.join(several, F.col("band") == F.col("_band")).groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("band").alias("bands"), F.first("comp").alias("comp"))
     left = save(sets.drop("bands").join(left, F.col("doc") == F.col("_doc")).drop("_doc"), "sets-left")
+    sets_left = lambda _: left.select("doc", "s")
     keys = save(meeting_keys(left, shingle_ranks(left)), "meeting-keys")
-    for done in (placed, left):
-        drop_saved(done)
+    drop_saved(placed)
     # Of a key all meet the member with the fewest rare shingles, then what is still in different components meets.
     least = F.min(F.struct((F.col("n") - F.col("left")).alias("far"), seeded(2, "doc").alias("h"), *(F.col(c).alias(f"_{c}") for c in ("doc", "comp", "n", "left")))).alias("p")
     pivots = keys.groupBy("key").agg(least, F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("key").alias("_key"), "c", "p.*").drop("far", "h")
@@ -396,7 +397,7 @@ def near_classes(classes: DataFrame) -> DataFrame:
     drop_saved(keys)
     met = shared.filter("comp <> _comp").filter(_can_reach("n", "_n", "left", "_left"))
     pair = [F.greatest("doc", "_doc").alias("a"), F.least("doc", "_doc").alias("b"), F.lit(1).cast("long").alias("l")]
-    links = links.unionByName(verified(met.select(*pair).distinct(), sets_for, PERCENT))
+    links = links.unionByName(verified(met.select(*pair).distinct(), sets_left, PERCENT))
     comps = save_result(classes.sparkSession, lambda: connected_components(links, "a", "b"), "components")
     placed = shared.filter("c > 2").select("key", "doc", "n", "left").join(comps, F.col("doc") == F.col("node"), "left")
     placed = save(placed.select("key", "doc", "n", "left", F.coalesce("component_id", "doc").alias("comp")), "placed-keys")
@@ -405,8 +406,9 @@ def near_classes(classes: DataFrame) -> DataFrame:
     x, y = placed.alias("x"), placed.alias("y")
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc") > F.col("y.doc")) & (F.col("x.comp") != F.col("y.comp")) & _can_reach("x.n", "y.n", "x.left", "y.left"))
     rest = met.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), F.lit(1).cast("long").alias("l")).distinct()
-    links = links.unionByName(verified(rest, sets_for, PERCENT))
-    drop_saved(placed)
+    links = links.unionByName(verified(rest, sets_left, PERCENT))
+    for done in (placed, left):
+        drop_saved(done)
     return connected_components(links, "a", "b")
 
 
@@ -422,13 +424,19 @@ def repeated_passages(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     classes = found.groupBy("k1", "k2").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.first("bands").alias("bands"), F.first("s").alias("s"))
     classes = save(classes.withColumn("again", F.col("first.doc_id") != F.col("last.doc_id")), "classes")
     near = save_result(docs.sparkSession, lambda: near_classes(classes), "near")
-    linked = classes.select("k1", "k2", "first", "last").join(near, F.col("k1") == F.col("node"))
+    placed = classes.select("k1", "k2", "first", "last", "again").join(near, F.col("k1") == F.col("node"), "left").filter("again or node is not null")
+    placed = save(placed.drop("node"), "placed-classes")
+    linked = placed.filter("component_id is not null")
     keepers = linked.groupBy("component_id").agg(F.min("first").alias("keeper"), F.max("last").alias("last"))
     keepers = keepers.filter("keeper.doc_id <> last.doc_id").drop("last")
     decided = linked.select("k1", "k2", "component_id").join(keepers, "component_id").select("k1", "k2", "keeper")
-    lone = classes.filter("again").join(near.select("node"), F.col("k1") == F.col("node"), "left_anti").select("k1", "k2", F.col("first").alias("keeper"))
+    lone = placed.filter("component_id is null").select("k1", "k2", F.col("first").alias("keeper"))
     decided = decided.unionByName(lone).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "keeper")
-    hits = found.join(decided, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2"))).select("doc_id", "start", "n", "keeper").distinct()
+    hits = found.join(decided, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2"))).select("doc_id", "start", "n", "keeper")
+    hits = save(hits, "hits")
+    for done in (found, classes, near, placed):
+        drop_saved(done)
+    hits = hits.repartition("doc_id").distinct()  # dealt out as the window needs it
     order = Window.partitionBy("doc_id").orderBy("start", "n", "keeper")
     end = F.max(F.col("start") + F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     runs = hits.withColumn("_end", end).withColumn("_new", F.when(F.col("start") - F.col("_end") < MIN_WORDS, 0).otherwise(1))

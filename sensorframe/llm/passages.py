@@ -107,14 +107,12 @@ def pieces(borders: np.ndarray) -> np.ndarray:
     cut[lines] |= np.add.reduceat(n, lines) >= MIN_WORDS  # a long line has a border of its own at its start
     keep = np.flatnonzero(~short | (kind >= SENTENCE))  # a sentence of short parts only is one
     at, cut = at[keep], cut[keep]
-    out, held = [], True
+    out, held = [], MIN_WORDS  # words of the last piece, which is whole when it has enough
     for first, alone, n in zip(at.tolist(), cut.tolist(), np.diff(at, append=len(borders)).tolist(), strict=True):
-        if alone or held is True:
+        if alone or held >= MIN_WORDS:
             out.append(first)
             held = 0
         held += n
-        if held >= MIN_WORDS:
-            held = True
     return np.array(out)
 
 
